@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowlens.llm import decontaminate
+from flowlens.llm import decontaminate, tokens
 
-QUERIES = {"op4_decontaminate": decontaminate.op4}
+QUERIES = {"op1_sentencepiece": tokens.op1, "op3_token_counts": tokens.op3, "op4_decontaminate": decontaminate.op4}
 ORACLES = {"op4_decontaminate": decontaminate.OP4_SQL}
