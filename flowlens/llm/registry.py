@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowlens.llm import decontaminate, quality_rules, tokens
+from flowlens.llm import decontaminate, pii, quality_rules, secrets, tokens
 
-QUERIES = {"op1_sentencepiece": tokens.op1, "op2_quality_rules": quality_rules.op2, "op3_token_counts": tokens.op3, "op4_decontaminate": decontaminate.op4}
+QUERIES = {"op1_sentencepiece": tokens.op1, "op2_quality_rules": quality_rules.op2, "op3_token_counts": tokens.op3, "op4_decontaminate": decontaminate.op4, "op7_secret_scans": secrets.op7, "op10_pii": pii.op10}
 ORACLES = {"op4_decontaminate": decontaminate.OP4_SQL}
