@@ -2,7 +2,22 @@
 
 from __future__ import annotations
 
-from flowlens.llm import chat, decontaminate, ngram_join, pii, quality_model, quality_rules, secrets, tokens
+from flowlens.llm import chat, decontaminate, ngram_join, pii, quality_model, quality_rules, secrets, shards, tokens
 
-QUERIES = {"op1_sentencepiece": tokens.op1, "op2_quality_rules": quality_rules.op2, "op3_token_counts": tokens.op3, "op4_decontaminate": decontaminate.op4, "op5_chat_formatting": chat.op5, "op6_quality_classifier": quality_model.op6, "op7_secret_scans": secrets.op7, "op9_ngram_jaccard_join": ngram_join.op9, "op10_pii": pii.op10}
-ORACLES = {"op9_ngram_jaccard_join": ngram_join.OP9_SQL, "op5_chat_formatting": chat.OP5_SQL, "op4_decontaminate": decontaminate.OP4_SQL}
+QUERIES = {
+    "op1_sentencepiece": tokens.op1,
+    "op2_quality_rules": quality_rules.op2,
+    "op3_token_counts": tokens.op3,
+    "op4_decontaminate": decontaminate.op4,
+    "op5_chat_formatting": chat.op5,
+    "op6_quality_classifier": quality_model.op6,
+    "op7_secret_scans": secrets.op7,
+    "op8_token_shards": shards.op8,
+    "op9_ngram_jaccard_join": ngram_join.op9,
+    "op10_pii": pii.op10,
+}
+ORACLES = {
+    "op4_decontaminate": decontaminate.OP4_SQL,
+    "op5_chat_formatting": chat.OP5_SQL,
+    "op9_ngram_jaccard_join": ngram_join.OP9_SQL,
+}
