@@ -14,7 +14,6 @@ gives no hits; other columns of the documents are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
@@ -168,14 +167,22 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_hit_share: float = 0.0) -> DataFrame:
-    """docs without the rows whose share of hit words is over max_hit_share. All columns stay; rows with a null id stay too."""
-    flagged = digest(find_overlaps(docs, benchmark)).where((F.col("n_hit") > 0) & (F.col("n_hit") > max_hit_share * F.col("n_words")))
-    return docs.join(flagged.select("doc_id").distinct(), "doc_id", "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs without a hit word. All columns stay, and so do rows of null text; nothing is shuffled."""
+    spark = docs.sparkSession
+    rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator(prefetchPartitions=False)
+
+    def dropper(block):
+        def clean(batches):
+            automaton = automaton_of(block.value)
+            for batch in batches:
+                yield batch.filter(pa.array([not hits_in(automaton, words_of(t))[0] for t in batch["text"].to_pylist()], pa.bool_()))
 
+        return clean
 
-def sha_of(items: Iterable) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
+    for block in blocks_of(rows, size, block_bytes):
+        docs = docs.mapInArrow(dropper(spark.sparkContext.broadcast(block)), docs.schema)
+    return docs
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -96,6 +96,16 @@ def judge(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
     return out.drop("fw_text", "fw_words", "fw_lines", "fw_hash", "fw_windows", "fw_sorted", "fw_found", "fw_good")
 
 
+def clean(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
+    """The rows of docs that are kept, with the failing lines out of text and n_chars, where docs has it, brought up to date. The columns stay."""
+    out = judge(docs, max_lost)
+    # the row number keeps Spark from moving the filter below the measures, which would repeat them many times over
+    out = out.withColumns({"fw_kept": F.col("kept"), "fw_row": F.monotonically_increasing_id()}).where("fw_kept and fw_row >= 0").withColumn("text", F.col("clean_text"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
 def op2(spark, sf_dir: str) -> DataFrame:
     out = judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
