@@ -8,7 +8,8 @@ hashes (fewer words: the whole sequence as one). Two sets link at 100 * |both| >
    They are hints: any order gives the same links.
 2. `emit`: the tokens of each node's prefix, |x| - ceil(0.8 |x|) + l of them. l grows with the estimated number of
    candidates; a pair must share min(l, l') tokens of the prefixes of that length. Prefixes meet by token; tokens that
-   only one node has are dropped. The smallest node of a token leads it, a node's lead is its smallest leader.
+   only one node has are dropped, and a token's nodes are parted where their sizes are too far apart to link. The smallest
+   node of such a run leads it, a node's lead is its smallest leader.
 3. `match`: the sets of a lead's nodes meet (large groups in chunks of CHUNK tokens). With d(x) the number of tokens that x
    and the lead don't share, d(x) + d(y) bounds the difference of x and y: nodes near enough to the most central one link
    to it without being compared; each other node is compared with all of its group. Chunks exchange the nodes that are
@@ -191,48 +192,63 @@ def _emitter(hints, percent: int, cost_unit: int, max_matches: int, split: int):
     return emit
 
 
-def _buckets(batches):
-    """Rows sorted by token and node: drops repeats and the only rows of a token (but for dealt tokens), adds the first node of the token."""
-    token, lead, last, held = None, None, None, None
-    names = ["token", "node", "info", "lead"]
-    for batch in batches:
-        t, v, i = (batch[c].to_numpy() for c in ("token", "node", "info"))
-        if not len(t):
-            continue
-        if held is not None:
-            t, v, i = np.concatenate([[held[0]], t]), np.concatenate([[held[1]], v]), np.concatenate([[held[2]], i])
-        new = np.concatenate([[held is not None or t[0] != token or v[0] != last], (t[1:] != t[:-1]) | (v[1:] != v[:-1])])
-        t, v, i = t[new], v[new], i[new]
-        if not len(t):
-            continue
-        go_on = held is None and t[0] == token
-        first = np.concatenate([[not go_on], t[1:] != t[:-1]])
-        begin = np.flatnonzero(first)
-        group = np.cumsum(first) - 1
-        leads = np.where(group >= 0, v[begin[np.maximum(group, 0)]] if len(begin) else lead, 0)
-        if go_on:
-            leads[group < 0] = lead
-        sizes = np.bincount(group[group >= 0], minlength=len(begin))
-        keep = np.where(group >= 0, sizes[np.maximum(group, 0)] > 1 if len(begin) else True, True) | (i & 255 > 0)
-        token, lead, last, held = t[-1], leads[-1], v[-1], None
-        if not keep[-1]:  # the rows to come may be of its token
-            held = (t[-1], v[-1], i[-1])
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (t, v, i, leads)], names=names)
+def _bucketer(percent: int):
+    def buckets(batches):
+        """Rows sorted by token, size and node: parts a token's rows where sizes are too far apart to link, drops repeats and rows that are alone in their run, adds the run (its first size; -1 for dealt tokens, whose rows all stay)."""
+        token, last, far, run, held = None, None, 0, 0, None
+        names = ["token", "node", "info", "run"]
+        for batch in batches:
+            t, v, i = (batch[c].to_numpy() for c in ("token", "node", "info"))
+            if not len(t):
+                continue
+            if held is not None:
+                t, v, i = np.concatenate([[held[0]], t]), np.concatenate([[held[1]], v]), np.concatenate([[held[2]], i])
+            new = np.concatenate([[held is not None or t[0] != token or v[0] != last], (t[1:] != t[:-1]) | (v[1:] != v[:-1])])
+            t, v, i = t[new], v[new], i[new]
+            if not len(t):
+                continue
+            n = i >> 24
+            go_on = held is None and t[0] == token and 100 * far >= percent * n[0]
+            first = np.concatenate([[not go_on], (t[1:] != t[:-1]) | (100 * n[:-1] < percent * n[1:])])
+            group = np.cumsum(first) - (0 if go_on else 1)
+            sizes = np.bincount(group)
+            runs = np.concatenate([[run] if go_on else [], n[first]])[group].astype(np.int64)
+            dealt = i & 255 > 0
+            keep = (sizes[group] > 1) | dealt | ((group == 0) & go_on)
+            token, last, far, run, held = t[-1], v[-1], n[-1], runs[-1], None
+            if not keep[-1]:  # the rows to come may belong to it
+                held = (t[-1], v[-1], i[-1])
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (t, v, i, np.where(dealt, -1, runs))], names=names)
+
+    return buckets
 
 
 def _fetch(batches):
-    """The set of each wanted node, from the text of one of its documents."""
+    """The set of each wanted node, from the text of one of its documents, once for each of its places."""
     for batch in batches:
         for part in _slices(batch):
             rows, found, n = shingle_sets(part["text"])
             node = digests(rows, found, n)
-            good = node == part["node"].to_numpy()
+            good = np.flatnonzero(node == part["node"].to_numpy())
             ends = np.cumsum(n) * 8
             raw = found.tobytes()
-            sets = [raw[ends[r] - n[r] * 8 : ends[r]] for r in np.flatnonzero(good)]
-            mask = pa.array(good)
-            yield pa.RecordBatch.from_arrays([part["node"].filter(mask), part["lead"].filter(mask), pa.array(n[good].astype(np.int64)), pa.array(sets, pa.binary())], names=["node", "lead", "n", "tokens"])
+            out, held = [], 0
+            for r in good:
+                tokens = raw[ends[r] - n[r] * 8 : ends[r]]
+                for place in part["places"][int(r)].as_py():
+                    out.append((place["lead"], place["chunk"], node[r], place["asks"], tokens))
+                    held += len(tokens)
+                    if held > SLICE_BYTES:
+                        yield _placed(out)
+                        out, held = [], 0
+            if out:
+                yield _placed(out)
+
+
+def _placed(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["lead", "chunk", "node", "asks", "tokens"])
 
 
 def local_components(node: np.ndarray, sets: list[np.ndarray], first: int, percent: int, asks: np.ndarray | None = None) -> np.ndarray:
@@ -350,30 +366,30 @@ def components(docs: DataFrame, percent: int = PERCENT, *, hints: int = HINTS, c
     held = spark.sparkContext.broadcast((top["id"].to_numpy(np.int64), top["n"].to_numpy(np.int64)))
 
     met = docs.mapInArrow(_emitter(held, percent, cost, max_matches, split), "token long, node long, info long")
-    met = met.repartition("token", F.expr("info & 255")).sortWithinPartitions("token", "node")
-    shared = staged(met.mapInArrow(_buckets, "token long, node long, info long, lead long"))
-    # dealt tokens are hinted ones, so at most as many as there are hints
-    dealt = shared.where("info & 255 > 0").groupBy("token").agg(F.min("lead").alias("first"))
-    shared = shared.join(F.broadcast(dealt), "token", "left").withColumn("lead", F.coalesce("first", "lead")).drop("first")
-
-    wanted = shared.groupBy("node").agg(F.min("lead").alias("lead"))
+    met = met.repartition("token", F.expr("info & 255")).sortWithinPartitions("token", F.expr("info >> 24"), "node")
+    shared = staged(met.mapInArrow(_bucketer(percent), "token long, node long, info long, run long"))
     one = rows.where("doc_id is not null and n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = staged(wanted.join(one, "node").select("doc_id", "node", "lead"))
-    sets = staged(docs.join(_sized(wanted, small), "doc_id").select("text", "node", "lead").mapInArrow(_fetch, "node long, lead long, n long, tokens binary").dropDuplicates(["node"]))
-
-    # within leads; the lead's own set is a member of its group, whatever its own lead
-    members = sets.select("node", "lead", "n")
-    members = members.unionByName(members.where("lead <> node").select(F.col("lead").alias("node"), "lead").distinct().join(members.select("node", "n"), "node").select("node", "lead", "n")).distinct()
-    sizes = members.groupBy("lead").agg(F.sum("n").alias("t"), F.count("*").alias("k")).where("k > 1").select("lead", F.ceil(F.col("t") / chunk).alias("chunks"))
-    members = staged(members.join(sizes, "lead").withColumn("chunk", F.expr("pmod(xxhash64(node), chunks)")))
-    spread = members.where("node <> lead").unionByName(
-        members.where("node = lead").withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)")))).select("node", "lead", "chunk", "chunks")
-
-    def matched(of: DataFrame) -> DataFrame:
-        full = of.join(sets.select("node", "tokens"), "node").repartition("lead", "chunk").sortWithinPartitions("lead", "chunk", "node")
-        return staged(full.select("lead", "chunk", "node", "tokens", "asks").mapInArrow(_matcher(percent), "u long, v long"))
-
-    links = matched(spread.withColumn("asks", F.lit(True)))
+
+    def sets(places: DataFrame) -> DataFrame:
+        """places: node, lead, chunk, asks. The set of each node at each of its places."""
+        wanted = places.groupBy("node").agg(F.collect_list(F.struct("lead", "chunk", "asks")).alias("places"))
+        wanted = staged(wanted.join(one, "node"))
+        return docs.join(_sized(wanted, small), "doc_id").select("text", "node", "places").mapInArrow(_fetch, "lead long, chunk long, node long, asks boolean, tokens binary")
+
+    def matched(places: DataFrame) -> DataFrame:
+        met = sets(places).repartition("lead", "chunk").sortWithinPartitions("lead", "chunk", "node")
+        return staged(met.mapInArrow(_matcher(percent), "u long, v long"))
+
+    # within leads; a lead is in its own group, in each chunk of it, whatever its own lead
+    leads = shared.groupBy("token", "run").agg(F.min("node").alias("lead"))
+    own = staged(shared.join(leads, ["token", "run"]).groupBy("node").agg(F.min("lead").alias("lead"), F.max(F.expr("info >> 24")).alias("n")))
+    led = own.where("lead <> node").select(F.col("lead").alias("node")).distinct().join(own.select("node", "n"), "node").select("node", F.col("node").alias("lead"), "n")
+    members = own.where("lead <> node").unionByName(led)
+    sizes = members.groupBy("lead").agg(F.ceil(F.sum("n") / chunk).alias("chunks"))
+    members = staged(members.join(sizes, "lead").withColumn("chunk", F.expr("pmod(xxhash64(node), chunks)")).drop("n"))
+    every = F.explode(F.expr("sequence(0L, chunks - 1)"))
+    spread = members.where("node <> lead").unionByName(members.where("node = lead").withColumn("chunk", every))
+    links = matched(spread.select("node", "lead", "chunk", F.lit(True).alias("asks")))
     many = members.where("chunks > 1")
     if many.take(1):
         # nodes outside the main component of their lead visit every chunk of it
@@ -381,27 +397,24 @@ def components(docs: DataFrame, percent: int = PERCENT, *, hints: int = HINTS, c
         placed = many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         main = placed.groupBy("lead", "root").count().groupBy("lead").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
         placed = placed.join(main, "lead").withColumn("asks", F.col("root") != F.col("main"))
-        visits = placed.where("asks").withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)")))
-        again = placed.where("not asks").unionByName(visits).select("node", "lead", "chunk", "asks")
-        links = links.unionByName(matched(again))
-        roots = connected(links)
-    else:
-        roots = links.select(F.col("u").alias("node"), F.col("v").alias("root")) if not _overlaps(links) else connected(links)
-    roots = staged(roots)
+        again = placed.where("not asks").unionByName(placed.where("asks").withColumn("chunk", every))
+        links = links.unionByName(matched(again.select("node", "lead", "chunk", "asks")))
+    roots = staged(connected(links) if _overlaps(links) else links.select(F.col("u").alias("node"), F.col("v").alias("root")))
 
     # between leads
-    known = shared.select("token", "node", "info").join(wanted.select("node", "lead"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = known.groupBy("token").agg(F.min("lead").alias("a"), F.max("lead").alias("b"), F.min("root").alias("c"), F.max("root").alias("d")).where("a <> b and c <> d").select("token")
-    known = staged(known.join(mixed, "token").select("token", "node", "lead", "root", F.expr("info >> 24").alias("n"), F.expr("info >> 16 & 255").alias("level"), F.expr("info >> 8 & 255").alias("need")))
+    known = shared.join(own.select("node", "lead"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ends = [F.min("lead").alias("a"), F.max("lead").alias("b"), F.min("root").alias("c"), F.max("root").alias("d")]
+    mixed = known.groupBy("token", "run").agg(*ends).where("a <> b and c <> d").select("token", "run")
+    known = staged(known.join(mixed, ["token", "run"]).select("token", "run", "node", "lead", "root", F.expr("info >> 24").alias("n"), F.expr("info >> 16 & 255").alias("level"), F.expr("info >> 8 & 255").alias("need")))
     x, y = known.alias("x"), known.alias("y")
-    pairs = x.join(y, F.expr(f"""x.token = y.token and x.node < y.node and x.lead <> y.lead and x.root <> y.root and x.node <> y.lead and y.node <> x.lead
+    pairs = x.join(y, F.expr(f"""x.token = y.token and x.run = y.run and x.node < y.node and x.lead <> y.lead and x.root <> y.root and x.node <> y.lead and y.node <> x.lead
         and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and greatest(x.level, y.level) <= least(x.need, y.need)"""))
     pairs = pairs.groupBy(F.col("x.node").alias("u"), F.col("y.node").alias("v")).agg(F.count("*").alias("k"), F.min(F.expr("least(x.need, y.need)")).alias("need")).where("k >= need")
     pairs = staged(pairs.select("u", "v"))
-    side = _sized(pairs, small)
-    left = sets.join(side, sets["node"] == side["u"]).select("u", "v", F.col("tokens").alias("sa"))
-    right = sets.join(side, sets["node"] == side["v"]).select("u", "v", F.col("tokens").alias("sb"))
-    between = left.join(right, ["u", "v"]).mapInArrow(_verifier(percent), "u long, v long")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    full = sets(wanted.select("node", F.lit(0).cast("long").alias("lead"), F.lit(0).cast("long").alias("chunk"), F.lit(True).alias("asks"))).select("node", "tokens")
+    with_u = pairs.join(full.toDF("u", "sa"), "u")
+    between = with_u.join(full.toDF("v", "sb"), "v").select("u", "v", "sa", "sb").mapInArrow(_verifier(percent), "u long, v long")
     joined = between.join(roots.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left").join(roots.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left")
     top_roots = connected(joined.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v")))
 

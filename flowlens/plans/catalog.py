@@ -2,6 +2,489 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from flowlens.functions import text as T
+from flowlens.operators import cfg, edges, loops, runs, trees
+from flowlens.plans import adapters as A
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = ""
+FLAGSHIP = "coverage_summary"
+PERCENT = "round(CASE WHEN s = 0 THEN 0.0 ELSE 100.0 * (s - u) / s END, 6)"
+
+
+def query(sql: str | None = None):
+    """Registers a function (spark, sf_dir) under its name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# coverage of static edges
+
+
+@query(f"WITH {A.PAIRS} SELECT DISTINCT caller, callee FROM edges WHERE (caller, callee) NOT IN (SELECT (caller, callee) FROM calls)")
+def coverage_uncovered_edges(spark, d):
+    return edges.uncovered(A.call_edges(spark, d), A.runtime_calls(spark, d))
+
+
+@query(f"WITH {A.PAIRS} SELECT DISTINCT e.caller, e.callee FROM edges e SEMI JOIN calls c ON e.caller = c.caller AND e.callee = c.callee")
+def covered_edges_semi(spark, d):
+    return edges.covered(A.call_edges(spark, d), A.runtime_calls(spark, d))
+
+
+@query(f"""WITH {A.PAIRS}, s AS (SELECT DISTINCT caller, callee FROM edges), r AS (SELECT DISTINCT caller, callee FROM calls),
+x AS (SELECT (SELECT count(*) FROM s) AS s, (SELECT count(*) FROM r) AS r, (SELECT count(*) FROM s ANTI JOIN r ON s.caller = r.caller AND s.callee = r.callee) AS u,
+  (SELECT count(DISTINCT n) FROM (SELECT caller AS n FROM s UNION ALL SELECT callee FROM s)) AS sn, (SELECT count(DISTINCT n) FROM (SELECT caller AS n FROM r UNION ALL SELECT callee FROM r)) AS rn)
+SELECT s AS static_edges, r AS runtime_edges, u AS uncovered_edges, sn AS static_nodes, rn AS runtime_nodes, {PERCENT} AS coverage_percent FROM x""")
+def coverage_summary(spark, d):
+    return edges.coverage_summary(A.call_edges(spark, d), A.runtime_calls(spark, d))
+
+
+# aggregates over edges
+
+
+@query(f"WITH {A.PAIRS} SELECT DISTINCT caller, callee, kind FROM edges")
+def collapsed_edges(spark, d):
+    return edges.collapsed(A.call_edges(spark, d))
+
+
+@query(f"WITH {A.PAIRS} SELECT caller, callee, count(*) AS n FROM calls GROUP BY ALL")
+def edge_counts(spark, d):
+    return edges.edge_counts(A.runtime_calls(spark, d))
+
+
+@query(f"WITH {A.PAIRS} SELECT caller, callee, count(*) AS n FROM calls GROUP BY ALL")
+def edge_count_merge(spark, d):
+    calls = A.runtime_calls(spark, d)
+    return edges.merged_counts(edges.edge_counts(calls.where("context_id % 2 = 0")).unionByName(edges.edge_counts(calls.where("context_id % 2 = 1"))))
+
+
+@query(f"WITH {A.PAIRS} SELECT callee, string_agg(caller, ',' ORDER BY caller) AS callers FROM (SELECT DISTINCT caller, callee FROM edges) GROUP BY callee")
+def callers_by_callee(spark, d):
+    return edges.callers_by_callee(A.call_edges(spark, d))
+
+
+@query(f"WITH {A.PAIRS} SELECT node, CAST(sum(k) AS BIGINT) AS in_degree FROM (SELECT callee AS node, 1 AS k FROM edges UNION ALL SELECT caller, 0 FROM edges) GROUP BY node")
+def in_degree(spark, d):
+    return edges.in_degree(A.call_edges(spark, d))
+
+
+@query(f"WITH {A.PAIRS}, r AS (SELECT DISTINCT caller AS node FROM sparse WHERE caller NOT IN (SELECT callee FROM sparse)) SELECT node FROM r UNION ALL SELECT min(caller) FROM sparse WHERE NOT EXISTS (SELECT 1 FROM r) HAVING count(*) > 0")
+def roots(spark, d):
+    return edges.roots(A.sparse_edges(spark, d))
+
+
+@query(f"WITH {A.PAIRS} SELECT caller, string_agg(callee || ':' || kind, ',' ORDER BY callee, kind) AS out_edges FROM (SELECT DISTINCT * FROM edges) GROUP BY caller")
+def sorted_adjacency(spark, d):
+    return edges.sorted_adjacency(A.call_edges(spark, d))
+
+
+@query(f"""WITH {A.PAIRS}, e AS (SELECT DISTINCT * FROM edges)
+SELECT count(*) AS collapsed_edges, count(*) FILTER (WHERE kind = 'indirect-unknown') AS unresolved_edges, (SELECT count(DISTINCT n) FROM (SELECT caller AS n FROM e UNION ALL SELECT callee FROM e)) AS functions FROM e""")
+def callgraph_summary(spark, d):
+    return edges.callgraph_summary(A.call_edges(spark, d))
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (WHERE k > 0) AS resolved, count(*) FILTER (WHERE k = 0) AS unresolved
+FROM (SELECT o_orderkey, count(l_partkey) FILTER (WHERE l_returnflag = 'A') AS k FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey)""")
+def mapping_summary(spark, d):
+    line = A.table(spark, d, "lineitem").where("l_returnflag = 'A'").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("targets"))
+    site = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey")).join(line, "l_orderkey", "left")
+    return edges.mapping_summary(site.select(F.col("l_orderkey").alias("site"), "targets"))
+
+
+@query("""WITH p AS (SELECT DISTINCT l_linenumber % 3 AS rank, l_partkey AS node FROM lineitem WHERE l_returnflag = 'A')
+SELECT p_partkey AS node, count(DISTINCT rank) > 0 AS by_any, count(DISTINCT rank) = (SELECT count(DISTINCT rank) FROM p) AS by_all FROM part LEFT JOIN p ON node = p_partkey GROUP BY p_partkey""")
+def node_coverage_all_any(spark, d):
+    path = A.table(spark, d, "lineitem").where("l_returnflag = 'A'").select(F.expr("l_linenumber % 3").alias("rank"), F.col("l_partkey").alias("node"))
+    return edges.node_coverage(path, A.table(spark, d, "part").select(F.col("p_partkey").alias("node")))
+
+
+@query("WITH f AS (SELECT user_id, event_type AS reason FROM events WHERE value > 50) SELECT reason, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, reason) AS place FROM f GROUP BY reason")
+def failure_reasons(spark, d):
+    return edges.failure_reasons(A.table(spark, d, "events").where("value > 50").select(F.col("event_type").alias("reason")))
+
+
+# filters and joins
+
+
+@query(f"WITH {A.PAIRS} SELECT caller, callee, kind FROM edges WHERE caller NOT IN (SELECT 'p' || p_partkey FROM part WHERE p_size < 10)")
+def blacklist_definitions(spark, d):
+    names = A.table(spark, d, "part").where("p_size < 10").select(F.concat(F.lit("p"), "p_partkey").alias("name"))
+    return edges.without(A.call_edges(spark, d), names, "caller")
+
+
+@query(f"WITH {A.PAIRS} SELECT caller, callee, kind FROM edges WHERE callee NOT IN (SELECT 'p' || p_partkey FROM part WHERE p_size < 10)")
+def blacklist_callees(spark, d):
+    names = A.table(spark, d, "part").where("p_size < 10").select(F.concat(F.lit("p"), "p_partkey").alias("name"))
+    return edges.without(A.call_edges(spark, d), names, "callee")
+
+
+@query("""SELECT l_orderkey * 10 + l_linenumber AS site, l_partkey AS callee FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size % 5 <> 0
+WHERE p_partkey IS NULL OR l_linenumber >= p_size % 7""")
+def arg_profile_filter(spark, d):
+    site = A.table(spark, d, "lineitem").select(F.expr("l_orderkey * 10 + l_linenumber").alias("site"), F.col("l_partkey").alias("callee"), F.col("l_linenumber").alias("n_args"))
+    known = A.table(spark, d, "part").where("p_size % 5 <> 0").select(F.col("p_partkey").alias("callee"), F.expr("p_size % 7").alias("n_params"))
+    return edges.fitting_targets(site, known)
+
+
+_SIGNATURE = ["caller", "expr", "n"]
+
+
+@query("""WITH s AS (SELECT o_orderkey AS site, o_custkey % 50 AS caller, o_orderpriority AS expr, (o_orderkey % 4) AS n FROM orders),
+m AS (SELECT DISTINCT p_partkey % 50 AS caller, CASE p_partkey % 3 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' ELSE '3-MEDIUM' END AS expr, CAST(p_size % 4 AS BIGINT) AS n, p_brand AS target FROM part)
+SELECT s.site, coalesce(m.target, '__unknown_indirect_target__') AS target, CASE WHEN m.target IS NULL THEN 'indirect-unknown' ELSE 'indirect' END AS kind FROM s LEFT JOIN m USING (caller, expr, n)""")
+def mapping_left_join(spark, d):
+    site = A.table(spark, d, "orders").selectExpr("o_orderkey as site", "o_custkey % 50 as caller", "o_orderpriority as expr", "o_orderkey % 4 as n")
+    known = A.table(spark, d, "part").selectExpr("p_partkey % 50 as caller", "case p_partkey % 3 when 0 then '1-URGENT' when 1 then '2-HIGH' else '3-MEDIUM' end as expr", "cast(p_size % 4 as bigint) as n", "p_brand as target").distinct()
+    return edges.resolve_by_mapping(site, known, _SIGNATURE)
+
+
+@query("""WITH a AS (SELECT l_orderkey AS site, l_partkey % 100 AS callee, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) - 1 AS pos, l_suppkey AS arg FROM lineitem),
+s AS (SELECT site, min(callee) AS callee FROM a GROUP BY site), p AS (SELECT p_partkey AS callee, unnest(range(p_size % 4)) AS pos FROM part WHERE p_partkey < 100)
+SELECT s.site, s.callee, CAST(a.pos AS BIGINT) AS pos, 's' || a.arg AS arg, 'q' || p.callee || '_' || p.pos AS param FROM s JOIN a USING (site) JOIN p ON p.callee = s.callee AND p.pos = a.pos""")
+def arg_param_binding(spark, d):
+    line = A.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("site")).agg(F.min(F.expr("l_partkey % 100")).alias("callee"), F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))).alias("x"))
+    args = line.select("site", "callee", F.expr("transform(x, y -> concat('s', y.l_suppkey))").alias("args"))
+    params = A.table(spark, d, "part").where("p_partkey < 100 and p_size % 4 > 0").select(F.col("p_partkey").alias("callee"), F.expr("transform(sequence(0, p_size % 4 - 1), i -> concat('q', p_partkey, '_', i))").alias("params"))
+    return edges.bind_arguments(args, params)
+
+
+@query(f"""WITH {A.PAIRS}, e AS (SELECT CASE WHEN callee LIKE '%7' THEN '<indirect-call>' ELSE callee END AS callee, caller FROM edges WHERE kind = 'direct'),
+c AS (SELECT DISTINCT callee AS token, caller FROM calls)
+SELECT token, caller FROM c WHERE (token, caller) IN (SELECT (callee, caller) FROM e)
+UNION ALL SELECT token, caller FROM c WHERE token NOT IN (SELECT callee FROM e) AND caller IN (SELECT caller FROM e WHERE callee = '<indirect-call>')""")
+def static_caller_semi(spark, d):
+    static = A.call_edges(spark, d).where("kind = 'direct'").withColumn("callee", F.expr("case when callee like '%7' then '<indirect-call>' else callee end"))
+    return edges.static_callers(A.runtime_calls(spark, d).select(F.col("callee").alias("token"), "caller").distinct(), static)
+
+
+@query(f"WITH {A.PAIRS} SELECT DISTINCT caller, callee FROM edges WHERE kind <> 'direct' AND (caller, callee) NOT IN (SELECT (caller, callee) FROM edges WHERE kind = 'direct')")
+def unresolved_reconcile(spark, d):
+    edge = A.call_edges(spark, d)
+    return edges.unresolved(edge.where("kind <> 'direct'"), edge.where("kind = 'direct'"), ["caller", "callee"])
+
+
+_SLOT = "CASE p_size % 4 WHEN 0 THEN 'r' || (p_partkey % 40) WHEN 1 THEN 'r' || (p_partkey % 40) || '.m' || (p_partkey % 7) WHEN 2 THEN 'r' || (p_partkey % 40) || '[' || (p_partkey % 3) || '].m' || (p_partkey % 7) ELSE 'r' || (p_partkey % 40) || '.m' || (p_partkey % 7) || '.n' || (p_partkey % 5) END"
+
+
+def _slots(spark, d):
+    return A.table(spark, d, "part").select("p_partkey", F.expr(_SLOT).alias("slot"))
+
+
+@query(f"""WITH s AS (SELECT DISTINCT {_SLOT} AS slot FROM part), p AS (SELECT slot, regexp_extract_all(slot, '(\\[[^\\]]*\\]|[.]?[^.\\[]+)') AS p FROM s),
+x AS (SELECT slot, p, unnest(range(1, len(p))) AS i FROM p)
+SELECT DISTINCT array_to_string(p[1:i], '') AS ancestor, slot AS descendant FROM x WHERE array_to_string(p[1:i], '') IN (SELECT slot FROM s)""")
+def prefix_descendants(spark, d):
+    return edges.prefix_descendants(_slots(spark, d))
+
+
+@query(f"""WITH s AS (SELECT p_partkey, {_SLOT} AS slot FROM part), x AS (SELECT p_partkey, regexp_extract(slot, '^([^.\\[]*)', 1) AS r, regexp_extract(slot, '\\.([^.\\[\\]]+)$', 1) AS m FROM s)
+SELECT DISTINCT a.p_partkey AS site, b.p_partkey AS target FROM x a JOIN x b ON a.r = b.r AND a.m = b.m WHERE a.m <> '' AND a.p_partkey % 3 = 0 AND b.p_partkey % 3 = 1""")
+def member_suffix_fallback(spark, d):
+    slot = _slots(spark, d)
+    return edges.same_member(slot.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("site"), "slot"), slot.where("p_partkey % 3 = 1").select(F.col("p_partkey").alias("target"), "slot"))
+
+
+@query("""WITH c AS (SELECT l_orderkey AS site, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS step, l_partkey AS target FROM lineitem)
+SELECT DISTINCT c.site, c.step, c.target FROM c JOIN (SELECT site, min(step) AS step FROM c GROUP BY site) f ON f.site = c.site AND f.step = c.step""")
+def first_nonempty_cascade(spark, d):
+    return edges.first_nonempty(A.table(spark, d, "lineitem").selectExpr("l_orderkey as site", "case l_returnflag when 'A' then 1 when 'N' then 2 else 3 end as step", "l_partkey as target"))
+
+
+# control flow
+
+
+@query(f"WITH {A.BLOCKS} SELECT DISTINCT fn, succ AS block, block AS pred FROM blocks WHERE succ IS NOT NULL")
+def predecessors(spark, d):
+    return cfg.predecessors(A.blocks(spark, d))
+
+
+@query(f"""WITH {A.BLOCKS}, e AS (SELECT DISTINCT fn, block, succ FROM blocks WHERE succ IS NOT NULL),
+k AS (SELECT fn, count(*) AS k FROM e GROUP BY fn, block UNION ALL SELECT fn, count(*) FROM e GROUP BY fn, succ)
+SELECT f.fn, coalesce(max(k) <= 1, true) AS linear FROM (SELECT DISTINCT fn FROM blocks) f LEFT JOIN k USING (fn) GROUP BY f.fn""")
+def linear_functions(spark, d):
+    return cfg.linear_functions(A.blocks(spark, d))
+
+
+_BUSY = "block % 2 = 0"
+
+
+def _calls(spark, d):
+    return A.blocks(spark, d).where(_BUSY).select("fn", "block").distinct().withColumn("n", F.lit(1))
+
+
+@query(f"""WITH RECURSIVE {A.BLOCKS}, c AS (SELECT DISTINCT fn, block, block AS reached FROM blocks
+UNION SELECT c.fn, c.block, b.succ FROM c JOIN blocks b ON b.fn = c.fn AND b.block = c.reached AND b.succ IS NOT NULL WHERE c.reached % 2 <> 0) SELECT fn, block, reached FROM c""")
+def epsilon_closure(spark, d):
+    return cfg.epsilon_closure(A.blocks(spark, d), _calls(spark, d))
+
+
+@query(f"""WITH RECURSIVE {A.BLOCKS}, p AS (SELECT fn, block, CAST(CASE WHEN block % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n FROM (SELECT DISTINCT fn, block FROM blocks WHERE succ IS NULL)
+UNION SELECT b.fn, b.block, p.n + CASE WHEN b.block % 2 = 0 THEN 1 ELSE 0 END FROM p JOIN blocks b ON b.fn = p.fn AND b.succ = p.block)
+SELECT x.fn, x.block, min(p.n) AS min_calls FROM (SELECT DISTINCT fn, block FROM blocks) x LEFT JOIN p USING (fn, block) GROUP BY ALL""")
+def min_calls_to_exit(spark, d):
+    block = A.blocks(spark, d)
+    return cfg.min_calls_to_exit(block, _calls(spark, d), block.where("succ is null").select("fn", "block").distinct())
+
+
+@query(f"""WITH RECURSIVE {A.BLOCKS}, e AS (SELECT DISTINCT fn, block, succ FROM blocks),
+h AS (SELECT fn, block, min(succ) AS dest FROM e WHERE succ IS NOT NULL AND block % 2 = 1 GROUP BY fn, block HAVING count(*) = 1),
+c AS (SELECT fn, block, dest FROM h UNION SELECT c.fn, c.block, h.dest FROM c JOIN h ON h.fn = c.fn AND h.block = c.dest),
+t AS (SELECT fn, block, max(dest) AS dest FROM c WHERE (fn, dest) NOT IN (SELECT (fn, block) FROM h) GROUP BY fn, block)
+SELECT DISTINCT e.fn, e.block, coalesce(t.dest, e.succ) AS succ FROM e LEFT JOIN t ON t.fn = e.fn AND t.block = e.succ WHERE (e.fn, e.block) NOT IN (SELECT (fn, block) FROM h)""")
+def passthrough_collapse(spark, d):
+    block = A.blocks(spark, d)
+    return cfg.collapse_passthrough(block, block.where("block % 2 = 1").select("fn", "block").distinct())
+
+
+@query("""WITH c AS (SELECT l_orderkey AS fn, l_linenumber % 2 AS block, l_linenumber AS pos, l_suppkey AS site FROM lineitem),
+f AS (SELECT fn, block, site, min(pos) AS pos FROM c GROUP BY ALL) SELECT fn, block, string_agg('f' || site, ',' ORDER BY pos, 'f' || site) AS callees FROM f GROUP BY fn, block""")
+def first_occurrence(spark, d):
+    call = A.table(spark, d, "lineitem").selectExpr("l_orderkey as fn", "l_linenumber % 2 as block", "l_linenumber as line_pos", "0 as call_pos", "l_suppkey as site", "concat('f', l_suppkey) as callee")
+    return cfg.ordered_callees(call)
+
+
+@query("""WITH x AS (SELECT l_orderkey AS fn, l_suppkey % 3 AS pointer, CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_linestatus END AS base FROM lineitem)
+SELECT fn, pointer, min(base) AS base FROM x GROUP BY fn, pointer HAVING count(*) = count(base) AND min(base) = max(base)""")
+def must_alias_unique_base(spark, d):
+    return cfg.unique_base(A.table(spark, d, "lineitem").selectExpr("l_orderkey as fn", "l_suppkey % 3 as pointer", "case when l_returnflag = 'R' then null else l_linestatus end as base"))
+
+
+# recursion
+
+
+@query(f"""WITH RECURSIVE {A.PAIRS}, r AS (SELECT caller AS seed, caller AS node FROM (SELECT DISTINCT caller FROM sparse WHERE caller NOT IN (SELECT callee FROM sparse))
+UNION SELECT r.seed, s.callee FROM r JOIN sparse s ON s.caller = r.node) SELECT seed, node FROM r""")
+def reachability(spark, d):
+    edge = loops.staged(A.sparse_edges(spark, d))
+    return loops.reachable(edge.toDF("src", "dst"), edges.roots(edge).withColumnRenamed("node", "seed"))
+
+
+@query(f"""WITH RECURSIVE {A.CYCLIC}, n AS (SELECT src AS node FROM cyclic UNION SELECT dst FROM cyclic),
+r AS (SELECT node AS a, node AS b FROM n UNION SELECT r.a, c.dst FROM r JOIN cyclic c ON c.src = r.b)
+SELECT x.a AS node, min(x.b) AS representative FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a""")
+def scc_representative(spark, d):
+    return loops.strong_components(A.cyclic_edges(spark, d))
+
+
+_CTX = """WITH RECURSIVE {pairs}, c AS (SELECT node AS fn, '' AS ctx, CAST([] AS VARCHAR[]) AS l FROM (SELECT DISTINCT caller AS node FROM sparse WHERE caller NOT IN (SELECT callee FROM sparse))
+UNION SELECT s.callee, array_to_string(list_append(c.l, c.fn)[-2:], '>'), list_append(c.l, c.fn)[-2:] FROM c JOIN sparse s ON s.caller = c.fn) """.format(pairs=A.PAIRS)
+
+
+@query(_CTX + "SELECT DISTINCT fn, ctx FROM c")
+def bounded_contexts(spark, d):
+    edge = loops.staged(A.sparse_edges(spark, d))
+    return loops.bounded_contexts(edge, edges.roots(edge), 2)[0]
+
+
+@query(_CTX + "SELECT DISTINCT c.fn, c.ctx, s.callee FROM c JOIN sparse s ON s.caller = c.fn")
+def bounded_context_edges(spark, d):
+    edge = loops.staged(A.sparse_edges(spark, d))
+    return loops.bounded_contexts(edge, edges.roots(edge), 2)[1]
+
+
+def _points_to(spark, d):
+    c = {k: loops.staged(v) for k, v in A.constraints(spark, d).items()}
+    return loops.points_to(c["addr"], c["copy"], c["load"], c["store"])
+
+
+def _points_to_sql(rounds: int = 9) -> str:
+    """Copies known so far are closed by recursion, then loads and stores add copies; so many times over."""
+    parts = [A.CONSTRAINTS, "c0 AS (SELECT src, dst FROM copy)"]
+    for i in range(rounds):
+        parts.append(f"p{i} AS (SELECT node, obj FROM addr UNION SELECT c.dst, p.obj FROM p{i} p JOIN c{i} c ON c.src = p.node)")
+        parts.append(f"c{i + 1} AS (SELECT src, dst FROM c{i} UNION SELECT p.obj, l.dst FROM p{i} p JOIN loads l ON l.ptr = p.node UNION SELECT s.src, p.obj FROM p{i} p JOIN stores s ON s.ptr = p.node)")
+    return "WITH RECURSIVE " + ",\n".join(parts)
+
+
+@query(_points_to_sql() + " SELECT node, obj FROM p8")
+def points_to(spark, d):
+    return _points_to(spark, d)
+
+
+@query(_points_to_sql() + """, probe AS (SELECT DISTINCT callee AS node FROM sparse), r AS (SELECT node AS probe, node AS hit FROM probe UNION SELECT r.probe, p.obj FROM r JOIN p8 p ON p.node = r.hit)
+SELECT probe, hit AS target FROM r WHERE probe <> hit AND hit IN (SELECT 'p' || (s_suppkey * 3) FROM supplier WHERE s_suppkey % 2 = 0)""")
+def transitive_targets(spark, d):
+    probes = A.sparse_edges(spark, d).select(F.col("callee").alias("node")).distinct()
+    names = A.table(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.concat(F.lit("p"), F.expr("s_suppkey * 3")).alias("name"))
+    return loops.transitive_targets(_points_to(spark, d), probes, names)
+
+
+@query(f"""WITH RECURSIVE {A.CONSTRAINTS}, r AS (SELECT DISTINCT dst AS node FROM loads UNION SELECT c.src FROM r JOIN copy c ON c.dst = r.node) SELECT node FROM r""")
+def relevant_nodes(spark, d):
+    c = A.constraints(spark, d)
+    return loops.relevant_nodes(c["copy"], c["load"].select(F.col("dst").alias("node")))
+
+
+@query(f"""WITH RECURSIVE {A.PAIRS}, r AS (SELECT DISTINCT 'p' || p_partkey AS fn FROM part WHERE p_size = 7 UNION SELECT s.caller FROM r JOIN sparse s ON s.callee = r.fn) SELECT fn FROM r""")
+def return_closure(spark, d):
+    seeds = A.table(spark, d, "part").where("p_size = 7").select(F.concat(F.lit("p"), "p_partkey").alias("fn"))
+    return loops.returning_functions(seeds, A.sparse_edges(spark, d).select(F.col("caller").alias("fn"), "callee"))
+
+
+# context runs: the oracle folds each trace with a list-valued stack [start, name index]
+
+_FOLD = """WITH RECURSIVE {log}, f AS (
+  SELECT trace, CAST(-1 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS st, CAST([] AS VARCHAR[]) AS nm, CAST(NULL AS BIGINT) AS own, CAST(NULL AS BIGINT) AS parent, CAST([] AS BIGINT[]) AS closed, false AS hit FROM (SELECT DISTINCT trace FROM log)
+  UNION ALL
+  SELECT trace, i, CASE kind WHEN 'Entry' THEN list_append(st, i) WHEN 'Exit' THEN CASE WHEN pos > 1 THEN st[1:pos - 1] ELSE CAST([] AS BIGINT[]) END ELSE st END,
+    CASE kind WHEN 'Entry' THEN list_append(nm, base_name) WHEN 'Exit' THEN CASE WHEN pos > 1 THEN nm[1:pos - 1] ELSE CAST([] AS VARCHAR[]) END ELSE nm END,
+    CASE kind WHEN 'Entry' THEN i WHEN 'Exit' THEN CASE WHEN pos > 0 THEN st[pos] END ELSE CASE WHEN pos > 0 THEN st[pos] ELSE st[-1] END END,
+    CASE WHEN kind = 'Entry' THEN st[-1] END, CASE WHEN kind = 'Exit' THEN st[greatest(pos, 1):] ELSE CAST([] AS BIGINT[]) END, pos > 0
+  FROM (SELECT f.trace, l.event_index AS i, f.st, f.nm, l.kind, l.base_name,
+      CASE WHEN list_contains(f.nm, l.base_name) THEN len(f.nm) - list_position(list_reverse(f.nm), l.base_name) + 1 ELSE 0 END AS pos
+    FROM f JOIN log l ON l.trace = f.trace AND l.event_index = f.i + 1)),
+last AS (SELECT trace, max(event_index) AS i FROM log GROUP BY trace),
+cl AS (SELECT trace, i AS ended, unnest(closed) AS start, hit, closed[1] AS low FROM f
+  UNION ALL SELECT f.trace, f.i, unnest(f.st), false, -1 FROM f JOIN last ON last.trace = f.trace AND last.i = f.i),
+own AS (SELECT trace, i AS event_index, own AS run_start, parent FROM f WHERE i >= 0),
+ent AS (SELECT trace, event_index AS start, base_name AS entrypoint, row_number() OVER (PARTITION BY trace, base_name ORDER BY event_index) AS ordinal FROM log WHERE kind = 'Entry'),
+runs AS (SELECT e.trace, e.entrypoint || '#' || e.ordinal || '@' || e.start AS context_id, e.entrypoint, e.ordinal, o.parent AS parent_start, e.start, c.ended AS "end",
+    (SELECT count(*) FROM own w WHERE w.trace = e.trace AND w.run_start = e.start) AS owned, NOT (c.hit AND c.low = e.start) AS forced
+  FROM ent e JOIN own o ON o.trace = e.trace AND o.event_index = e.start JOIN cl c ON c.trace = e.trace AND c.start = e.start),
+isl AS (SELECT trace, run_start, event_index, event_index - row_number() OVER (PARTITION BY trace, run_start ORDER BY event_index) AS g FROM own WHERE run_start IS NOT NULL),
+seg AS (SELECT trace, run_start, min(event_index) AS start, max(event_index) AS "end" FROM isl GROUP BY trace, run_start, g)
+""".format(log=A.LOG)
+
+
+@query(_FOLD + "SELECT * FROM runs")
+def context_runs(spark, d):
+    return runs.context_runs(A.trace_log(spark, d))
+
+
+@query(_FOLD + "SELECT trace, event_index, run_start FROM own")
+def owned_events(spark, d):
+    return runs.owners(A.trace_log(spark, d))
+
+
+@query(_FOLD + "SELECT * FROM seg")
+def segments(spark, d):
+    return runs.segments(runs.owners(A.trace_log(spark, d)))
+
+
+@query(_FOLD + """, n AS (SELECT seg.*, row_number() OVER (PARTITION BY trace, run_start ORDER BY start) AS nth FROM seg)
+SELECT n.trace, n.run_start, n."end" + 1 AS event_index, 'interrupt_start' AS kind, o.run_start AS related FROM n JOIN runs r ON r.trace = n.trace AND r.start = n.run_start LEFT JOIN own o ON o.trace = n.trace AND o.event_index = n."end" + 1 WHERE n."end" < r."end"
+UNION ALL SELECT n.trace, n.run_start, n.start, 'interrupt_end', o.run_start FROM n LEFT JOIN own o ON o.trace = n.trace AND o.event_index = n.start - 1 WHERE n.nth > 1""")
+def interrupts(spark, d):
+    log = A.trace_log(spark, d)
+    folded = loops.staged(runs.fold(log))
+    return runs.interrupts(runs.owners(log, folded), runs.context_runs(log, folded))
+
+
+@query(f"WITH {A.LOG} SELECT trace, event_index, base_name, row_number() OVER (PARTITION BY trace, base_name ORDER BY event_index) AS ordinal FROM log WHERE kind = 'Entry'")
+def run_ordinals(spark, d):
+    w = Window.partitionBy("trace", "base_name").orderBy("event_index")
+    return A.trace_log(spark, d).where("kind = 'Entry'").select("trace", "event_index", "base_name", F.row_number().over(w).cast("long").alias("ordinal"))
+
+
+@query(f"""WITH {A.LOG}, f AS (SELECT trace, base_name AS entrypoint, min(event_index) AS first FROM log WHERE kind = 'Entry' GROUP BY ALL)
+SELECT trace, entrypoint, row_number() OVER (PARTITION BY trace ORDER BY CASE entrypoint WHEN 'ep2' THEN 0 ELSE 1 END, first) - 1 AS lane FROM f""")
+def lanes(spark, d):
+    return runs.lanes(A.trace_log(spark, d), ["ep2"])
+
+
+@query(f"""WITH {A.LOG} SELECT trace, event_index, string_agg(base_name, ' | ') OVER (PARTITION BY trace ORDER BY event_index ROWS 2 PRECEDING) AS history FROM log WHERE kind = 'Plain'""")
+def recent_history(spark, d):
+    return runs.recent_history(A.trace_log(spark, d))
+
+
+@query(_FOLD + "SELECT trace, parent_start AS caller_start, start AS event_index, entrypoint AS callee FROM runs WHERE parent_start IS NOT NULL AND entrypoint IN ('ep0', 'ep1')")
+def child_calls(spark, d):
+    static = spark.createDataFrame([("main", "ep0"), ("main", "ep1")], "caller string, callee string")
+    return runs.child_calls(runs.context_runs(A.trace_log(spark, d)), static)
+
+
+# trees and ranking
+
+_TREE = """WITH RECURSIVE {pairs}, o AS (SELECT *, row_number() OVER (PARTITION BY context_id ORDER BY event_index, caller, callee) AS k FROM calls),
+t AS (SELECT context_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_index, [caller] AS st FROM o WHERE k = 1
+UNION ALL SELECT t.context_id, o.k, o.event_index, list_append(t.st[:CASE WHEN list_contains(t.st, o.caller) THEN len(t.st) - list_position(list_reverse(t.st), o.caller) + 1 ELSE 1 END], o.callee) FROM t JOIN o ON o.context_id = t.context_id AND o.k = t.k + 1),
+paths AS (SELECT context_id, event_index, array_to_string(st, '/') AS path, CAST(len(st) - 1 AS BIGINT) AS depth, st[1] AS root, st FROM t WHERE k > 0),
+tree AS (SELECT root, path, any_value(st) AS st, count(*) AS hits FROM paths GROUP BY root, path)
+""".format(pairs=A.PAIRS)
+
+
+@query(_TREE + "SELECT context_id, event_index, path, depth FROM paths")
+def occurrence_paths(spark, d):
+    return trees.call_paths(A.runtime_calls(spark, d))
+
+
+@query(_TREE + "SELECT root, path, hits FROM tree")
+def merged_tree(spark, d):
+    return trees.merged_tree(trees.call_paths(A.runtime_calls(spark, d)))
+
+
+_COVER = _TREE + """, s AS (SELECT DISTINCT caller, callee FROM edges),
+cov AS (SELECT n.root, n.path, count(c.path) AS covered, count(s.callee) - count(c.path) AS missed FROM tree n LEFT JOIN s ON s.caller = n.st[-1] LEFT JOIN tree c ON c.root = n.root AND c.path = n.path || '/' || s.callee GROUP BY n.root, n.path)
+"""
+
+
+@query(_COVER + "SELECT * FROM cov")
+def child_coverage(spark, d):
+    return trees.child_coverage(trees.merged_tree(trees.call_paths(A.runtime_calls(spark, d))), A.call_edges(spark, d))
+
+
+@query(_COVER + "SELECT root, count(*) AS nodes, CAST(sum(covered) AS BIGINT) AS covered, CAST(sum(missed) AS BIGINT) AS missed, round(CASE WHEN sum(covered + missed) = 0 THEN 100.0 ELSE 100.0 * sum(covered) / sum(covered + missed) END, 6) AS percent FROM cov GROUP BY root")
+def root_summary(spark, d):
+    return trees.root_summary(trees.child_coverage(trees.merged_tree(trees.call_paths(A.runtime_calls(spark, d))), A.call_edges(spark, d)))
+
+
+_RANK = f"""WITH {A.LOG}, c AS (SELECT DISTINCT p.trace, p.event_index, e.base_name AS caller, p.event_index - e.event_index AS depth FROM log p JOIN log e ON e.trace = p.trace AND e.kind = 'Entry' AND e.event_index < p.event_index AND e.event_index >= p.event_index - 10 WHERE p.kind = 'Plain'),
+r AS (SELECT *, row_number() OVER (PARTITION BY trace, event_index ORDER BY depth, caller) - 1 AS rank FROM c)"""
+
+
+def _candidates(spark, d):
+    """Callers of each plain event: the entries among the ten events before it, by an equi-join on trace and exploded index."""
+    log = A.trace_log(spark, d)
+    plain = log.where("kind = 'Plain'").select("trace", "event_index", F.explode(F.expr("sequence(1L, 10L)")).alias("depth"))
+    entry = log.where("kind = 'Entry'").select("trace", F.col("event_index").alias("at"), F.col("base_name").alias("caller"))
+    return plain.withColumn("at", F.col("event_index") - F.col("depth")).join(entry, ["trace", "at"]).select("trace", "event_index", "caller", "depth")
+
+
+@query(_RANK + " SELECT trace, event_index, caller, depth, rank, CAST(rank * 0.25 AS DOUBLE) AS delta FROM r")
+def rank_callers(spark, d):
+    return trees.rank_callers(_candidates(spark, d))
+
+
+@query(_RANK + " SELECT trace, event_index, caller, depth, rank + 1 AS place FROM r WHERE rank < 2")
+def top_k_candidates(spark, d):
+    return trees.top_k(_candidates(spark, d), ["trace", "event_index"], ["depth", "caller"], 2)
+
+
+@query(_RANK + ", e AS (SELECT trace, event_index, min(rank * 0.25) AS delta, count(*) AS choices FROM r GROUP BY ALL) SELECT trace, CAST(sum(delta) AS DOUBLE) AS score, count(*) AS events, count(*) FILTER (WHERE choices > 1) AS ambiguous FROM e GROUP BY trace")
+def best_total(spark, d):
+    return trees.best_total(trees.rank_callers(_candidates(spark, d)))
+
+
+# text
+
+
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(substr(text, 1, 200), '[ \t\n\x0B\f\r]+', ' ', 'g'), '^[ ]+', ''), '[ ]+$', '') AS normal,
+CASE WHEN source = '' THEN 'anon' ELSE regexp_replace(source, '[^A-Za-z0-9_]', '_', 'g') END AS id,
+array_to_string(list_distinct(regexp_extract_all(lang || '->' || source || '+' || lang, '([A-Za-z_][A-Za-z0-9_]*)', 1)), ',') <> '' AS named FROM documents""")
+def text_functions(spark, d):
+    doc = A.table(spark, d, "documents")
+    names = T.identifiers(F.concat("lang", F.lit("->"), "source", F.lit("+"), "lang"))
+    return doc.select("doc_id", T.normalize_space(F.substring("text", 1, 200)).alias("normal"), T.sanitize_id(F.col("source")).alias("id"), (F.array_join(names, ",") != "").alias("named"))
+
+
+@query(f"""WITH s AS (SELECT p_partkey, replace({_SLOT}, '.', '->') AS e FROM part), n AS (SELECT p_partkey, regexp_replace(replace(e, '->', '.'), '\\[[^\\]]*\\]', '[*]', 'g') AS expr FROM s)
+SELECT p_partkey, expr, regexp_extract(expr, '\\.([A-Za-z_][A-Za-z0-9_]*)$', 1) AS member, regexp_extract(expr, '^([^.\\[]*)', 1) AS root FROM n""")
+def indirect_signatures(spark, d):
+    expr = _slots(spark, d).select("p_partkey", T.normalize_indirect(F.replace("slot", F.lit("."), F.lit("->"))).alias("expr"))
+    return expr.select("p_partkey", "expr", T.member(F.col("expr")).alias("member"), T.slot_root(F.col("expr")).alias("root"))
+
+
+@query()
+def call_site_ids(spark, d):
+    key = F.concat_ws("|", F.concat(F.lit("f"), "l_orderkey"), F.concat(F.lit("a.c:"), "l_linenumber", F.lit(":1")), F.concat(F.lit("p"), "l_partkey"), F.lit(""), F.lit(""), F.lit(""))
+    return A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", T.call_site_id(key).alias("site"))
