@@ -49,7 +49,8 @@ SPLIT = 20_000
 CHUNK = 2_000_000
 #: Rows up to which a side of (doc_id, node, lead) or (node, node) is broadcast; larger ones are joined by a shuffle.
 SMALL = 200_000
-SLICE_BYTES = 8 << 20
+#: Text, or set, bytes that a worker handles at once.
+SLICE_BYTES = 2 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
