@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -29,3 +30,22 @@ def staged(df: DataFrame, *keys: str) -> DataFrame:
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*keys) if keys else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def set_aside(docs: DataFrame) -> DataFrame:
+    """text and fw_docs, a struct of all columns, whose names then can't clash with those that an operator adds."""
+    return docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("fw_docs"))
+
+
+def given_back(out: DataFrame, docs: DataFrame, text: Column, changed: Column | None = None) -> DataFrame:
+    """The columns of docs out of fw_docs, with text replaced and n_chars, where docs has it, its length (where changed holds)."""
+    columns = []
+    for field in docs.schema:
+        value = F.col("fw_docs").getField(field.name)
+        if field.name == "text":
+            value = text.cast(field.dataType)
+        elif field.name == "n_chars":
+            length = F.length(text).cast(field.dataType)
+            value = length if changed is None else F.when(changed, length).otherwise(value)
+        columns.append(value.alias(field.name))
+    return out.select(*columns)

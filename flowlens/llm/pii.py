@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm import spans as S
-from flowlens.llm.common import table
+from flowlens.llm.common import given_back, set_aside, table
 
 KINDS = ["email", "ip", "card", "phone", "iban", "national"]
 BASE = KINDS[:4]
@@ -70,9 +70,9 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span of text replaced by [PII]; the columns stay."""
-    out = scan(docs).withColumn("text", F.expr("cast(text as string)"))
-    return out.withColumn("text", S.masked("text", "found", "[PII]")).select(*docs.columns)
+    """docs with every span of text replaced by [PII], and n_chars brought up to date where docs has it. The columns stay."""
+    out = scan(set_aside(docs)).withColumn("text", F.expr("cast(text as string)"))
+    return given_back(out, docs, S.masked("text", "found", "[PII]"), F.size("found") > 0)
 
 
 def digest(scanned: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ Words are `[^\x20\x09-\x0D]+`. Base measures are exact: repeated windows are fou
 hashes of a text agree, by the words themselves.
 
 Defined results: null text counts as empty; a text without words has zeros everywhere and fails the base rule; blank lines
-are no lines. Repeated rows and null ids stay; columns of the input called like an added one are replaced.
+are no lines. Repeated rows and null ids stay; columns of the input called like an added one are replaced, but `clean` keeps
+them all as they are.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import table
+from flowlens.llm.common import given_back, set_aside, table
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -49,7 +50,7 @@ def line_rules(line: str = "x") -> dict[str, str]:
     n = f"regexp_count({line}, r'{_WORDS}')"
     phrases = " or ".join(f"contains(lower({line}), '{p}')" for p in BOILERPLATE)
     return {
-        "punctuation": rf"regexp_count({line}, r'[#*$%&|<>]') > {MAX_SYMBOLS_A_WORD} * {n} or regexp_count({line}, r'[!?]{{2,}}(?={_SPACE}|$)') > {MAX_SHOUTED} * {n}",
+        "punctuation": rf"regexp_count({line}, r'[#*$%&|<>]') > {MAX_SYMBOLS_A_WORD} * {n} or regexp_count({line}, r'[!?]{{2,}}(?={_SPACE}|\z)') > {MAX_SHOUTED} * {n}",
         "navigation": rf"regexp_count({line}, r'[|›»→•·]|::|>>') > {MAX_SEPARATORS_A_WORD} * {n} or ({n} <= {SHORT_LINE} and not rlike({line}, r'[.!?…。！？:;,]'))",
         "boilerplate": f"{n} <= {BOILERPLATE_WORDS} and ({phrases})",
     }
@@ -88,24 +89,43 @@ def judge(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
     """docs with the base measures, clean_text (the lines that pass, in order), lost (share of the line characters that went) and kept."""
     fails = " or ".join(f"({c})" for c in line_rules().values())
     out = measure(docs).withColumn("fw_good", F.expr(f"filter(fw_lines, x -> not ({fails}))"))
+    # the row number, which kept refers to, keeps Spark from moving filters below the measures: that would repeat them many times over
     out = out.withColumns({
         "clean_text": F.array_join("fw_good", "\n"),
         "lost": F.expr("1 - length(array_join(fw_good, '')) / greatest(length(array_join(fw_lines, '')), 1)"),
+        "fw_row": F.monotonically_increasing_id(),
     })
-    out = out.withColumn("kept", F.expr(f"not base_failed and lost <= {max_lost}"))
-    return out.drop("fw_text", "fw_words", "fw_lines", "fw_hash", "fw_windows", "fw_sorted", "fw_found", "fw_good")
+    out = out.withColumn("kept", F.expr(f"not base_failed and lost <= {max_lost} and fw_row >= 0"))
+    return out.drop("fw_row", "fw_text", "fw_words", "fw_lines", "fw_hash", "fw_windows", "fw_sorted", "fw_found", "fw_good")
 
 
 def clean(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
     """The rows of docs that are kept, with the failing lines out of text and n_chars, where docs has it, brought up to date. The columns stay."""
-    out = judge(docs, max_lost)
-    # the row number keeps Spark from moving the filter below the measures, which would repeat them many times over
-    out = out.withColumns({"fw_kept": F.col("kept"), "fw_row": F.monotonically_increasing_id()}).where("fw_kept and fw_row >= 0").withColumn("text", F.col("clean_text"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    out = judge(set_aside(docs), max_lost).where("kept")
+    return given_back(out, docs, F.col("clean_text"))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
     out = judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_PHRASES = " OR ".join(f"contains(lower(x), '{p}')" for p in BOILERPLATE)
+_N = r"len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))"
+OP2_SQL = rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+g AS (SELECT r, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM w)),
+p AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + {WINDOW})) AS p FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS c FROM g) WHERE c > 1) GROUP BY r),
+m AS (
+  SELECT w.*, coalesce(p.n, 0) AS n_repeat_words, len(w) < {MIN_WORDS} OR 100 * coalesce(p.n, 0) > {MAX_REPEAT_PERCENT} * len(w) AS base_failed,
+    list_filter(l, lambda x: NOT (
+      len(regexp_extract_all(x, '[#*$%&|<>]')) > {MAX_SYMBOLS_A_WORD} * {_N} OR len(regexp_extract_all(x, '[!?]{{2,}}([\x20\x09-\x0D]|$)')) > {MAX_SHOUTED} * {_N}
+      OR len(regexp_extract_all(x, '[|›»→•·]|::|>>')) > {MAX_SEPARATORS_A_WORD} * {_N} OR ({_N} <= {SHORT_LINE} AND NOT regexp_matches(x, '[.!?…。！？:;,]'))
+      OR ({_N} <= {BOILERPLATE_WORDS} AND ({_PHRASES})))) AS good
+  FROM w LEFT JOIN p USING (r))
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT base_failed AND 1 - length(array_to_string(good, '')) / greatest(length(array_to_string(l, '')), 1) <= {MAX_LOST} AS kept FROM m
+"""

@@ -17,6 +17,7 @@ QUERIES = {
     "op10_pii": pii.op10,
 }
 ORACLES = {
+    "op2_quality_rules": quality_rules.OP2_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op5_chat_formatting": chat.OP5_SQL,
     "op9_ngram_jaccard_join": ngram_join.OP9_SQL,

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.llm import spans as S
-from flowlens.llm.common import table
+from flowlens.llm.common import given_back, set_aside, table
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 N = len(ALPHABET)
@@ -128,11 +128,8 @@ def scan(docs: DataFrame, model: MarkovPair) -> DataFrame:
 
 def redact(docs: DataFrame, model: MarkovPair, label: str = "[SECRET]") -> DataFrame:
     """docs with every span of text replaced by label, and n_chars brought up to date where docs has it. The columns stay."""
-    out = scan(docs, model).withColumn("text", F.expr("cast(text as string)"))
-    out = out.withColumn("text", S.masked("text", "found", label))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("found") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    out = scan(set_aside(docs), model).withColumn("text", F.expr("cast(text as string)"))
+    return given_back(out, docs, S.masked("text", "found", label), F.size("found") > 0)
 
 
 def digest(scanned: DataFrame) -> DataFrame:
