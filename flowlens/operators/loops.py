@@ -163,3 +163,29 @@ def transitive_targets(pts: DataFrame, probes: DataFrame, functions: DataFrame)
 def returning_functions(seeds: DataFrame, returns: DataFrame) -> DataFrame:
     """seeds: fn that return pointers. returns: fn, callee of `return callee(...)`. All functions that return pointers."""
     return grow(seeds.select("fn").distinct(), lambda new: returns.join(new.withColumnRenamed("fn", "callee"), "callee").select("fn"))
+
+
+def resolve_indirect(facts: dict[str, DataFrame], sites: DataFrame, args: DataFrame, params: DataFrame, returns: DataFrame, receivers: DataFrame, functions: DataFrame, max_rounds: int = 8) -> DataFrame:
+    """Indirect calls by points-to sets, fed back until no call is new: site, target.
+
+    facts: addr, copy, load, store of `points_to`, and direct, if any: site, target of calls that are known. sites: site,
+    probe (a node whose targets it may call), n_args. args: site, pos, node. params: fn, pos, node. returns: fn, node.
+    receivers: site, node. functions: name, n_params (null where unknown). Each round solves the points-to sets, takes the
+    functions that the probes lead to and that the arguments fill, and adds copies from arguments to parameters and from
+    returns to receivers. Stops after max_rounds at the latest, as programs may feed back for long.
+    """
+    spark = sites.sparkSession
+    site = staged(sites.select("site", "probe", "n_args"))
+    known = staged(facts["direct"].select("site", "target").distinct()) if "direct" in facts else spark.createDataFrame([], "site string, target string")
+    calls = known
+    for _ in range(max_rounds):
+        passed = calls.join(args, "site").join(params.select(F.col("fn").alias("target"), "pos", F.col("node").alias("dst")), ["target", "pos"]).select(F.col("node").alias("src"), "dst")
+        given = calls.join(returns.select(F.col("fn").alias("target"), F.col("node").alias("src")), "target").join(receivers.withColumnRenamed("node", "dst"), "site").select("src", "dst")
+        pts = points_to(facts["addr"], facts["copy"].select("src", "dst").unionByName(passed).unionByName(given), facts["load"], facts["store"])
+        met = transitive_targets(pts, site.select(F.col("probe").alias("node")).distinct(), functions)
+        fit = site.join(met, "probe").join(functions.select(F.col("name").alias("target"), "n_params"), "target").where("n_params is null or n_args >= n_params")
+        found = staged(fit.select("site", "target").unionByName(known).distinct())
+        if not found.join(calls, ["site", "target"], "left_anti").take(1):
+            break
+        calls = found
+    return calls.join(site.select("site").distinct(), "site", "left_semi")

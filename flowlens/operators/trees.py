@@ -48,6 +48,25 @@ def child_coverage(tree: DataFrame, static: DataFrame) -> DataFrame:
     return both.groupBy("root", "path").agg(F.count_if(F.col("seen") == 1).alias("covered"), F.count_if(F.col("callee").isNotNull() & F.col("seen").isNull()).alias("missed"))
 
 
+def coverage_tree(tree: DataFrame, static: DataFrame) -> DataFrame:
+    """root, path, hits, taken: the tree, and below it the static callees that were never taken there, and theirs in turn.
+
+    A name that stands on the path already is not expanded again, so recursive programs end; the rows are as many as the
+    static call paths below the tree, so static should be sparse or without library calls.
+    """
+    from flowlens.operators.loops import grow, staged
+
+    edge = staged(static.select(F.col("caller").alias("name"), "callee").distinct())
+    taken = staged(tree.select("root", "path", "hits"))
+
+    def below(nodes: DataFrame) -> DataFrame:
+        last = nodes.select("root", "path", F.element_at(F.split("path", "/"), -1).alias("name")).join(edge, "name")
+        return last.where("not array_contains(split(path, '/'), callee)").select("root", F.concat_ws("/", "path", "callee").alias("path"))
+
+    missed = grow(below(taken).join(taken.select("root", "path"), ["root", "path"], "left_anti"), below)
+    return taken.withColumn("taken", F.lit(True)).unionByName(missed.withColumns({"hits": F.lit(0).cast("long"), "taken": F.lit(False)}))
+
+
 def root_summary(covered: DataFrame) -> DataFrame:
     out = covered.groupBy("root").agg(F.count("*").alias("nodes"), F.sum("covered").alias("covered"), F.sum("missed").alias("missed"))
     return out.withColumn("percent", F.round(F.expr("case when covered + missed = 0 then 100.0D else 100.0D * covered / (covered + missed) end"), 6))

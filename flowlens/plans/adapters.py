@@ -59,6 +59,29 @@ def trace_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def plain_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """trace, root, event_index, token: the events of each user, all run in `main`."""
+    log = trace_log(spark, sf_dir)
+    return log.select("trace", F.lit("main").alias("root"), "event_index", F.when(F.col("kind") == "Plain", F.col("base_name")).otherwise(F.lower("kind")).alias("token"))
+
+
+def event_program(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A small program whose functions are called like the events: blocks, calls, entries, exits. Views call clicks, clicks
+    and entries call errors, so most events have several possible callers."""
+    name = ["main", "view", "click", "entry"]
+    body = {"main": ["view", "click", "error", "entry", "exit"], "view": ["click", "error"], "click": ["error"], "entry": ["error", "click"]}
+    blocks, calls = [], []
+    for fn in name:  # block 0 leads to any of the callees' blocks, each of which leads back, or to the exit
+        for i, callee in enumerate(body[fn], 1):
+            blocks += [(fn, 0, i), (fn, i, 0)]
+            calls.append((fn, i, 0, callee))
+        blocks += [(fn, 0, 99), (fn, 99, None)]
+    frame = spark.createDataFrame
+    return (
+        frame(blocks, "fn string, block long, succ long"), frame(calls, "fn string, block long, pos int, callee string"),
+        frame([(fn, 0) for fn in name], "fn string, block long"), frame([(fn, 99) for fn in name], "fn string, block long"))
+
+
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fn, block, succ (null for the last): orders as functions, lines as blocks; every third block also skips one."""
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowlens.functions import text as T
-from flowlens.operators import cfg, edges, loops, runs, trees
+from flowlens.operators import cfg, edges, loops, paths, runs, trees
 from flowlens.plans import adapters as A
 
 QUERIES: dict = {}
@@ -438,6 +438,14 @@ def root_summary(spark, d):
     return trees.root_summary(trees.child_coverage(trees.merged_tree(trees.call_paths(A.runtime_calls(spark, d))), A.call_edges(spark, d)))
 
 
+@query(_TREE + """, x AS (SELECT n.root, n.path || '/' || s.callee AS path, list_append(n.st, s.callee) AS st FROM tree n JOIN sparse s ON s.caller = n.st[-1]
+  WHERE NOT list_contains(n.st, s.callee) AND (n.root, n.path || '/' || s.callee) NOT IN (SELECT (root, path) FROM tree)
+UNION SELECT x.root, x.path || '/' || s.callee, list_append(x.st, s.callee) FROM x JOIN sparse s ON s.caller = x.st[-1] WHERE NOT list_contains(x.st, s.callee))
+SELECT root, path, hits, true AS taken FROM tree UNION ALL SELECT root, path, 0, false FROM x""")
+def coverage_tree(spark, d):
+    return trees.coverage_tree(trees.merged_tree(trees.call_paths(A.runtime_calls(spark, d))), A.sparse_edges(spark, d))
+
+
 _RANK = f"""WITH {A.LOG}, c AS (SELECT DISTINCT p.trace, p.event_index, e.base_name AS caller, p.event_index - e.event_index AS depth FROM log p JOIN log e ON e.trace = p.trace AND e.kind = 'Entry' AND e.event_index < p.event_index AND e.event_index >= p.event_index - 10 WHERE p.kind = 'Plain'),
 r AS (SELECT *, row_number() OVER (PARTITION BY trace, event_index ORDER BY depth, caller) - 1 AS rank FROM c)"""
 
@@ -465,6 +473,21 @@ def best_total(spark, d):
     return trees.best_total(trees.rank_callers(_candidates(spark, d)))
 
 
+@query("""WITH c AS (SELECT l_orderkey AS context, l_quantity AS score, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity) - 1 AS place FROM lineitem),
+m AS (SELECT context, min(score) AS least FROM c GROUP BY context), d AS (SELECT context, place, score - least AS more FROM c JOIN m USING (context) WHERE place < 3),
+n AS (SELECT context FROM d WHERE place = 1 ORDER BY more, context DESC LIMIT 2),
+a AS (SELECT * FROM d WHERE context = (SELECT min(context) FROM n)), b AS (SELECT * FROM d WHERE context = (SELECT max(context) FROM n)),
+r AS (SELECT row_number() OVER (ORDER BY a.more + b.more, a.place, b.place) AS rank, a.more + b.more AS more, concat_ws(',', CASE WHEN a.place > 0 THEN a.context || ':' || a.place END, CASE WHEN b.place > 0 THEN b.context || ':' || b.place END) AS changes FROM a, b)
+SELECT CAST(rank AS INTEGER) AS rank, (SELECT sum(least) FROM m) + more AS total, changes FROM r WHERE rank <= 3""")
+def k_best_combination(spark, d):
+    return paths.best_combinations(A.table(spark, d, "lineitem").selectExpr("l_orderkey as context", "l_quantity as score"), 3)
+
+
+@query()
+def k_best_paths(spark, d):
+    return paths.best_paths(A.plain_events(spark, d), paths.call_automaton(*A.event_program(spark)), 4)
+
+
 # text
 
 
