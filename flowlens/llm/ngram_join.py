@@ -14,7 +14,8 @@ hashes (fewer words: the whole sequence as one). Two sets link at 100 * |both| >
    and the lead don't share, d(x) + d(y) bounds the difference of x and y: nodes near enough to the most central one link
    to it without being compared; each other node is compared with all of its group. Chunks exchange the nodes that are
    not in their group's main component.
-4. Pairs of different leads that share tokens enough are verified one by one.
+4. Pairs of different leads that share tokens enough are verified one by one, those first whose sketches allow a link: bit i
+   of a sketch is the parity of the tokens that fall on it, so two sketches differ in no more bits than the sets in tokens.
 5. Components over the links; all copies of a node get its component.
 
 No pair inside a component that is already known is made, and no link between components is lost.
@@ -120,6 +121,28 @@ def digests(rows: np.ndarray, found: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def sketches(rows: np.ndarray, found: np.ndarray, n: np.ndarray, which: np.ndarray) -> pa.Array:
+    """For the rows of the mask which, the parities of their tokens on 2n bits or more, a power of two; null for the others."""
+    bits = np.where(which, 64 << np.ceil(np.log2(np.maximum(n / 32, 1))).astype(np.int64), 0)
+    ends = np.cumsum(bits)
+    mine = which[rows]
+    at = (ends - bits)[rows[mine]] + (found[mine] & (bits[rows[mine]] - 1).astype(np.uint64)).astype(np.int64)
+    raw = np.packbits((np.bincount(at, minlength=int(ends[-1]) if len(ends) else 0) & 1).astype(bool))
+    offsets = pa.array(np.concatenate([[0], ends // 8]), pa.int32())
+    return pa.BinaryArray.from_buffers(pa.binary(), len(n), [pa.array(which, pa.bool_()).buffers()[1], offsets.buffers()[1], pa.py_buffer(raw)])
+
+
+def differing_bits(a: bytes, b: bytes) -> int:
+    """The number of bits in which two sketches differ, the longer one folded."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, y, size = int.from_bytes(a), int.from_bytes(b), 8 * len(a)
+    while size > 8 * len(b):
+        size //= 2
+        x = (x >> size) ^ (x & ((1 << size) - 1))
+    return (x ^ y).bit_count()
+
+
 def _slices(batch: pa.RecordBatch):
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 8)
     start = 0
@@ -149,8 +172,9 @@ def _summarise(batches):
                 [
                     pa.array(np.repeat([False, True], [len(n), len(df)])), pa.concat_arrays([part["doc_id"].cast(pa.int64()), pa.array(tokens)]),
                     pa.array(np.concatenate([node, np.zeros(len(df), np.int64)])), pa.array(np.concatenate([n, df]).astype(np.int64)),
+                    pa.concat_arrays([sketches(rows, found, n, one), pa.nulls(len(df), pa.binary())]),
                 ],
-                names=["is_token", "id", "node", "n"],
+                names=["is_token", "id", "node", "n", "sketch"],
             )
 
 
@@ -338,6 +362,18 @@ def _matcher(percent: int):
     return match
 
 
+def _prefilter(percent: int):
+    def may_link(batches):
+        """Drops pairs whose sketches differ in more bits than linked sets can differ in tokens."""
+        for batch in batches:
+            most = ((batch["nu"].to_numpy() + batch["nv"].to_numpy()) * (100 - percent)).tolist()
+            keep = [(100 + percent) * differing_bits(a, b) <= m for a, b, m in zip(batch["ka"].to_pylist(), batch["kb"].to_pylist(), most)]
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch["u"].filter(mask), batch["v"].filter(mask)], names=["u", "v"])
+
+    return may_link
+
+
 def _verifier(percent: int):
     def verify(batches):
         for batch in batches:
@@ -361,7 +397,7 @@ def components(docs: DataFrame, percent: int = PERCENT, *, hints: int = HINTS, c
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = staged(docs.mapInArrow(_summarise, "is_token boolean, id long, node long, n long"))
+    seen = staged(docs.mapInArrow(_summarise, "is_token boolean, id long, node long, n long, sketch binary"))
     rows = seen.where("not is_token").select(F.col("id").alias("doc_id"), "node", "n")
     top = seen.where("is_token").groupBy("id").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "id").limit(hints).toPandas().sort_values("id")
     held = spark.sparkContext.broadcast((top["id"].to_numpy(np.int64), top["n"].to_numpy(np.int64)))
@@ -410,8 +446,13 @@ def components(docs: DataFrame, percent: int = PERCENT, *, hints: int = HINTS, c
     x, y = known.alias("x"), known.alias("y")
     pairs = x.join(y, F.expr(f"""x.token = y.token and x.run = y.run and x.node < y.node and x.lead <> y.lead and x.root <> y.root and x.node <> y.lead and y.node <> x.lead
         and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and greatest(x.level, y.level) <= least(x.need, y.need)"""))
-    pairs = pairs.groupBy(F.col("x.node").alias("u"), F.col("y.node").alias("v")).agg(F.count("*").alias("k"), F.min(F.expr("least(x.need, y.need)")).alias("need")).where("k >= need")
-    pairs = staged(pairs.select("u", "v"))
+    pairs = pairs.groupBy(F.col("x.node").alias("u"), F.col("y.node").alias("v")).agg(
+        F.count("*").alias("k"), F.min(F.expr("least(x.need, y.need)")).alias("need"), F.min("x.n").alias("nu"), F.min("y.n").alias("nv")).where("k >= need")
+    pairs = staged(pairs.select("u", "v", "nu", "nv"))
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    sketch = staged(seen.where("sketch is not null").select("node", "sketch").join(ends, "node", "left_semi").dropDuplicates(["node"]))
+    both = pairs.join(sketch.toDF("u", "ka"), "u").join(sketch.toDF("v", "kb"), "v")
+    pairs = staged(both.select("u", "v", "nu", "nv", "ka", "kb").mapInArrow(_prefilter(percent), "u long, v long"))
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     full = sets(wanted.select("node", F.lit(0).cast("long").alias("lead"), F.lit(0).cast("long").alias("chunk"), F.lit(True).alias("asks"))).select("node", "tokens")
     with_u = pairs.join(full.toDF("u", "sa"), "u")

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from flowlens.llm import ngram_join as J
@@ -74,3 +75,16 @@ def test_components_of_long_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(60)] + [(200, 200 + i) for i in range(1, 50)] + [(7, 7), (None, 3), (500, 499)]
     found = {r["node"]: r["root"] for r in connected(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert found == {**{i: 0 for i in range(61)}, **{200 + i: 200 for i in range(50)}, 499: 499, 500: 499}
+
+
+def test_sketches_never_hide_a_link():
+    r = np.random.default_rng(5)
+    for _ in range(300):
+        n = int(r.integers(1, 400))
+        a = r.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.concatenate([a[: int(r.integers(0, n + 1))], r.integers(0, 1 << 63, int(r.integers(0, n + 1))).astype(np.uint64)])
+        sizes = np.array([len(a), len(b)])
+        found = J.sketches(np.repeat([0, 1], sizes), np.concatenate([a, b]), sizes, sizes > 0).to_pylist()
+        if len(b):
+            assert J.differing_bits(*found) <= len(set(a.tolist()) ^ set(b.tolist()))
+            assert J.differing_bits(found[0], found[0]) == 0
