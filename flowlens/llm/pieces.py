@@ -28,13 +28,31 @@ MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Bound on a model's pieces: every task holds them.
 MAX_PIECES = 1 << 20
-#: Words that a worker remembers between batches; the memory is emptied when full, which changes no result.
-CACHED_WORDS = 300_000
+#: Words that a worker remembers between batches, in each of two generations; forgetting changes no result.
+CACHED_WORDS = 200_000
 CACHED_PAIRS = 1_000_000
 #: Text bytes that are encoded at once.
 SLICE_BYTES = 8 << 20
 
 
+class _Memory:
+    """What was made of the latest words: when the newer generation is full, the older one goes."""
+
+    def __init__(self, limit: int):
+        self.limit, self.new, self.old = limit, {}, {}
+
+    def of(self, words: list[str], make) -> list:
+        """make(sorted words that aren't remembered) gives their values; returns those of all words."""
+        new, old = self.new, self.old
+        missing = sorted(w for w in words if w not in new and w not in old)
+        made = dict(zip(missing, make(missing)))
+        out = [made[w] if w in made else new[w] if w in new else old[w] for w in words]
+        if len(new) + len(words) > self.limit:
+            self.old, self.new = new, {}
+        self.new.update(zip(words[: self.limit], out))
+        return out
+
+
 class PieceModel:
     def __init__(self, blob: bytes, kind: str | None = None):
         """blob: the model file. kind: 'unigram' or 'bpe' to read the pieces so whatever the file says."""
@@ -62,18 +80,21 @@ class PieceModel:
         self.scores = [np.float32(p.score) for p in proto.pieces]
         normal = [p.score for p in proto.pieces if p.type == 1]
         self.unknown = np.float32(np.float32(min(normal, default=0.0)) - np.float32(10))
-        self.longest = max(map(len, self.ids), default=1)
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece reaches over the start of a word")
         if self.kind == "bpe":
             if any(c not in self.ids for p in self.ids for c in p):
                 raise ValueError("a bpe model needs every character as a piece")
             self._undo({-x for x, n in Counter(normal).items() if n > 1})
+        #: for the last three characters of a piece the length of the longest piece that ends so
+        self.reach: dict[str, int] = {}
+        for p, i in self.ids.items():
+            if len(p) > 2 and (self.kind == "unigram" or self.whole[i]):
+                self.reach[p[-3:]] = max(len(p), self.reach.get(p[-3:], 0))
         self._fresh()
 
     def _fresh(self) -> None:
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.counts: dict[str, int] = {}
+        self.words, self.counts = _Memory(CACHED_WORDS), _Memory(CACHED_WORDS)
         self.pairs: dict[int, bool] = {}
         self.automaton = None
 
@@ -162,10 +183,10 @@ class PieceModel:
         return out
 
     def _forward_bpe(self, word: str, n: int, last: list[int], best: list) -> None:
-        ids, whole, allowed, longest = self.ids, self.whole, self.allowed, self.longest
+        ids, whole, allowed, reach = self.ids, self.whole, self.allowed, self.reach
         for end in range(n + 1, len(word) + 1):
             found = -2 - ord(word[end - 1])
-            for start in range(max(0, end - longest), end):
+            for start in range(max(0, end - reach.get(word[end - 3 : end], 2)) if end > 2 else 0, end):
                 i = ids.get(word[start:end])
                 if i is not None and whole[i] and ((p := last[start]) < 0 or allowed(p, i)):
                     found = i
@@ -173,10 +194,10 @@ class PieceModel:
             last.append(found)
 
     def _forward_unigram(self, word: str, n: int, last: list[int], best: list) -> None:
-        ids, scores, longest = self.ids, self.scores, self.longest
+        ids, scores, reach = self.ids, self.scores, self.reach
         for end in range(n + 1, len(word) + 1):
             found, top = None, None
-            for start in range(max(0, end - longest), end):
+            for start in range(max(0, end - reach.get(word[end - 3 : end], 2)) if end > 2 else 0, end):
                 i = ids.get(word[start:end])
                 if i is not None and (top is None or best[start] + scores[i] > top):
                     found, top = i, best[start] + scores[i]
@@ -200,26 +221,11 @@ class PieceModel:
         return tuple(out)
 
     def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
-        if len(self.words) + len(words) > CACHED_WORDS:
-            self.words = {}
-        known = self.words
-        new = sorted(w for w in words if w not in known)
-        fresh = dict(zip(new, self.encode_sorted(new)))
-        out = [fresh[w] if w in fresh else known[w] for w in words]
-        if len(known) + len(fresh) <= CACHED_WORDS:
-            known.update(fresh)
-        return out
+        return self.words.of(words, self.encode_sorted)
 
     # counting: every match from an Aho-Corasick automaton, only the number of pieces is carried along
     def count_words(self, words: list[str]) -> list[int]:
-        if len(self.counts) + len(words) > CACHED_WORDS:
-            self.counts = {}
-        known = self.counts
-        fresh = {w: self._count(w) for w in words if w not in known}
-        out = [fresh[w] if w in fresh else known[w] for w in words]
-        if len(known) + len(fresh) <= CACHED_WORDS:
-            known.update(fresh)
-        return out
+        return self.counts.of(words, lambda new: map(self._count, new))
 
     def _count(self, word: str) -> int:
         if self.automaton is None:
