@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 BLANK = r"[ \t\n\x0B\f\r]"
 
@@ -97,3 +97,73 @@ def call_site_id(key: pd.Series) -> pd.Series:
         return f"cs_{h}"
 
     return key.map(one, na_action=None)
+
+
+def canonical_slot(c: Column) -> Column:
+    """The dotted path of an access without address marks and indices, or else the last identifier; empty without one."""
+    plain = F.regexp_replace(F.regexp_replace(F.replace(c, F.lit("->"), F.lit(".")), r"\[[^\]]*\]", ""), r"^[&*(\s]+", "")
+    dotted = plain.rlike(r"^\s*[A-Za-z_]\w*(\s*\.\s*[A-Za-z_]\w*)+[\s;)]*$")
+    last = F.coalesce(F.try_element_at(F.regexp_extract_all(plain, F.lit(r"[A-Za-z_]\w*"), F.lit(0)), F.lit(-1)), F.lit(""))
+    return F.when(dotted, F.regexp_replace(plain, r"[\s;)]+", "")).otherwise(last)
+
+
+def callee_name(c: Column) -> Column:
+    """The slot in front of the first parenthesis; empty where there is none."""
+    return F.when(F.contains(c, F.lit("(")), canonical_slot(F.substring_index(c, "(", 1))).otherwise("")
+
+
+def assigned_slot(c: Column) -> Column:
+    """The slot that a line assigns to: before the first = that stands next to no other one."""
+    return memory_slot(F.regexp_extract(F.regexp_extract(c, r"^(.*?(?<!=))=(?!=)", 1), r"([A-Za-z_][\w.\[\]>-]*)\s*$", 1))
+
+
+def struct_access(c: Column) -> Column:
+    """base and member (the path below it) of an access, indices left out."""
+    plain = F.regexp_replace(F.regexp_replace(F.replace(c, F.lit("->"), F.lit(".")), r"\[[^\]]*\]", ""), r"\s+|^[&*(]+", "")
+    return F.struct(F.substring_index(plain, ".", 1).alias("base"), F.regexp_extract(plain, r"^[^.]*\.(.*)$", 1).alias("member"))
+
+
+def _last_call(text: str) -> list[str]:
+    """What stands between the commas of the last outermost parentheses; quotes and brackets are kept together."""
+    depth, quote, start, parts, found = 0, "", 0, [], []
+    for i, ch in enumerate(text):
+        if quote:
+            if ch == quote and text[i - 1] != "\\":
+                quote = ""
+        elif ch in "\"'":
+            quote = ch
+        elif ch in "([{":
+            if depth == 0:
+                start, parts = i + 1, []
+            depth += 1
+        elif ch in ")]}" and depth:
+            depth -= 1
+            if depth == 0:
+                if ch == ")":
+                    found = [*parts, text[start:i]]
+        elif ch == "," and depth == 1:
+            parts.append(text[start:i])
+            start = i + 1
+    found = [x.strip() for x in found]
+    return [] if found == [""] else found
+
+
+@pandas_udf(ArrayType(StringType()))
+def call_arguments(line: pd.Series) -> pd.Series:
+    """The argument texts of the last call of a line; nesting is beyond regular expressions."""
+    return line.map(lambda x: None if x is None else _last_call(x), na_action=None)
+
+
+#: Library functions that copy memory from their second to their first argument, and those that clear it.
+COPIES = "memcpy memmove mempcpy __builtin_memcpy __builtin_memmove __builtin_mempcpy strcpy stpcpy strncpy strlcpy wcscpy wmemcpy wmemmove strcat strncat".split()
+CLEARS = "memset bzero explicit_bzero __builtin_memset".split()
+
+
+def memory_transfer(c: Column) -> Column:
+    """source, target of the copy that a line makes, or the target alone of what it clears; null for other lines."""
+    name, args = callee_name(c), call_arguments(c)
+    first, second = F.get(args, 0), F.get(args, 1)
+    copy = F.struct(second.alias("source"), first.alias("target"))
+    swapped = F.struct(first.alias("source"), second.alias("target"))
+    cleared = F.struct(F.lit(None).cast("string").alias("source"), first.alias("target"))
+    return F.when(name.isin(COPIES) & (F.size(args) >= 2), copy).when((name == "bcopy") & (F.size(args) >= 2), swapped).when(name.isin(CLEARS) & (F.size(args) >= 1), cleared)

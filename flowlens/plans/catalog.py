@@ -507,6 +507,15 @@ def indirect_signatures(spark, d):
     return expr.select("p_partkey", "expr", T.member(F.col("expr")).alias("member"), T.slot_root(F.col("expr")).alias("root"))
 
 
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 4 = 3 THEN NULL WHEN l_linenumber % 4 = 2 THEN NULL ELSE 'q.s[' || l_suppkey || ']' END AS source,
+CASE WHEN l_linenumber % 4 = 3 THEN NULL ELSE 'p' || l_partkey END AS target FROM lineitem""")
+def memory_transfers(spark, d):
+    line = F.expr("""case l_linenumber % 4 when 0 then concat('x = memcpy(p', l_partkey, ', q.s[', l_suppkey, '], min(a, b));') when 1 then concat('bcopy(q.s[', l_suppkey, '], p', l_partkey, ', n);')
+        when 2 then concat('memset(p', l_partkey, ', 0, n)') else concat('send(p', l_partkey, ', ', l_suppkey, ')') end""")
+    moved = A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", T.memory_transfer(line).alias("m"))
+    return moved.select("l_orderkey", "l_linenumber", "m.source", "m.target")
+
+
 @query()
 def call_site_ids(spark, d):
     key = F.concat_ws("|", F.concat(F.lit("f"), "l_orderkey"), F.concat(F.lit("a.c:"), "l_linenumber", F.lit(":1")), F.concat(F.lit("p"), "l_partkey"), F.lit(""), F.lit(""), F.lit(""))

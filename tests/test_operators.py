@@ -166,6 +166,19 @@ def test_text_functions(spark):
     assert one(T.call_site_id, "") == "cs_1469598103934665603" and one(T.call_site_id, None) is None
 
 
+def test_text_of_calls_and_accesses(spark):
+    one = lambda f, x: spark.createDataFrame([(x,)], "c string").select(f(F.col("c"))).first()[0]
+    assert [one(T.canonical_slot, x) for x in ("&a->b[3].c", "*p", "struct foo *bar", "x . y", "", "int n")] == ["a.b.c", "p", "bar", "x.y", "", "n"]
+    assert [one(T.callee_name, x) for x in ("x = memcpy(d, s)", "fp->run(1)", "no call")] == ["memcpy", "fp.run", ""]
+    assert [one(T.assigned_slot, x) for x in ("t[i].h = f(x);", "int *p = q;", "if (a == b)", "a <= b")] == ["t[*].h", "p", "", ""]
+    assert tuple(one(T.struct_access, "a->b[2].c")) == ("a", "b.c") and tuple(one(T.struct_access, "a")) == ("a", "")
+    assert one(T.call_arguments, 'f(a, g(b, c), "x,)", d[1, 2]);') == ["a", "g(b, c)", '"x,)"', "d[1, 2]"]
+    assert [one(T.call_arguments, x) for x in ("f()", "f", "(a)(b, c)", "f(a", None)] == [[], [], ["b", "c"], [], None]
+    moved = lambda x: (lambda r: r and tuple(r))(one(T.memory_transfer, x))
+    assert moved("memcpy(d, s, n);") == ("s", "d") and moved("bcopy(s, d, n)") == ("s", "d") and moved("x = __builtin_memset(&b, 0, n);") == (None, "&b")
+    assert moved("f(d, s)") is None and moved("memcpy(d)") is None
+
+
 # sources and sinks
 
 
