@@ -115,8 +115,3 @@ def child_calls(runs: DataFrame, static: DataFrame) -> DataFrame:
     """Calls that parents make by entering a child run, where the child's entrypoint has static callers: trace, caller_start, event_index, callee."""
     known = static.select(F.col("callee").alias("entrypoint")).distinct()
     return runs.where("parent_start is not null").join(known, "entrypoint", "left_semi").select("trace", F.col("parent_start").alias("caller_start"), F.col("start").alias("event_index"), F.col("entrypoint").alias("callee"))
-
-
-def stream_plain_counts(stream: DataFrame, late: str = "10 minutes", span: str = "1 hour") -> DataFrame:
-    """Structured Streaming: plain events by name and time window; later ones than the watermark are left out. stream: ts, kind, base_name."""
-    return stream.withWatermark("ts", late).where("kind = 'Plain'").groupBy(F.window("ts", span), "base_name").agg(F.count("*").alias("n"))

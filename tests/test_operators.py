@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from flowlens.functions import text as T
 from flowlens.operators import cfg, edges, loops, paths, runs, trees
 from flowlens.sources import facts, sinks
+from flowlens.streaming import runs as streamed
 
 
 def frame(spark, schema, *rows):
@@ -224,7 +225,7 @@ def test_logs_are_read_by_file(spark, tmp_path):
 def test_streamed_counts(spark, tmp_path):
     frame(spark, "ts timestamp, kind string, base_name string").unionByName(spark.sql("select timestamp'2024-01-01 10:00:00' as ts, 'Plain' as kind, 'f' as base_name union all select timestamp'2024-01-01 10:30:00', 'Plain', 'f' union all select timestamp'2024-01-01 10:31:00', 'Entry', 'f'")).write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema("ts timestamp, kind string, base_name string").parquet(str(tmp_path / "in"))
-    out = runs.stream_plain_counts(source).writeStream.format("memory").queryName("counts").outputMode("update").trigger(availableNow=True).start()
+    out = streamed.plain_counts(source).writeStream.format("memory").queryName("counts").outputMode("update").trigger(availableNow=True).start()
     out.awaitTermination(120)
     assert [(r["base_name"], r["n"]) for r in spark.table("counts").collect()] == [("f", 2)]
 
@@ -287,3 +288,15 @@ def test_indirect_calls_are_fed_back(spark):
     functions = frame(spark, "name string, n_params int", ("f", 1), ("g", 0), ("h", 1))
     found = loops.resolve_indirect(facts_of, sites, args, params, frame(spark, "fn string, node string"), frame(spark, "site string, node string"), functions)
     assert got(found) == [("s1", "f"), ("s2", "g")]
+
+
+def test_streamed_runs_close_across_batches(spark, tmp_path):
+    events = log(spark, "main_entry f ISR_entry g ISR_exit h other_entry main_exit f_exit", ["main", "ISR", "other"])
+    rows = events.select("trace", "event_index", "kind", "base_name").orderBy("event_index").collect()
+    for n, part in enumerate((rows[:4], rows[4:6], rows[3:])):
+        spark.createDataFrame(part, "trace long, event_index long, kind string, base_name string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema("trace long, event_index long, kind string, base_name string").parquet(str(tmp_path / "in"))
+        query = streamed.closed_runs(source).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+    found = got(spark.read.parquet(str(tmp_path / "out")).select("entrypoint", "start", "parent_start", "end", "owned", "forced"))
+    assert found == got(runs.context_runs(events).select("entrypoint", "start", "parent_start", "end", "owned", "forced"))
