@@ -10,14 +10,14 @@ hashes (fewer words: the whole sequence as one). Two sets link at 100 * |both| >
    candidates; a pair must share min(l, l') tokens of the prefixes of that length. Prefixes meet by token; tokens that
    only one node has are dropped, and a token's nodes are parted where their sizes are too far apart to link. The smallest
    node of such a run leads it, a node's lead is its smallest leader.
-3. `match`: the sets of a lead's nodes meet (large groups in chunks of CHUNK tokens). With d(x) the number of tokens that x
+3. `match`: nodes whose sketches allow no link in their lead's group leave it; the sets of the others meet (large groups in chunks of CHUNK tokens). With d(x) the number of tokens that x
    and the lead don't share, d(x) + d(y) bounds the difference of x and y: nodes near enough to the most central one link
    to it without being compared; each other node is compared with all of its group. Chunks exchange the nodes that are
    not in their group's main component.
-4. Pairs of different leads that share tokens enough are verified one by one, those first whose sketches allow a link: bit i
-   of a sketch is the parity of the tokens that fall on it, so two sketches differ in no more bits than the sets in tokens.
+4. Pairs of different leads that share tokens enough, and whose sketches allow a link, are verified one by one.
 5. Components over the links; all copies of a node get its component.
 
+Bit i of a sketch is the parity of the tokens that fall on it, so two sketches differ in no more bits than the sets in tokens.
 No pair inside a component that is already known is made, and no link between components is lost.
 
 Defined results: null or wordless text has 0 shingles and is its own component; a null doc_id takes no part in links and
@@ -48,6 +48,8 @@ MAX_MATCHES = 12
 SPLIT = 20_000
 #: Tokens of the sets that one task compares with each other.
 CHUNK = 2_000_000
+#: Rows of a group up to which sketches are compared before sets are fetched; larger groups fetch all.
+GROUP = 8192
 #: Rows up to which a side of (doc_id, node, lead) or (node, node) is broadcast; larger ones are joined by a shuffle.
 SMALL = 200_000
 #: Text, or set, bytes that a worker handles at once.
@@ -374,6 +376,33 @@ def _prefilter(percent: int):
     return may_link
 
 
+def have_company(sketch: list[bytes], n: np.ndarray, percent: int) -> np.ndarray:
+    """For each sketch whether that of another set allows a link with it."""
+    size = min(map(len, sketch))
+    bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, size), axis=0) for x in sketch]).view(np.uint64)
+    found = np.zeros(len(n), bool)
+    for i in range(len(n)):
+        if not found[i]:
+            near = (100 + percent) * np.bitwise_count(bits ^ bits[i]).sum(1, dtype=np.int64) <= (100 - percent) * (n + n[i])
+            near[i] = False
+            found |= near
+            found[i] = near.any()
+    return found
+
+
+def _accompanied(percent: int, most: int):
+    def accompanied(batches):
+        """Rows lead, chunk, node, asks, n, sketch by group: drops those that can link to none of their group; groups of over most rows go on whole."""
+        for (lead, chunk), group in _groups(batches, ["lead", "chunk"]):
+            k = len(group["node"])
+            keep = have_company(group["sketch"], np.array(group["n"], np.int64), percent) if k <= most else np.ones(k, bool)
+            if keep.any():
+                columns = [pa.array(np.full(k, lead)), pa.array(np.full(k, chunk)), pa.array(group["node"], pa.int64()), pa.array(group["asks"], pa.bool_())]
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in columns], names=["lead", "chunk", "node", "asks"])
+
+    return accompanied
+
+
 def _verifier(percent: int):
     def verify(batches):
         for batch in batches:
@@ -405,6 +434,7 @@ def components(docs: DataFrame, percent: int = PERCENT, *, hints: int = HINTS, c
     met = docs.mapInArrow(_emitter(held, percent, cost, max_matches, split), "token long, node long, info long")
     met = met.repartition("token", F.expr("info & 255")).sortWithinPartitions("token", F.expr("info >> 24"), "node")
     shared = staged(met.mapInArrow(_bucketer(percent), "token long, node long, info long, run long"))
+    sketch = staged(seen.where("sketch is not null").select("node", "n", "sketch").dropDuplicates(["node"]))
     one = rows.where("doc_id is not null and n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
     def sets(places: DataFrame) -> DataFrame:
@@ -414,6 +444,8 @@ def components(docs: DataFrame, percent: int = PERCENT, *, hints: int = HINTS, c
         return docs.join(_sized(wanted, small), "doc_id").select("text", "node", "places").mapInArrow(_fetch, "lead long, chunk long, node long, asks boolean, tokens binary")
 
     def matched(places: DataFrame) -> DataFrame:
+        told = places.join(sketch, "node").repartition("lead", "chunk").sortWithinPartitions("lead", "chunk", "node")
+        places = staged(told.select("lead", "chunk", "node", "asks", "n", "sketch").mapInArrow(_accompanied(percent, GROUP), "lead long, chunk long, node long, asks boolean"))
         met = sets(places).repartition("lead", "chunk").sortWithinPartitions("lead", "chunk", "node")
         return staged(met.mapInArrow(_matcher(percent), "u long, v long"))
 
@@ -449,9 +481,8 @@ def components(docs: DataFrame, percent: int = PERCENT, *, hints: int = HINTS, c
     pairs = pairs.groupBy(F.col("x.node").alias("u"), F.col("y.node").alias("v")).agg(
         F.count("*").alias("k"), F.min(F.expr("least(x.need, y.need)")).alias("need"), F.min("x.n").alias("nu"), F.min("y.n").alias("nv")).where("k >= need")
     pairs = staged(pairs.select("u", "v", "nu", "nv"))
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    sketch = staged(seen.where("sketch is not null").select("node", "sketch").join(ends, "node", "left_semi").dropDuplicates(["node"]))
-    both = pairs.join(sketch.toDF("u", "ka"), "u").join(sketch.toDF("v", "kb"), "v")
+    bits = sketch.select("node", "sketch")
+    both = pairs.join(bits.toDF("u", "ka"), "u").join(bits.toDF("v", "kb"), "v")
     pairs = staged(both.select("u", "v", "nu", "nv", "ka", "kb").mapInArrow(_prefilter(percent), "u long, v long"))
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     full = sets(wanted.select("node", F.lit(0).cast("long").alias("lead"), F.lit(0).cast("long").alias("chunk"), F.lit(True).alias("asks"))).select("node", "tokens")

@@ -88,3 +88,14 @@ def test_sketches_never_hide_a_link():
         if len(b):
             assert J.differing_bits(*found) <= len(set(a.tolist()) ^ set(b.tolist()))
             assert J.differing_bits(found[0], found[0]) == 0
+
+
+def test_company_is_found_by_any_pivot():
+    r = np.random.default_rng(6)
+    base = r.integers(0, 1 << 63, 200).astype(np.uint64)
+    sets = [base, base[:190], r.integers(0, 1 << 63, 150).astype(np.uint64), base[5:], r.integers(0, 1 << 63, 900).astype(np.uint64)]
+    n = np.array([len(x) for x in sets])
+    found = J.sketches(np.repeat(np.arange(5), n), np.concatenate(sets), n, n > 0).to_pylist()
+    assert J.have_company(found, n, 80)[[0, 1, 3]].all()
+    assert J.have_company(found[:3], n[:3], 80).tolist() == [True, True, False]
+    assert J.have_company(found[:1], n[:1], 80).tolist() == [False]
