@@ -38,6 +38,8 @@ END = 50256
 LENGTH = 2048
 PER_SHARD = 8192
 KEY = 20240601
+#: Characters from which a text counts as long.
+LONG = 1 << 20
 ROUNDS = 6
 
 
@@ -86,25 +88,26 @@ def _read_ranks(path: str) -> dict[bytes, int]:
 _encoders: dict[str, object] = {}
 
 
-def _ids(batches, ranks, name: str, end: int) -> Iterator[tuple[object, np.ndarray]]:
-    """(doc_id, its ids and the end id) for each text that is not null."""
+def _ids(batches, ranks, name: str) -> Iterator[tuple[object, list[int] | np.ndarray]]:
+    """(doc_id, its ids) for each text that is not null: as a list, which is faster, or for long texts an array, which is smaller."""
     import tiktoken
 
     if name not in _encoders:
         _encoders.clear()
         _encoders[name] = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks.value, special_tokens={})
-    encode = _encoders[name].encode_to_numpy
+    encoder = _encoders[name]
     for batch in batches:
-        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
-            if text.is_valid:
-                ids = encode(text.as_py(), disallowed_special=())
-                yield doc_id, np.append(ids, end).astype(np.uint16)
+        for doc_id, value in zip(batch["doc_id"].to_pylist(), batch["text"]):
+            if value.is_valid:
+                text = value.as_py()
+                yield doc_id, encoder.encode_ordinary(text) if len(text) < LONG else encoder.encode_to_numpy(text, disallowed_special=())
 
 
-def _cut(rows: Iterator[tuple[object, np.ndarray]], length: int, end: int) -> Iterator[tuple[np.ndarray, int, list]]:
+def _cut(rows: Iterator[tuple[object, list[int] | np.ndarray]], length: int, end: int) -> Iterator[tuple[np.ndarray, int, list]]:
     """Sequences of length ids, the number of ids that are no filling, and the doc_ids of the texts in each."""
     held, size, docs = [], 0, []
-    for doc_id, ids in rows:
+    for doc_id, found in rows:
+        ids = np.append(np.asarray(found, np.uint16), np.uint16(end))
         while len(ids):  # each text has ids, and adds its doc_id to each sequence that it reaches
             docs.append(doc_id)
             part, ids = ids[: length - size], ids[length - size :]
@@ -129,7 +132,7 @@ def write_shards(docs: DataFrame, out_dir: str | None = None, ranks_path: str =
     out_dir = out_dir or shared_dir(spark)
 
     def count(batches):
-        total = sum(len(ids) for _, ids in _ids(batches, ranks, name, end))
+        total = sum(len(ids) + 1 for _, ids in _ids(batches, ranks, name))
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([-(-total // length)])], names=["p", "n"])
 
     counts = {r["p"]: r["n"] for r in docs.mapInArrow(count, "p long, n long").collect()}  # a row for each partition
@@ -150,7 +153,7 @@ def write_shards(docs: DataFrame, out_dir: str | None = None, ranks_path: str =
                 names=["slot", "record", "n_ids", "doc_ids"],
             )
 
-        for ids, size, of in _cut(_ids(batches, ranks, name, end), length, end):
+        for ids, size, of in _cut(_ids(batches, ranks, name), length, end):
             out.append((ids.astype("<u2").tobytes(), size, of))
             index += 1
             if len(out) == 512:

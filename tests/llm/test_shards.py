@@ -1,6 +1,7 @@
 import collections
 
 import numpy as np
+import pyarrow as pa
 
 from flowlens.llm import shards as S
 
@@ -13,6 +14,16 @@ def test_feistel_is_a_permutation_with_an_inverse():
     assert (S.slots_of(np.arange(1000), 1000) != S.slots_of(np.arange(1000), 1000, key=5)).any()
 
 
+def test_long_texts_get_the_same_ids(monkeypatch):
+    class Held:
+        value = S._read_ranks(S.RANKS)
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4], "text": ["hello <|endoftext|> world", "", None, "éß😀 漢字  x"]})
+    found = [(d, list(x)) for d, x in S._ids([batch], Held, "a")]
+    monkeypatch.setattr(S, "LONG", 0)
+    assert [d for d, _ in found] == [1, 2, 4] and found == [(d, x.tolist()) for d, x in S._ids([batch], Held, "a")]
+
+
 def test_shards_hold_every_sequence_once(spark, tmp_path):
     texts = ["hello world " * k for k in range(40)] + ["", None, "éß😀", "x" * 3000] + ["again and again"] * 3
     rows = [(i if i != 7 else None, t, "z") for i, t in enumerate(texts)]
