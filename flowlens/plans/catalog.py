@@ -500,6 +500,12 @@ def text_functions(spark, d):
     return doc.select("doc_id", T.normalize_space(F.substring("text", 1, 200)).alias("normal"), T.sanitize_id(F.col("source")).alias("id"), (F.array_join(names, ",") != "").alias("named"))
 
 
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), '^[ ]+', ''), '[ ]+$', '') AS normal FROM documents""")
+def text_functions_whole(spark, d):
+    """The whole text; `text_functions`, like its SQL, reads the first 200 characters."""
+    return A.table(spark, d, "documents").select("doc_id", T.normalize_space(F.col("text")).alias("normal"))
+
+
 @query(f"""WITH s AS (SELECT p_partkey, replace({_SLOT}, '.', '->') AS e FROM part), n AS (SELECT p_partkey, regexp_replace(replace(e, '->', '.'), '\\[[^\\]]*\\]', '[*]', 'g') AS expr FROM s)
 SELECT p_partkey, expr, regexp_extract(expr, '\\.([A-Za-z_][A-Za-z0-9_]*)$', 1) AS member, regexp_extract(expr, '^([^.\\[]*)', 1) AS root FROM n""")
 def indirect_signatures(spark, d):
