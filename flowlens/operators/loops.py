@@ -151,7 +151,8 @@ def points_to(addr: DataFrame, copy: DataFrame, load: DataFrame, store: DataFram
 
 def relevant_nodes(copy: DataFrame, probes: DataFrame) -> DataFrame:
     """Nodes from which a probe can be reached over copies: node."""
-    return reachable(copy.select(F.col("dst").alias("src"), F.col("src").alias("dst")), probes.select(F.col("node").alias("seed"))).select("node").distinct()
+    back = copy.select("src", F.col("dst").alias("node")).distinct()
+    return grow(probes.select("node").distinct(), lambda new: back.join(new, "node").select(F.col("src").alias("node")))
 
 
 def transitive_targets(pts: DataFrame, probes: DataFrame, functions: DataFrame) -> DataFrame:

@@ -331,6 +331,79 @@ def return_closure(spark, d):
     return loops.returning_functions(seeds, A.sparse_edges(spark, d).select(F.col("caller").alias("fn"), "callee"))
 
 
+# the same questions on whole relations: all pairs as edges, all parts on both sides
+
+
+_ALL_ROOTS = """, whole AS (SELECT DISTINCT caller, callee FROM edges), r0 AS (SELECT DISTINCT caller AS node FROM whole WHERE caller NOT IN (SELECT callee FROM whole)),
+root AS (SELECT node FROM r0 UNION ALL SELECT min(caller) FROM whole WHERE NOT EXISTS (SELECT 1 FROM r0) HAVING count(*) > 0)"""
+
+
+def _whole_edges(spark, d):
+    return A.call_edges(spark, d).select("caller", "callee").distinct()
+
+
+@query(f"WITH {A.PAIRS}{_ALL_ROOTS} SELECT node FROM root")
+def roots_whole(spark, d):
+    return edges.roots(_whole_edges(spark, d))
+
+
+@query(f"""WITH RECURSIVE {A.PAIRS}{_ALL_ROOTS}, r AS (SELECT node AS seed, node FROM root UNION SELECT r.seed, e.callee FROM r JOIN whole e ON e.caller = r.node) SELECT seed, node FROM r""")
+def reachability_whole(spark, d):
+    edge = loops.staged(_whole_edges(spark, d))
+    return loops.reachable(edge.toDF("src", "dst"), edges.roots(edge).withColumnRenamed("node", "seed"))
+
+
+_ALL_CTX = f"""WITH RECURSIVE {A.PAIRS}{_ALL_ROOTS}, c AS (SELECT node AS fn, '' AS ctx, CAST([] AS VARCHAR[]) AS l FROM root
+UNION SELECT e.callee, array_to_string(list_append(c.l, c.fn)[-2:], '>'), list_append(c.l, c.fn)[-2:] FROM c JOIN whole e ON e.caller = c.fn) """
+
+
+@query(_ALL_CTX + "SELECT DISTINCT fn, ctx FROM c")
+def bounded_contexts_whole(spark, d):
+    edge = loops.staged(_whole_edges(spark, d))
+    return loops.bounded_contexts(edge, edges.roots(edge), 2)[0]
+
+
+@query(_ALL_CTX + "SELECT DISTINCT c.fn, c.ctx, e.callee FROM c JOIN whole e ON e.caller = c.fn")
+def bounded_context_edges_whole(spark, d):
+    edge = loops.staged(_whole_edges(spark, d))
+    return loops.bounded_contexts(edge, edges.roots(edge), 2)[1]
+
+
+@query()
+def scc_representative_whole(spark, d):
+    """Without SQL: pairs of nodes that reach each other grow with the square of the nodes."""
+    return loops.strong_components(_whole_edges(spark, d).toDF("src", "dst"))
+
+
+@query(f"""WITH RECURSIVE {A.PAIRS}, r AS (SELECT DISTINCT callee AS node FROM pairs WHERE l_linestatus = 'F' UNION SELECT e.caller FROM r JOIN edges e ON e.callee = r.node) SELECT node FROM r""")
+def relevant_nodes_whole(spark, d):
+    probes = A.runtime_calls(spark, d).select(F.col("callee").alias("node"))
+    return loops.relevant_nodes(_whole_edges(spark, d).toDF("src", "dst"), probes)
+
+
+@query(f"""WITH RECURSIVE {A.PAIRS}, r AS (SELECT DISTINCT 'p' || p_partkey AS fn FROM part WHERE p_size = 7 UNION SELECT e.caller FROM r JOIN edges e ON e.callee = r.fn) SELECT fn FROM r""")
+def return_closure_whole(spark, d):
+    seeds = A.table(spark, d, "part").where("p_size = 7").select(F.concat(F.lit("p"), "p_partkey").alias("fn"))
+    return loops.returning_functions(seeds, _whole_edges(spark, d).select(F.col("caller").alias("fn"), "callee"))
+
+
+@query("""WITH a AS (SELECT l_orderkey AS site, l_partkey AS callee, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) - 1 AS pos, l_suppkey AS arg FROM lineitem),
+s AS (SELECT site, min(callee) AS callee FROM a GROUP BY site), p AS (SELECT p_partkey AS callee, unnest(range(p_size % 4)) AS pos FROM part)
+SELECT s.site, s.callee, CAST(a.pos AS BIGINT) AS pos, 's' || a.arg AS arg, 'q' || p.callee || '_' || p.pos AS param FROM s JOIN a USING (site) JOIN p ON p.callee = s.callee AND p.pos = a.pos""")
+def arg_param_binding_whole(spark, d):
+    line = A.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("site")).agg(F.min("l_partkey").alias("callee"), F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))).alias("x"))
+    args = line.select("site", "callee", F.expr("transform(x, y -> concat('s', y.l_suppkey))").alias("args"))
+    params = A.table(spark, d, "part").where("p_size % 4 > 0").select(F.col("p_partkey").alias("callee"), F.expr("transform(sequence(0, p_size % 4 - 1), i -> concat('q', p_partkey, '_', i))").alias("params"))
+    return edges.bind_arguments(args, params)
+
+
+@query(f"""WITH s AS (SELECT p_partkey, {_SLOT} AS slot FROM part), x AS (SELECT p_partkey, regexp_extract(slot, '^([^.\\[]*)', 1) AS r, regexp_extract(slot, '\\.([^.\\[\\]]+)$', 1) AS m FROM s)
+SELECT DISTINCT a.p_partkey AS site, b.p_partkey AS target FROM x a JOIN x b ON a.r = b.r AND a.m = b.m WHERE a.m <> ''""")
+def member_suffix_fallback_whole(spark, d):
+    slot = _slots(spark, d)
+    return edges.same_member(slot.select(F.col("p_partkey").alias("site"), "slot"), slot.select(F.col("p_partkey").alias("target"), "slot"))
+
+
 # context runs: the oracle folds each trace with a list-valued stack [start, name index]
 
 _FOLD = """WITH RECURSIVE {log}, f AS (
