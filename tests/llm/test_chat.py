@@ -67,3 +67,22 @@ def test_sql(spark):
 
 def test_empty_table(spark):
     assert chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
+
+
+def test_the_query_equals_its_sql_on_ties_null_turns_and_crowded_parts(spark, tmp_path):
+    rows = [(*r,) for r in ROWS] + [(5, 7, f"r{k % 3}", f"tie {k * 37 % 11}") for k in range(30)] + [(6, None, "ann", "b"), (6, None, "ann", "a"), (6, -1, "bob", "c")]
+    for conv, turn in ((7, 3), (8, None)):
+        rows += [(conv, turn, "bob" if k % 2 else "ann", f"{k * 7919 % 5003}") for k in range(chat.MAX_ROWS + 900)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    got = chat.op5(spark, str(tmp_path))
+    want = con.sql(chat.OP5_SQL)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
+def test_crowded_parts_give_the_same_when_put_together(spark):
+    rows = spark.createDataFrame([(9, t % 5 - 1 or None, "ann" if t % 2 else "bob", f"say {t}") for t in range(300)], "conv_id long, turn long, role string, text string")
+    small, large = (sorted(map(tuple, chat.joined(chat.rotate(rows, max_rows=n)).collect())) for n in (20, 4096))
+    assert small == large and len(small) == 4
