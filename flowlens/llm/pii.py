@@ -1,7 +1,7 @@
 r"""Personal data: patterns propose spans, checksums confirm them, words nearby adjust their score.
 
 Kinds of the base contract (email, ip, card, phone) are whole matches of its patterns that pass its checks. The method adds
-IBANs (mod 97) and national numbers (a pattern that only counts with a context word). Each span has a score: what its
+IBANs (the country's length and mod 97) and national numbers (a pattern that only counts with a context word). Each span has a score: what its
 check is worth, raised where a word of its kind stands within CONTEXT characters. Base spans stay whatever their score;
 added ones need MIN_SCORE and must overlap no base span. Everything is a SQL expression on one row: no shuffle, no Python.
 
@@ -26,7 +26,23 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: The length of a country's IBANs. A match ends there, so words or amounts after it are no part of it.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban(length: int, countries: str) -> str:
+    blocks, rest = divmod(length - 4, 4)
+    return rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{blocks}}}" + (rf"\x20?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+_KNOWN = f"(?:{'|'.join(_iban(*x) for x in IBAN_LENGTHS.items())})(?![A-Za-z0-9])"
+#: Other countries, and lengths that no country has, as far as blocks go that do not begin a known one.
+_OTHER = rf"[A-Z]{{2}}[0-9]{{2}}(?:(?!\x20{_KNOWN})\x20?[A-Z0-9]{{4}}){{2,7}}(?:\x20?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9])"
+IBAN = rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_KNOWN}|{_OTHER})"
 NATIONAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CONTEXT = 40
 MIN_SCORE = 0.5

@@ -3,6 +3,7 @@ import random
 
 import brute
 import pytest
+from pyspark.sql import functions as F
 
 from flowlens.llm import pii, secrets
 from flowlens.llm.spans import masked
@@ -79,6 +80,22 @@ def test_added_personal_data(spark):
     assert "iban" in got[1] and "iban" not in got[2] and got[3] == ["national"] and got[4] == []
 
 
+def test_ibans_end_at_the_length_of_their_country(spark):
+    ibans = [
+        "ES9121000418450200051332", "BE68 5390 0754 7034", "AT611904300234573201", "SE45 5000 0000 0583 9825 7466", "PL61109010140000071219812874",
+        "CZ65 0800 0000 1920 0014 5399", "RO49AAAA1B31007593840000", "DE89 3704 0044 0532 0130 00", "NO9386011117947", "GB29 NWBK 6016 1331 9268 19",
+    ]
+    after = [" EUR 50", " BIC GKCC", " 2024", " A", "", ", 12", " is", " USD1 2000"]
+    before = ["", "IBAN ", "NR42 IBAN "]
+    texts = [(b + i + a, len(b), len(b + i)) for b in before for i in ibans for a in after]
+    out = pii.scan(spark.createDataFrame([(n, x[0]) for n, x in enumerate(texts)], "doc_id long, text string"))
+    got = {r["doc_id"]: [(m["s"], m["e"]) for m in r["fw_iban"]] for r in out.select("doc_id", F.expr("filter(found, x -> x.kind = 'iban')").alias("fw_iban")).collect()}
+    base = {r["doc_id"] for r in out.where("size(base) > 0").collect()}  # a card or phone inside the digits stays, and then there is no IBAN
+    assert all(got[n] == ([(s, e)] if n not in base else []) for n, (_, s, e) in enumerate(texts)) and len(base) < len(texts) / 2
+    wrong = pii.scan(spark.createDataFrame([(1, "ES9121000418450200051333 EUR 50"), (2, "BE69 5390 0754 7034 BIC")], "doc_id long, text string"))
+    assert wrong.where("exists(found, x -> x.kind = 'iban')").count() == 0
+
+
 def test_redaction(spark, model):
     rows = [(1, "password=hunter22 ok", 20), (2, None, 0), (3, "fine", 4), (4, "é 😀 token: 0123456789abcdef0123456789 z", 1)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
