@@ -37,6 +37,9 @@ BOILERPLATE = (
     "copyright (c)", "©", "log in", "read more", "share this", "skip to content", "back to top",
 )
 
+#: Hash of a window's word hashes; any function gives the same result.
+HASH = "xxhash64({})"
+
 _SPACE = r"[\x20\x09-\x0D]"
 _WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -60,12 +63,22 @@ def _repeat_words(n: str = "n_words") -> list[tuple[str, str]]:
     """Steps that count the words in windows found twice or more."""
     at = ", ".join(f"get(fw_hash, i + {k})" for k in range(WINDOW))
     text = ", ".join(f"get(fw_words, i + {k})" for k in range(WINDOW))
-    same = "get(fw_sorted, {a}).h = get(fw_sorted, {b}).h and get(fw_sorted, {a}).k = get(fw_sorted, {b}).k"
+    differ = " or ".join(f"get(fw_words, get(fw_twice, {{a}}).i + {k}) <> get(fw_words, get(fw_twice, {{b}}).i + {k})" for k in range(WINDOW))
+    hash_, both = "get(fw_sorted, {a}).h = get(fw_sorted, {b}).h", "get(fw_twice, {a}).h = get(fw_twice, {b}).h"
+    exact = "get(fw_exact, {a}).h = get(fw_exact, {b}).h and get(fw_exact, {a}).k = get(fw_exact, {b}).k"
+
+    def found(array: str, same: str) -> str:
+        """Elements of a sorted array that are the same as a neighbour."""
+        return f"filter({array}, (x, j) -> coalesce({same.format(a='j', b='j - 1')}, false) or coalesce({same.format(a='j', b='j + 1')}, false))"
+
     return [
         ("fw_hash", "transform(fw_words, w -> xxhash64(w))"),
-        ("fw_windows", f"case when {n} >= {WINDOW} then transform(sequence(0, cast({n} as int) - {WINDOW}), i -> xxhash64({at})) end"),
-        ("fw_sorted", f"case when size(array_distinct(fw_windows)) < size(fw_windows) then sort_array(transform(fw_windows, (h, i) -> struct(h as h, concat_ws(' ', {text}) as k, i as i))) end"),
-        ("fw_found", f"case when fw_sorted is not null then sort_array(transform(filter(sequence(0, size(fw_sorted) - 1), j -> coalesce({same.format(a='j', b='j - 1')}, false) or coalesce({same.format(a='j', b='j + 1')}, false)), j -> get(fw_sorted, j).i)) end"),
+        ("fw_windows", f"case when {n} >= {WINDOW} then transform(sequence(0, cast({n} as int) - {WINDOW}), i -> {HASH.format(at)}) end"),
+        ("fw_sorted", "case when size(array_distinct(fw_windows)) < size(fw_windows) then sort_array(transform(fw_windows, (h, i) -> struct(h as h, i as i))) end"),
+        ("fw_twice", found("fw_sorted", hash_)),
+        # windows of one hash are alike unless two hashes collide; only then are their words written out
+        ("fw_exact", f"case when exists(sequence(1, size(fw_twice) - 1), j -> {both.format(a='j', b='j - 1')} and ({differ.format(a='j', b='j - 1')})) then sort_array(transform(fw_twice, x -> struct(x.h as h, concat_ws(' ', {text.replace('i + ', 'x.i + ')}) as k, x.i as i))) end"),
+        ("fw_found", f"sort_array(case when fw_exact is not null then transform({found('fw_exact', exact)}, x -> x.i) else transform(fw_twice, x -> x.i) end)"),
         ("n_repeat_words", f"coalesce(aggregate(fw_found, named_struct('n', 0L, 'last', -{WINDOW}), (a, p) -> named_struct('n', a.n + least({WINDOW}, p - a.last), 'last', p), a -> a.n), 0L)"),
     ]
 
@@ -96,7 +109,7 @@ def judge(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
         "fw_row": F.monotonically_increasing_id(),
     })
     out = out.withColumn("kept", F.expr(f"not base_failed and lost <= {max_lost} and fw_row >= 0"))
-    return out.drop("fw_row", "fw_text", "fw_words", "fw_lines", "fw_hash", "fw_windows", "fw_sorted", "fw_found", "fw_good")
+    return out.drop("fw_row", "fw_text", "fw_words", "fw_lines", "fw_hash", "fw_windows", "fw_sorted", "fw_twice", "fw_exact", "fw_found", "fw_good")
 
 
 def clean(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:

@@ -24,6 +24,13 @@ def test_equals_plain_python(spark):
         assert tuple(r)[2:] == brute.quality(r["text"]), r["doc_id"]
 
 
+def test_windows_of_one_hash_are_told_apart_by_their_words(spark, monkeypatch):
+    monkeypatch.setattr(Q, "HASH", "pmod(xxhash64({}), 5)")
+    texts = [t for t in CASES if len(t or "") < 5000]
+    for r in Q.measure(spark.createDataFrame([(t,) for t in texts], "text string")).select("text", "n_repeat_words").collect():
+        assert r["n_repeat_words"] == brute.quality(r["text"])[4]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_whole_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
