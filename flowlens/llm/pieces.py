@@ -1,8 +1,10 @@
 """A SentencePiece model file as a lattice: Viterbi over sorted words with shared prefixes, and a count-only Viterbi.
 
-Both kinds of model are read from the file and give the ids that the file's own tokenizer gives:
+The pieces of a file are read as the file says, or as a unigram vocabulary, and give the ids that the library gives for them:
 
-* unigram: the forward score of a prefix is the best sum of piece scores; of equal sums the longer last piece wins.
+* unigram: the forward score of a prefix is the best sum of piece scores, in 32-bit floats; of equal sums the longer last
+  piece wins; a character without a piece costs 10 more than the worst piece and becomes its bytes. Sums begin anew with
+  each marked word, so they don't lose digits in a long text as sums over the whole text do.
 * bpe: merges in order of score fix which pieces may stand side by side. Two neighbours are allowed when undoing their
   merges, latest first, never meets a better merge across the border. A segmentation whose neighbours are all allowed is
   the tokenizer's own, and each prefix has exactly one, so the forward value of a prefix is its last piece.
@@ -29,8 +31,10 @@ _CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Bound on a model's pieces: every task holds them.
 MAX_PIECES = 1 << 20
 #: Words that a worker remembers between batches, in each of two generations; forgetting changes no result.
-CACHED_WORDS = 200_000
-CACHED_PAIRS = 1_000_000
+CACHED_WORDS = 100_000
+CACHED_PAIRS = 200_000
+#: Scores from here down mark pieces of a bpe file that no merge makes.
+PLACEHOLDER = -1e8
 #: Text bytes that are encoded at once.
 SLICE_BYTES = 8 << 20
 
@@ -53,14 +57,26 @@ class _Memory:
         return out
 
 
+def as_unigram(blob: bytes) -> bytes:
+    """The model file with its pieces as a unigram vocabulary. Scores up to PLACEHOLDER, which stand for none, become one less than the worst other score."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto.FromString(blob)
+    proto.trainer_spec.model_type = 1
+    worst = min((p.score for p in proto.pieces if p.type == 1 and p.score > PLACEHOLDER), default=0.0)
+    for p in proto.pieces:
+        p.score = p.score if p.score > PLACEHOLDER else worst - 1
+    return proto.SerializeToString()
+
+
 class PieceModel:
     def __init__(self, blob: bytes, kind: str | None = None):
-        """blob: the model file. kind: 'unigram' or 'bpe' to read the pieces so whatever the file says."""
+        """blob: the model file. kind: 'unigram' to read the pieces of any file so (see as_unigram)."""
         from sentencepiece import sentencepiece_model_pb2 as pb
 
-        proto = pb.ModelProto.FromString(blob)
+        proto = pb.ModelProto.FromString(blob if kind is None else as_unigram(blob))
         spec, norm = proto.trainer_spec, proto.normalizer_spec
-        self.kind = kind or {1: "unigram", 2: "bpe"}.get(spec.model_type, "other")
+        self.kind = {1: "unigram", 2: "bpe"}.get(spec.model_type, "other")
         if self.kind not in ("unigram", "bpe") or norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.add_dummy_prefix or not spec.byte_fallback or spec.treat_whitespace_as_suffix:
             raise ValueError("only unigram and bpe models with byte fallback, a leading mark and no normalisation are supported")
         if len(proto.pieces) > MAX_PIECES:
@@ -80,6 +96,10 @@ class PieceModel:
         self.scores = [np.float32(p.score) for p in proto.pieces]
         normal = [p.score for p in proto.pieces if p.type == 1]
         self.unknown = np.float32(np.float32(min(normal, default=0.0)) - np.float32(10))
+        #: words of so many characters have sums of whole numbers below 2^24, which plain floats add as 32-bit ones would
+        whole = all(float(x).is_integer() for x in self.scores)
+        self.short = int(2**24 // max(1.0, *(abs(float(x)) for x in (*self.scores, self.unknown)))) if whole else 0
+        self.floats = [float(x) for x in self.scores]
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece reaches over the start of a word")
         if self.kind == "bpe":
@@ -168,7 +188,7 @@ class PieceModel:
         out = []
         forward = self._forward_bpe if self.kind == "bpe" else self._forward_unigram
         last: list[int] = [-1]  # of the prefix of each length: the last piece, or below -1 an unknown character
-        best: list = [np.float32(0)]
+        best: list = [np.float32(0) if not self.short else 0.0]
         before = ""
         for word in words:
             n = 0
@@ -194,18 +214,23 @@ class PieceModel:
             last.append(found)
 
     def _forward_unigram(self, word: str, n: int, last: list[int], best: list) -> None:
-        ids, scores, reach = self.ids, self.scores, self.reach
+        ids, reach = self.ids, self.reach
+        scores, unknown = self._scores(word)
         for end in range(n + 1, len(word) + 1):
             found, top = None, None
             for start in range(max(0, end - reach.get(word[end - 3 : end], 2)) if end > 2 else 0, end):
                 i = ids.get(word[start:end])
                 if i is not None and (top is None or best[start] + scores[i] > top):
                     found, top = i, best[start] + scores[i]
-            if word[end - 1] not in ids and (top is None or best[end - 1] + self.unknown > top):
-                found, top = -2 - ord(word[end - 1]), best[end - 1] + self.unknown
+            if word[end - 1] not in ids and (top is None or best[end - 1] + unknown > top):
+                found, top = -2 - ord(word[end - 1]), best[end - 1] + unknown
             last.append(found)
             best.append(top)
 
+    def _scores(self, word: str) -> tuple[list, float]:
+        """Scores in the numbers with which the sums of this word are right, and that of an unknown character."""
+        return (self.floats, float(self.unknown)) if len(word) <= self.short else (self.scores, self.unknown)
+
     def _back(self, word: str, last: list[int]) -> tuple[int, ...]:
         out: list[int] = []
         at = len(word)
@@ -236,34 +261,52 @@ class PieceModel:
                 if self.kind == "unigram" or self.whole[i]:
                     self.automaton.add_word(p, (i, len(p)))
             self.automaton.make_automaton()
-        size = len(word)
-        n, last, best = [0] * (size + 1), [-1] * (size + 1), [None] * (size + 1)
-        best[0] = np.float32(0)
+        return self._count_unigram(word) if self.kind == "unigram" else self._count_bpe(word)
+
+    def _count_unigram(self, word: str) -> int:
+        """Best score and number of pieces of each prefix; matches come by end, the longest first."""
+        size, ids = len(word), self.ids
+        scores, unknown = self._scores(word)
+        n, best = [0] * (size + 1), [None] * (size + 1)
+        best[0] = scores[0] * 0
+        if odd := [i for i, c in enumerate(word) if c not in ids]:
+            odd.reverse()
+        for at, (i, length) in self.automaton.iter(word):
+            while odd and odd[-1] < at:  # no more matches end there
+                self._step(word, odd.pop(), n, best, unknown)
+            start, end = at + 1 - length, at + 1
+            score = best[start] + scores[i]
+            if best[end] is None or score > best[end]:
+                best[end], n[end] = score, n[start] + 1
+        while odd:
+            self._step(word, odd.pop(), n, best, unknown)
+        return n[size]
+
+    @staticmethod
+    def _step(word: str, at: int, n: list[int], best: list, unknown: float) -> None:
+        """The character at a place as an unknown one, if that is better than the matches that end there."""
+        if best[at + 1] is None or best[at] + unknown > best[at + 1]:
+            best[at + 1], n[at + 1] = best[at] + unknown, n[at] + len(word[at].encode("utf-8", "surrogatepass"))
+
+    def _count_bpe(self, word: str) -> int:
+        size, allowed = len(word), self.allowed
+        n, last = [0] * (size + 1), [-1] * (size + 1)
         done = 0
-        bpe, allowed, scores = self.kind == "bpe", self.allowed, self.scores
 
         def close(end: int) -> None:
             """Settles prefixes up to end, which get no more matches."""
             nonlocal done
             while done < end:
                 done += 1
-                c = word[done - 1]
-                if bpe:
-                    if last[done] == -1:
-                        last[done], n[done] = -2, n[done - 1] + len(c.encode("utf-8", "surrogatepass"))
-                elif c not in self.ids and (best[done] is None or best[done - 1] + self.unknown > best[done]):
-                    best[done], n[done] = best[done - 1] + self.unknown, n[done - 1] + len(c.encode("utf-8", "surrogatepass"))
-
-        for at, (i, length) in self.automaton.iter(word):  # by end, the longest first
+                if last[done] == -1:
+                    last[done], n[done] = -2, n[done - 1] + len(word[done - 1].encode("utf-8", "surrogatepass"))
+
+        for at, (i, length) in self.automaton.iter(word):
             end = at + 1
-            start = end - length
             if end - 1 > done:
                 close(end - 1)
-            if bpe:
-                if last[end] == -1 and ((p := last[start]) < 0 or allowed(p, i)):
-                    last[end], n[end] = i, n[start] + 1
-            elif best[end] is None or best[start] + scores[i] > best[end]:
-                best[end], n[end] = best[start] + scores[i], n[start] + 1
+            if last[end] == -1 and ((p := last[end - length]) < 0 or allowed(p, i)):
+                last[end], n[end] = i, n[end - length] + 1
         close(size)
         return n[size]
 

@@ -4,7 +4,7 @@ import brute
 import sentencepiece
 
 import corpus_pipeline
-from flowlens.llm import secrets, tokens
+from flowlens.llm import pieces, secrets, tokens
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -38,7 +38,7 @@ def test_equals_plain_python(spark, tmp_path):
         assert {(k, s, e) for k, s, e in brute.base_spans(t, brute.SECRET_KINDS)} <= {(x["kind"], x["s"], x["e"]) for x in spans[d]}
         hidden = {i for x in spans[d] for i in range(x["s"], x["e"])}
         clean[d] = "".join("" if i in hidden and i - 1 in hidden else "[SECRET]" if i in hidden else c for i, c in enumerate(t))
-    library = sentencepiece.SentencePieceProcessor(model_file=tokens.MODEL)
+    library = sentencepiece.SentencePieceProcessor(model_proto=pieces.as_unigram(open(tokens.MODEL, "rb").read()))
     got = {r["doc_id"]: (r["ids"], r["n_tokens"], r["round_trip"]) for r in run(spark, tmp_path, rows, items).collect()}
     want = {d: (library.encode(t), len(library.encode(t)), True) for d, t in clean.items()}
     assert got == want and 5 < len(got) < len(rows) - 6 and any("[SECRET]" in t for t in clean.values())
