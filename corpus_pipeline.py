@@ -4,7 +4,7 @@
 2. n-gram Jaccard join: the document with the smallest doc_id of each group of near copies stays.
 3. benchmark decontamination: documents that hold a benchmark window go.
 4. secret scans: secrets in the texts are replaced by a label; no document goes.
-5. SentencePiece: the ids of each text.
+5. SentencePiece: the ids of each text, pieces taken by the best sum of scores.
 
 Stages 1 to 4 return the columns of documents; n_chars follows the text. Defined results are those of the operators: null
 texts fail the quality rules, null ids stay as they are.
@@ -36,7 +36,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return tokens.encode_checked(docs.select("doc_id", F.col("text").cast("string"))).select("doc_id", "n_tokens", "round_trip", "ids")
+    return tokens.encode_checked(docs.select("doc_id", F.col("text").cast("string")), kind=tokens.KIND).select("doc_id", "n_tokens", "round_trip", "ids")
 
 
 STAGES = [
