@@ -5,10 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch on its way to Python in what `staged` runs: rows of long texts then come a few at a time.
+BATCH_BYTES = "8m"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -24,11 +28,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = BATCH_BYTES):
+    """What is run inside sends the executors' Python at most about size at once; afterwards the session's setting holds again."""
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
+
+
 def staged(df: DataFrame, *keys: str) -> DataFrame:
     """df written to the shared folder and read back: cuts lineage, and survives the loss of executors."""
     path = shared_dir(df.sparkSession)
     writer = df.write.mode("errorifexists")
-    (writer.partitionBy(*keys) if keys else writer).parquet(path)
+    with small_batches(df.sparkSession):
+        (writer.partitionBy(*keys) if keys else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -21,8 +21,10 @@ Bit i of a sketch is the parity of the tokens that fall on it, so two sketches d
 No pair inside a component that is already known is made, and no link between components is lost.
 
 Defined results: null or wordless text has 0 shingles and is its own component; a null doc_id takes no part in links and
-has a null component; repeated rows and ids are kept; other columns are ignored; an empty table gives no rows.
-Hashes of 64 bits: two different shingles of a pair of documents agree with a probability under 1e-9.
+has a null component; repeated rows and ids are kept; other columns are ignored; an empty table gives no rows. doc_id must be
+an integer or cast to one (a text id that isn't a number raises). Texts of any length are taken whole.
+Hashes of 64 bits: two different shingles of a pair of documents agree with a probability under 1e-9. Of N different texts
+two have the same digest with a probability of N * N / 2^65, and are then taken for copies.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.llm.common import staged, table
@@ -53,7 +55,7 @@ GROUP = 8192
 #: Rows up to which a side of (doc_id, node, lead) or (node, node) is broadcast; larger ones are joined by a shuffle.
 SMALL = 200_000
 #: Text, or set, bytes that a worker handles at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -173,10 +175,11 @@ def _summarise(batches):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.repeat([False, True], [len(n), len(df)])), pa.concat_arrays([part["doc_id"].cast(pa.int64()), pa.array(tokens)]),
+                    pa.concat_arrays([part["h"].cast(pa.int64()), pa.nulls(len(df), pa.int64())]),
                     pa.array(np.concatenate([node, np.zeros(len(df), np.int64)])), pa.array(np.concatenate([n, df]).astype(np.int64)),
                     pa.concat_arrays([sketches(rows, found, n, one), pa.nulls(len(df), pa.binary())]),
                 ],
-                names=["is_token", "id", "node", "n", "sketch"],
+                names=["is_token", "id", "h", "node", "n", "sketch"],
             )
 
 
@@ -422,12 +425,26 @@ def _sized(df: DataFrame, small: int) -> DataFrame:
     return F.broadcast(df) if df.limit(small + 1).count() <= small else df
 
 
-def components(docs: DataFrame, percent: int = PERCENT, *, hints: int = HINTS, cost: int = COST, max_matches: int = MAX_MATCHES, split: int = SPLIT, chunk: int = CHUNK, small: int = SMALL) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
+def _same(df: DataFrame, key: list[str], dealt: list[str], **ends: Column) -> DataFrame:
+    """df (token, run, ...) with aggregates over the rows of a token and run.
+
+    The rows of a dealt token (run below 0) are spread over tasks and stay so: there are at most HINTS dealt tokens, whose
+    aggregates are broadcast. The others have few rows and meet in a window.
+    """
+    w = Window.partitionBy(*key)
+    few = df.where("run >= 0").withColumns({name: end.over(w) for name, end in ends.items()})
+    hot = df.where("run < 0")
+    told = hot.groupBy(*dealt).agg(*(end.alias(name) for name, end in ends.items()))
+    return few.unionByName(hot.join(F.broadcast(told), dealt))
+
+
+def _classes(docs: DataFrame, percent: int = PERCENT, *, hints: int = HINTS, cost: int = COST, max_matches: int = MAX_MATCHES, split: int = SPLIT, chunk: int = CHUNK, small: int = SMALL) -> DataFrame:
+    """For each row of docs (doc_id, text): doc_id, h (hash of the text), n, top (a node that stands for its component, null without an id or shingles) and component_id."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = staged(docs.mapInArrow(_summarise, "is_token boolean, id long, node long, n long, sketch binary"))
-    rows = seen.where("not is_token").select(F.col("id").alias("doc_id"), "node", "n")
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    seen = staged(hashed.mapInArrow(_summarise, "is_token boolean, id long, h long, node long, n long, sketch binary"))
+    rows = seen.where("not is_token").select(F.col("id").alias("doc_id"), "h", "node", "n")
     top = seen.where("is_token").groupBy("id").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "id").limit(hints).toPandas().sort_values("id")
     held = spark.sparkContext.broadcast((top["id"].to_numpy(np.int64), top["n"].to_numpy(np.int64)))
 
@@ -450,12 +467,13 @@ def components(docs: DataFrame, percent: int = PERCENT, *, hints: int = HINTS, c
         return staged(met.mapInArrow(_matcher(percent), "u long, v long"))
 
     # within leads; a lead is in its own group, in each chunk of it, whatever its own lead
-    leads = shared.groupBy("token", "run").agg(F.min("node").alias("lead"))
-    own = staged(shared.join(leads, ["token", "run"]).groupBy("node").agg(F.min("lead").alias("lead"), F.max(F.expr("info >> 24")).alias("n")))
+    led = _same(shared, ["token", "run"], ["token"], lead=F.min("node"))
+    own = staged(led.groupBy("node").agg(F.min("lead").alias("lead"), F.max(F.expr("info >> 24")).alias("n")))
     led = own.where("lead <> node").select(F.col("lead").alias("node")).distinct().join(own.select("node", "n"), "node").select("node", F.col("node").alias("lead"), "n")
     members = own.where("lead <> node").unionByName(led)
-    sizes = members.groupBy("lead").agg(F.ceil(F.sum("n") / chunk).alias("chunks"))
-    members = staged(members.join(sizes, "lead").withColumn("chunk", F.expr("pmod(xxhash64(node), chunks)")).drop("n"))
+    large = staged(members.groupBy("lead").agg(F.ceil(F.sum("n") / chunk).alias("chunks")).where("chunks > 1"))
+    members = members.join(_sized(large, small), "lead", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("long")))
+    members = staged(members.withColumn("chunk", F.expr("pmod(xxhash64(node), chunks)")).drop("n"))
     every = F.explode(F.expr("sequence(0L, chunks - 1)"))
     spread = members.where("node <> lead").unionByName(members.where("node = lead").withColumn("chunk", every))
     links = matched(spread.select("node", "lead", "chunk", F.lit(True).alias("asks")))
@@ -465,16 +483,15 @@ def components(docs: DataFrame, percent: int = PERCENT, *, hints: int = HINTS, c
         roots = connected(links)
         placed = many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         main = placed.groupBy("lead", "root").count().groupBy("lead").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-        placed = placed.join(main, "lead").withColumn("asks", F.col("root") != F.col("main"))
+        placed = placed.join(_sized(staged(main), small), "lead").withColumn("asks", F.col("root") != F.col("main"))
         again = placed.where("not asks").unionByName(placed.where("asks").withColumn("chunk", every))
         links = links.unionByName(matched(again.select("node", "lead", "chunk", "asks")))
     roots = staged(connected(links) if _overlaps(links) else links.select(F.col("u").alias("node"), F.col("v").alias("root")))
 
     # between leads
     known = shared.join(own.select("node", "lead"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ends = [F.min("lead").alias("a"), F.max("lead").alias("b"), F.min("root").alias("c"), F.max("root").alias("d")]
-    mixed = known.groupBy("token", "run").agg(*ends).where("a <> b and c <> d").select("token", "run")
-    known = staged(known.join(mixed, ["token", "run"]).select("token", "run", "node", "lead", "root", F.expr("info >> 24").alias("n"), F.expr("info >> 16 & 255").alias("level"), F.expr("info >> 8 & 255").alias("need")))
+    known = _same(known, ["token", "run"], ["token"], a=F.min("lead"), b=F.max("lead"), c=F.min("root"), d=F.max("root")).where("a <> b and c <> d")
+    known = staged(known.select("token", "run", "node", "lead", "root", F.expr("info >> 24").alias("n"), F.expr("info >> 16 & 255").alias("level"), F.expr("info >> 8 & 255").alias("need")))
     x, y = known.alias("x"), known.alias("y")
     pairs = x.join(y, F.expr(f"""x.token = y.token and x.run = y.run and x.node < y.node and x.lead <> y.lead and x.root <> y.root and x.node <> y.lead and y.node <> x.lead
         and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and greatest(x.level, y.level) <= least(x.need, y.need)"""))
@@ -495,9 +512,15 @@ def components(docs: DataFrame, percent: int = PERCENT, *, hints: int = HINTS, c
     merged = one.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     merged = merged.join(top_roots.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").withColumn("top", F.coalesce("top", "root"))
     best = merged.groupBy("top").agg(F.min("doc_id").alias("component_id"))
-    classes = merged.join(best, "top").select("node", "component_id")
-    linked = rows.join(classes, "node", "left")
-    return linked.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).alias("component_id"))
+    classes = merged.join(best, "top").select("node", "top", "component_id")
+    linked = rows.join(classes, "node", "left").withColumn("joins", F.expr("doc_id is not null and n > 0"))
+    alone = F.col("doc_id")
+    return linked.select("doc_id", "h", "n", F.expr("case when joins then top end").alias("top"), F.when(F.col("joins"), F.col("component_id")).otherwise(alone).alias("component_id"))
+
+
+def components(docs: DataFrame, percent: int = PERCENT, **options: int) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs (doc_id, text). options: see `_classes`."""
+    return _classes(docs, percent, **options).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def _overlaps(links: DataFrame) -> bool:
@@ -506,14 +529,40 @@ def _overlaps(links: DataFrame) -> bool:
     return bool(ends.groupBy("x").agg(F.count("*").alias("k")).where("k > 1").take(1))
 
 
-def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; rows with a null id stay. The columns stay.
+def _free(name: str, columns: list[str]) -> str:
+    """name, lengthened until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT, small: int = SMALL, **options: int) -> DataFrame:
+    """One row of docs for each component: its smallest doc_id, of several texts under that id the one of the smallest hash. The columns stay.
 
-    Of repeated rows of that id one stays (the one with the first text, nulls first).
+    Rows alike in doc_id and text are one: the first by their JSON stays. Rows of one doc_id whose texts are in different
+    components are judged apart. Rows without an id or a word link with nothing, and all of them stay.
     """
-    found = components(docs.select("doc_id", "text"), percent).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    rows = staged(_classes(docs.select("doc_id", "text"), percent, small=small, **options).where("top is not null").select("doc_id", "h", "top", "component_id"))
+    heads = rows.where("doc_id = component_id")
+    told = staged(heads.groupBy("top").agg(F.min("h").alias("first"), F.count("*").alias("rows")).where("rows > 1"))
+    gone = rows.where("doc_id <> component_id").select("doc_id", "h")
+    doc_id, h, whole = (_free(name, docs.columns) for name in ("doc", "hash", "row"))
+    key = [F.col("doc_id").cast("long") == F.col(doc_id), F.xxhash64(F.col("text").cast("string")) == F.col(h)]
+    again = None
+    if told.take(1):  # several rows under the smallest id of a component: other texts go, repeated rows become one
+        several = heads.join(told, "top")
+        gone = gone.unionByName(several.where("h <> first").select("doc_id", "h"))
+        again = staged(several.where("h = first").groupBy("doc_id", "h").count().where("count > 1").select("doc_id", "h").toDF(doc_id, h))
+    gone = staged(gone.distinct().toDF(doc_id, h))
+    kept = docs.join(_sized(gone, small), key, "left_anti")
+    if again is None or not again.take(1):
+        return kept
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    repeated = kept.join(_sized(again, small), key, "left_semi").select(F.col("doc_id").alias(doc_id), F.xxhash64(F.col("text").cast("string")).alias(h), row.alias(whole))
+    once = repeated.groupBy(doc_id, h).agg(F.min_by(whole, F.to_json(whole)).alias(whole))
+    once = once.select(*(F.col(whole).getField(c).alias(c) for c in docs.columns))
+    return kept.join(_sized(again, small), key, "left_anti").unionByName(once)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from flowlens.llm import ngram_join as J
 from flowlens.llm.components import connected
@@ -71,6 +72,32 @@ def test_empty_table_and_extra_columns(spark):
     assert sorted(kept.collect(), key=str) == sorted(docs.where("doc_id = 1 or doc_id is null").collect(), key=str)
 
 
+@pytest.mark.parametrize("small", [J.SMALL, 1])
+def test_keep_one_judges_rows_of_one_id_by_their_texts(spark, small):
+    apart = [" ".join(f"{w}{i}" for i in range(30)) for w in "abcdefg"]
+    near = lambda t: t + " end"
+    rows = [
+        (1, apart[0], "x"), (1, apart[1], "y"), (2, apart[2], "z"),  # three texts without a common word: all stay
+        (3, near(apart[0]), "w"), (1, near(apart[1]), "v"),  # a near copy of another id, one under the same id
+        (4, apart[3], "b"), (4, apart[3], "a"), (5, near(apart[3]), "c"),  # repeated rows of the smallest id: one
+        (7, apart[4], "d"), (7, apart[4], "e"), (6, near(apart[4]), "f"),  # of a larger id: none
+        (8, None, "g"), (8, None, "g"), (8, "", "h"), (None, apart[0], "i"), (None, apart[0], "i"),
+    ]
+    docs = spark.createDataFrame(rows, "doc int, text string, hash string").withColumnRenamed("doc", "doc_id").withColumn("row", F.col("hash")).withColumn("doc", F.create_map("hash", "hash")).repartition(3)
+    kept = J.keep_one(docs, small=small)
+    assert kept.dtypes == docs.dtypes
+    first = min((r["h"], r["text"]) for r in spark.createDataFrame(rows, "d int, text string, s string").where("d = 1").selectExpr("text", "xxhash64(text) as h").collect() if r["text"].startswith("b"))[1]
+    want = [(1, apart[0], "x"), (1, first, "y" if first == apart[1] else "v"), rows[2], (4, apart[3], "a"), rows[10], *rows[11:]]
+    assert sorted(map(tuple, kept.select("doc_id", "text", "hash").collect()), key=str) == sorted(want, key=str)
+
+
+def test_very_long_texts(spark):
+    words = [f"w{i}" for i in range(150_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:140_000])), (3, " ".join(words[:100_000])), (4, "short text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, J.components(docs).collect())) == [(1, 149_996, 1), (2, 139_996, 1), (3, 99_996, 3), (4, 1, 4)]
+
+
 def test_components_of_long_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(60)] + [(200, 200 + i) for i in range(1, 50)] + [(7, 7), (None, 3), (500, 499)]
     found = {r["node"]: r["root"] for r in connected(spark.createDataFrame(edges, "u long, v long")).collect()}
