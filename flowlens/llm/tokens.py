@@ -28,6 +28,8 @@ MODEL = os.environ.get("FLOWLENS_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.mo
 #: How the queries and the pipeline read the pieces of MODEL: as a unigram vocabulary with the scores of the file, whatever its
 #: own kind. None, the default of the functions, reads them as the file says.
 KIND = "unigram"
+#: Bytes of a batch that are worked on and sent back at once.
+PART_BYTES = 2 << 20
 _IDS = pa.list_(pa.int32())
 
 
@@ -42,8 +44,11 @@ def _each(df: DataFrame, model_path: str, kind: str | None, work, added: list[tu
     def run(batches):
         model = held.value
         for batch in batches:
-            columns = [c for i, c in enumerate(batch.columns) if i not in drop]
-            yield pa.RecordBatch.from_arrays([*columns, *work(model, batch)], names=names)
+            rows = max(1, batch.num_rows * PART_BYTES // max(batch.nbytes, 1))
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                columns = [c for i, c in enumerate(part.columns) if i not in drop]
+                yield pa.RecordBatch.from_arrays([*columns, *work(model, part)], names=names)
 
     return df.mapInArrow(run, schema)
 
