@@ -1,12 +1,9 @@
-"""Text functions on columns: names, slots and expressions of C programs. All but the call-site id are built-in expressions."""
+"""Text functions on columns: names, slots and expressions of C programs. All of them are built-in expressions."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType
 
 BLANK = r"[ \t\n\x0B\f\r]"
 
@@ -84,27 +81,33 @@ def last_k(array: Column, k: int) -> Column:
 FNV_BASIS, FNV_PRIME = 1469598103934665603, 1099511628211
 
 
-@pandas_udf(StringType())
-def call_site_id(key: pd.Series) -> pd.Series:
-    """cs_<n>, the 64-bit FNV-1a of `function|file:line:col|direct|through|callee|args`."""
+def call_site_id(key: Column) -> Column:
+    """cs_<n>, the 64-bit FNV-1a of `function|file:line:col|direct|through|callee|args`.
 
-    def one(text):
-        if text is None:
-            return None
-        h = FNV_BASIS
-        for b in text.encode():
-            h = (h ^ b) * FNV_PRIME & 0xFFFFFFFFFFFFFFFF
-        return f"cs_{h}"
+    The hash is held in two halves of 32 bits: the prime is 2^40 + 435, so no product leaves 64 bits.
+    """
+    low, prime = FNV_BASIS & 0xFFFFFFFF, FNV_PRIME - (1 << 40)
+    octets = F.regexp_extract_all(F.hex(F.encode(key, "UTF-8")), F.lit(".."), F.lit(0))
+    start = F.struct(F.lit(FNV_BASIS >> 32).cast("long").alias("hi"), F.lit(low).cast("long").alias("lo"))
 
-    return key.map(one, na_action=None)
+    def step(h: Column, octet: Column) -> Column:
+        lo = h["lo"].bitwiseXOR(F.conv(octet, 16, 10).cast("long"))
+        hi = h["hi"] * prime + F.shiftright(lo * prime, 32) + F.shiftleft(lo, 8)
+        return F.struct(hi.bitwiseAND(0xFFFFFFFF).alias("hi"), (lo * prime).bitwiseAND(0xFFFFFFFF).alias("lo"))
+
+    number = lambda h: (h["hi"].cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + h["lo"]).cast("decimal(20,0)").cast("string")
+    return F.concat(F.lit("cs_"), F.aggregate(octets, start, step, number))
 
 
 def canonical_slot(c: Column) -> Column:
     """The dotted path of an access without address marks and indices, or else the last identifier; empty without one."""
     plain = F.regexp_replace(F.regexp_replace(F.replace(c, F.lit("->"), F.lit(".")), r"\[[^\]]*\]", ""), r"^[&*(\s]+", "")
-    dotted = plain.rlike(r"^\s*[A-Za-z_]\w*(\s*\.\s*[A-Za-z_]\w*)+[\s;)]*$")
-    last = F.coalesce(F.try_element_at(F.regexp_extract_all(plain, F.lit(r"[A-Za-z_]\w*"), F.lit(0)), F.lit(-1)), F.lit(""))
-    return F.when(dotted, F.regexp_replace(plain, r"[\s;)]+", "")).otherwise(last)
+
+    def told(x: Column) -> Column:
+        last = F.coalesce(F.try_element_at(F.regexp_extract_all(x, F.lit(r"[A-Za-z_]\w*"), F.lit(0)), F.lit(-1)), F.lit(""))
+        return F.when(x.rlike(r"^\s*[A-Za-z_]\w*(\s*\.\s*[A-Za-z_]\w*)+[\s;)]*$"), F.regexp_replace(x, r"[\s;)]+", "")).otherwise(last)
+
+    return bound(plain, told)
 
 
 def callee_name(c: Column) -> Column:
@@ -123,35 +126,34 @@ def struct_access(c: Column) -> Column:
     return F.struct(F.substring_index(plain, ".", 1).alias("base"), F.regexp_extract(plain, r"^[^.]*\.(.*)$", 1).alias("member"))
 
 
-def _last_call(text: str) -> list[str]:
-    """What stands between the commas of the last outermost parentheses; quotes and brackets are kept together."""
-    depth, quote, start, parts, found = 0, "", 0, [], []
-    for i, ch in enumerate(text):
-        if quote:
-            if ch == quote and text[i - 1] != "\\":
-                quote = ""
-        elif ch in "\"'":
-            quote = ch
-        elif ch in "([{":
-            if depth == 0:
-                start, parts = i + 1, []
-            depth += 1
-        elif ch in ")]}" and depth:
-            depth -= 1
-            if depth == 0:
-                if ch == ")":
-                    found = [*parts, text[start:i]]
-        elif ch == "," and depth == 1:
-            parts.append(text[start:i])
-            start = i + 1
-    found = [x.strip() for x in found]
-    return [] if found == [""] else found
-
-
-@pandas_udf(ArrayType(StringType()))
-def call_arguments(line: pd.Series) -> pd.Series:
-    """The argument texts of the last call of a line; nesting is beyond regular expressions."""
-    return line.map(lambda x: None if x is None else _last_call(x), na_action=None)
+#: A line with one pair of parentheses whose arguments hold no brackets but indices: its arguments can be split at the commas.
+_PLAIN_CALL = r"""^[^()"'\[\]{}]*\(((?:[^()"'\[\]{},]|,|\[[^()"'\[\]{},]*\])*)\)[^()"'\[\]{}]*$"""
+#: Quoted text (a quote after a backslash doesn't end it), brackets, commas, and what stands between.
+_TOKENS = r"""(?s)"[^"]*(?:(?<=\\)"[^"]*)*(?:"|\z)|'[^']*(?:(?<=\\)'[^']*)*(?:'|\z)|[()\[\]{},]|[^"'()\[\]{},]+"""
+
+
+def call_arguments(line: Column) -> Column:
+    """The argument texts of the last call of a line; quotes and brackets are kept together.
+
+    Plain calls are split at their commas. For others a fold over the tokens keeps the depth, the place, the start of the
+    argument, the arguments of the call at hand and those of the last one that was closed.
+    """
+    none = F.array().cast("array<string>")
+    fields = ["d", "at", "s", "parts", "found"]
+    start = F.struct(F.lit(0).alias("d"), F.lit(1).alias("at"), F.lit(1).alias("s"), none.alias("parts"), none.alias("found"))
+
+    def step(a: Column, x: Column) -> Column:
+        here, after = a["at"], a["at"] + F.length(x)
+        put = lambda **new: F.struct(*(after.alias(f) if f == "at" else new.get(f, a[f]).alias(f) for f in fields))
+        told = F.concat(a["parts"], F.array(F.substring(line, a["s"], here - a["s"])))
+        opened = put(d=a["d"] + 1, s=F.when(a["d"] == 0, after).otherwise(a["s"]), parts=F.when(a["d"] == 0, none).otherwise(a["parts"]))
+        closed = put(d=a["d"] - 1, found=F.when((a["d"] == 1) & (x == ")"), told).otherwise(a["found"]))
+        return F.when(x.isin("(", "[", "{"), opened).when(x.isin(")", "]", "}") & (a["d"] > 0), closed).when((x == ",") & (a["d"] == 1), put(s=after, parts=told)).otherwise(put())
+
+    plain = F.rlike(line, F.lit(_PLAIN_CALL))
+    found = F.when(plain, F.split(F.regexp_extract(line, _PLAIN_CALL, 1), ",", -1)).otherwise(F.aggregate(F.regexp_extract_all(line, F.lit(_TOKENS), F.lit(0)), start, step, lambda a: a["found"]))
+    trimmed = F.transform(found, lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return bound(trimmed, lambda xs: F.when((F.size(xs) == 1) & (F.get(xs, 0) == ""), none).otherwise(xs))
 
 
 #: Library functions that copy memory from their second to their first argument, and those that clear it.
@@ -161,9 +163,114 @@ CLEARS = "memset bzero explicit_bzero __builtin_memset".split()
 
 def memory_transfer(c: Column) -> Column:
     """source, target of the copy that a line makes, or the target alone of what it clears; null for other lines."""
-    name, args = callee_name(c), call_arguments(c)
-    first, second = F.get(args, 0), F.get(args, 1)
-    copy = F.struct(second.alias("source"), first.alias("target"))
-    swapped = F.struct(first.alias("source"), second.alias("target"))
-    cleared = F.struct(F.lit(None).cast("string").alias("source"), first.alias("target"))
-    return F.when(name.isin(COPIES) & (F.size(args) >= 2), copy).when((name == "bcopy") & (F.size(args) >= 2), swapped).when(name.isin(CLEARS) & (F.size(args) >= 1), cleared)
+    kind = bound(callee_name(c), lambda x: F.when(x.isin(COPIES), "copy").when(x == "bcopy", "swapped").when(x.isin(CLEARS), "cleared"))
+
+    def told(k: Column, args: Column) -> Column:
+        first, second, none = F.get(args, 0), F.get(args, 1), F.lit(None).cast("string")
+        pair = lambda source, target: F.struct(source.alias("source"), target.alias("target"))
+        two, one = F.size(args) >= 2, F.size(args) >= 1
+        return F.when((k == "copy") & two, pair(second, first)).when((k == "swapped") & two, pair(first, second)).when((k == "cleared") & one, pair(none, first))
+
+    return bound(kind, lambda k: F.when(k.isNotNull(), bound(call_arguments(c), lambda args: told(k, args))))
+
+
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+
+def strip_suffix(c: Column, suffix: str) -> Column:
+    """The text without the suffix, where it ends so."""
+    return F.when(F.endswith(c, F.lit(suffix)), F.left(c, F.length(c) - len(suffix))).otherwise(c)
+
+
+def replace_all(c: Column, old: str, new: str) -> Column:
+    """Every occurrence replaced; an empty old text changes nothing."""
+    return F.replace(c, F.lit(old), F.lit(new)) if old else c
+
+
+def escape_script(c: Column) -> Column:
+    """JSON text that may stand in a script element: <, > and & as escapes."""
+    for mark in "<>&":
+        c = F.replace(c, F.lit(mark), F.lit(f"\\u{ord(mark):04x}"))
+    return c
+
+
+def slot_of(c: Column) -> Column:
+    """The memory slot of an expression, or else its plain slot."""
+    return F.coalesce(F.nullif(memory_slot(c), F.lit("")), canonical_slot(c))
+
+
+def slot_of_object(c: Column) -> Column:
+    """The slot of an abstract object: what follows the last colon."""
+    return F.substring_index(c, ":", -1)
+
+
+def joined_or_none(names: Column, separator: str = ", ") -> Column:
+    return F.when(F.coalesce(F.size(names), F.lit(0)) <= 0, "<none>").otherwise(F.array_join(names, separator))
+
+
+def is_integer_binding(c: Column) -> Column:
+    return F.startswith(c, F.lit("#int:"))
+
+
+def program_point(high: Column, low: Column) -> Column:
+    """Two numbers of 32 bits as one of 64."""
+    return F.shiftleft(high.cast("long"), 32).bitwiseOR(low.cast("long").bitwiseAND(0xFFFFFFFF))
+
+
+def aligned(array: Column, like: Column) -> Column:
+    """The array cut or filled with nulls to the length of the other."""
+    return F.transform(like, lambda _, i: F.get(array, i))
+
+
+def top_level_split(c: Column) -> Column:
+    """condition, yes, no of a conditional expression without its outer parentheses; nulls where there is no ? outside of brackets.
+
+    One fold over the characters notes the first ? at depth 0 and the : that answers it.
+    """
+    return bound(stripped_parentheses(c), _split)
+
+
+def _split(text: Column) -> Column:
+    chars = F.transform(F.split(text, r"(?s)(?<=.)", -1), lambda x, i: F.struct(x.alias("c"), (i + 1).alias("i")))
+    fields = ["d", "n", "ask", "tell"]
+    start = F.struct(*(F.lit(0).alias(f) for f in fields))
+
+    def step(a: Column, x: Column) -> Column:
+        ch, i = x["c"], x["i"]
+        put = lambda **new: F.struct(*(new.get(f, a[f]).alias(f) for f in fields))
+        flat = a["d"] == 0
+        return (
+            F.when(ch.isin("(", "[", "{"), put(d=a["d"] + 1)).when(ch.isin(")", "]", "}"), put(d=a["d"] - 1))
+            .when((ch == "?") & flat, put(n=a["n"] + 1, ask=F.when(a["ask"] == 0, i).otherwise(a["ask"])))
+            .when((ch == ":") & flat & (a["n"] == 1) & (a["tell"] == 0), put(n=F.lit(0), tell=i)).when((ch == ":") & flat & (a["n"] > 1), put(n=a["n"] - 1)).otherwise(put()))
+
+    def told(at: Column) -> Column:
+        part = lambda a, b: F.when((at["ask"] > 0) & (at["tell"] > at["ask"]), trim(F.substring(text, a, b)))
+        return F.struct(part(F.lit(1), at["ask"] - 1).alias("condition"), part(at["ask"] + 1, at["tell"] - at["ask"] - 1).alias("yes"), part(at["tell"] + 1, F.length(text)).alias("no"))
+
+    return F.aggregate(chars, start, step, told)
+
+
+def stripped_parentheses(c: Column) -> Column:
+    """The text without the parentheses that enclose it as a whole: as many pairs as open it, end it and stay open in between."""
+    lead, inner, trail = (F.regexp_extract(trim(c), r"(?s)^([(\s]*)(.*?)([)\s]*)$", i) for i in (1, 2, 3))
+    opened, closed = F.regexp_count(lead, F.lit(r"\(")), F.regexp_count(trail, F.lit(r"\)"))
+    start = F.struct(opened.alias("d"), opened.alias("low"))
+
+    def step(a: Column, x: Column) -> Column:
+        depth = a["d"] + F.when(x == "(", 1).when(x == ")", -1).otherwise(0)
+        return F.struct(depth.alias("d"), F.least(a["low"], depth).alias("low"))
+
+    lowest = F.aggregate(F.split(inner, r"(?s)(?<=.)", -1), start, step, lambda a: a["low"])
+    pairs = F.greatest(F.least(opened, closed, lowest), F.lit(0))
+    return F.concat(F.repeat(F.lit("("), opened - pairs), inner, F.repeat(F.lit(")"), closed - pairs))
+
+
+def conditional_store(c: Column) -> Column:
+    """slot, condition, yes, no of a line `slot = condition ? yes : no;`; null for other lines."""
+    left, right = F.regexp_extract(c, r"^\s*(.*?(?<![=!<>]))=(?!=)(.*?);?\s*$", 1), F.regexp_extract(c, r"^\s*(.*?(?<![=!<>]))=(?!=)(.*?);?\s*$", 2)
+    told = lambda x: F.when(x["yes"].isNotNull(), F.struct(assigned_slot(c).alias("slot"), x["condition"].alias("condition"), x["yes"].alias("yes"), x["no"].alias("no")))
+    return bound(top_level_split(F.when(trim(left) != "", right)), told)

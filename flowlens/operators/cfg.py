@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.operators.loops import MAX_ROUNDS, grow, staged
+from flowlens.operators.loops import MAX_ROUNDS, Rounds, grow, improved, staged
 
 
 def predecessors(blocks: DataFrame) -> DataFrame:
@@ -33,15 +33,14 @@ def min_calls_to_exit(blocks: DataFrame, calls: DataFrame, exits: DataFrame, max
     """calls: fn, block, n. exits: fn, block. fn, block, least number of calls from the start of the block to the exit; null where it can't be reached."""
     edge = staged(blocks.where("succ is not null").select("fn", "block", "succ").distinct())
     weight = blocks.select("fn", "block").distinct().join(calls, ["fn", "block"], "left").select("fn", "block", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-    best = staged(weight.join(exits.withColumn("out", F.lit(True)), ["fn", "block"], "left").select("fn", "block", "n", F.when(F.col("out"), F.col("n")).alias("least")))
-    changed = best.where("least is not null")
+    weight = staged(weight)
+    best = Rounds(weight.join(exits, ["fn", "block"], "left_semi").select("fn", "block", F.col("n").alias("least")))
     for _ in range(max_rounds):
-        sent = edge.join(changed.select("fn", F.col("block").alias("succ"), "least"), ["fn", "succ"]).groupBy("fn", "block").agg(F.min("least").alias("sent"))
-        both = best.join(sent, ["fn", "block"], "left").withColumn("via", F.col("sent") + F.col("n"))
-        best = staged(both.select("fn", "block", "n", F.least("least", "via").alias("least"), F.coalesce(F.col("via") < F.coalesce("least", F.lit(1 << 60)), F.lit(False)).alias("moved")))
-        changed, best = best.where("moved"), best.drop("moved")
-        if not changed.take(1):
-            return best.select("fn", "block", F.col("least").alias("min_calls"))
+        sent = edge.join(best.newest.select("fn", F.col("block").alias("succ"), "least"), ["fn", "succ"]).join(weight, ["fn", "block"])
+        sent = sent.groupBy("fn", "block").agg(F.min(F.col("least") + F.col("n")).alias("least"))
+        if not best.add(improved(sent, best.all, ["fn", "block"], "least", unknown=True)).take(1):
+            found = best.all.groupBy("fn", "block").agg(F.min("least").alias("min_calls"))
+            return weight.select("fn", "block").join(found, ["fn", "block"], "left")
     raise RuntimeError(f"no fixpoint within {max_rounds} rounds")
 
 

@@ -11,10 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_ROUNDS = 200
+#: Rows of a round up to which they are broadcast to what is known; larger rounds are joined by a shuffle.
+SMALL = 200_000
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "flowlens-checkpoint")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = os.path.join(tempfile.gettempdir(), "flowlens-checkpoint")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -25,6 +31,15 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unseen(rows: DataFrame, known: DataFrame, keys: list[str], small: int = SMALL) -> DataFrame:
+    """The rows, each once by its keys, whose keys aren't known. A small round goes to where the known rows are, which then aren't shuffled."""
+    new = staged(rows.dropDuplicates(keys))
+    if new.limit(small + 1).count() > small:
+        return new.join(known.select(*keys), keys, "left_anti").select(*new.columns)
+    met = known.select(*keys).join(F.broadcast(new.select(*keys)), keys, "left_semi")  # no more rows than new has
+    return new.join(F.broadcast(met), keys, "left_anti").select(*new.columns)
+
+
 class Rounds:
     """A relation that grows round by round: each round is a folder of one table, so the plan of the whole stays flat."""
 
@@ -54,8 +69,7 @@ def grow(first: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[st
     keys = keys or first.columns
     known = Rounds(first.dropDuplicates(keys))
     for _ in range(max_rounds):
-        fresh = step(known.newest).select(*first.columns).dropDuplicates(keys).join(known.all.select(*keys), keys, "left_anti").select(*first.columns)
-        if not known.add(fresh).take(1):
+        if not known.add(unseen(step(known.newest).select(*first.columns), known.all, keys)).take(1):
             return known.all
     raise RuntimeError(f"no fixpoint within {max_rounds} rounds")
 
@@ -69,17 +83,23 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int = MAX_ROUNDS)
 
 def least_reaching(edges: DataFrame, start: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """edges: src, dst. start: node, value. For each node the least value among itself and the nodes that reach it."""
-    value = staged(start.groupBy("node").agg(F.min("value").alias("value")))
-    changed = value
+    value = Rounds(start.groupBy("node").agg(F.min("value").alias("value")))
     for _ in range(max_rounds):
-        sent = changed.join(edges, changed["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("value").alias("sent"))
-        both = staged(value.join(sent, "node", "left").select("node", F.least("value", "sent").alias("value"), (F.col("sent") < F.col("value")).alias("moved")))
-        value, changed = both.select("node", "value"), both.where("moved").select("node", "value")
-        if not changed.take(1):
-            return value
+        new = value.newest
+        sent = new.join(edges, new["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("value").alias("value"))
+        if not value.add(improved(sent, value.all, ["node"], "value")).take(1):
+            return value.all.groupBy("node").agg(F.min("value").alias("value"))
     raise RuntimeError(f"no fixpoint within {max_rounds} rounds")
 
 
+def improved(sent: DataFrame, known: DataFrame, keys: list[str], value: str, unknown: bool = False, small: int = SMALL) -> DataFrame:
+    """The rows of sent (keys, value) below the least known value of their keys, and those of unknown keys if wanted. Like `unseen`, small rounds are broadcast."""
+    new = staged(sent)
+    near = known.join(F.broadcast(new.select(*keys)), keys, "left_semi") if new.limit(small + 1).count() <= small else known
+    best = near.groupBy(*keys).agg(F.min(value).alias("known_least"))
+    return new.join(best, keys, "left" if unknown else "inner").where(f"known_least is null or {value} < known_least").select(*new.columns)
+
+
 def strong_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """edges: src, dst. node, representative: the least node of its strongly connected component.
 
@@ -120,35 +140,61 @@ def bounded_contexts(edges: DataFrame, roots: DataFrame, depth: int = 2) -> tupl
     return node, out
 
 
-def points_to(addr: DataFrame, copy: DataFrame, load: DataFrame, store: DataFrame, store_seed: DataFrame | None = None, mem_xfer: DataFrame | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def points_to(addr: DataFrame, copy: DataFrame, load: DataFrame, store: DataFrame, store_seed: DataFrame | None = None, mem_xfer: DataFrame | None = None, max_rounds: int = MAX_ROUNDS, collapse: bool = False) -> DataFrame:
     """Inclusion-based points-to sets: node, obj.
 
     addr(node, obj), copy(src, dst), load(ptr, dst) for dst = *ptr, store(ptr, src) for *ptr = src, store_seed(ptr, obj) for
     *ptr = &obj, mem_xfer(sp, dp) for copies between what two pointers point to. Semi-naive: new facts meet known edges and
-    new edges meet known facts.
+    new edges meet known facts. collapse: nodes that copy to each other in a cycle are solved as one, which pays where there
+    are many cycles; the result is the same.
     """
+    if collapse:
+        return _collapsed(addr, copy, load, store, store_seed, mem_xfer, max_rounds)
     pts = Rounds(addr.select("node", "obj").distinct())
     link = Rounds(copy.select("src", "dst").where("src <> dst").distinct())
     for _ in range(max_rounds):
-        new, old_links = pts.newest, link.all
-        by_ptr = new.select(F.col("node").alias("ptr"), F.col("obj"))
+        new, facts, old = pts.newest, pts.all, link.all
+        by_ptr = new.select(F.col("node").alias("ptr"), "obj")
         links = by_ptr.join(load, "ptr").select(F.col("obj").alias("src"), "dst").unionByName(by_ptr.join(store, "ptr").select("src", F.col("obj").alias("dst")))
         if mem_xfer is not None:
             source, target = (lambda p: p.toDF("sp", "so")), (lambda p: p.toDF("dp", "do"))
-            for a, b in ((source(new), target(pts.all)), (source(pts.all), target(new))):
+            for a, b in ((source(new), target(facts)), (source(facts), target(new))):
                 links = links.unionByName(mem_xfer.join(a, "sp").join(b, "dp").select(F.col("so").alias("src"), F.col("do").alias("dst")))
-        before = pts.all
-        facts = new.join(old_links, new["node"] == old_links["src"]).select(F.col("dst").alias("node"), "obj")
-        added = link.add(links.where("src <> dst").distinct().join(old_links, ["src", "dst"], "left_anti"))
-        facts = facts.unionByName(before.join(added, before["node"] == added["src"]).select(F.col("dst").alias("node"), "obj"))
+        made = new.join(old, new["node"] == old["src"]).select(F.col("dst").alias("node"), "obj")
+        added = link.add(unseen(links.where("src <> dst"), old, ["src", "dst"]))
+        made = made.unionByName(facts.join(added, facts["node"] == added["src"]).select(F.col("dst").alias("node"), "obj"))
         if store_seed is not None:
-            facts = facts.unionByName(by_ptr.withColumnRenamed("obj", "at").join(store_seed, "ptr").select(F.col("at").alias("node"), "obj"))
-        pts.add(facts.distinct().join(before, ["node", "obj"], "left_anti"))
-        if not pts.newest.take(1) and not added.take(1):
+            made = made.unionByName(by_ptr.withColumnRenamed("obj", "at").join(store_seed, "ptr").select(F.col("at").alias("node"), "obj"))
+        if not pts.add(unseen(made, facts, ["node", "obj"])).take(1) and not added.take(1):
             return pts.all
     raise RuntimeError(f"no fixpoint within {max_rounds} rounds")
 
 
+def _collapsed(addr: DataFrame, copy: DataFrame, load: DataFrame, store: DataFrame, store_seed: DataFrame | None, mem_xfer: DataFrame | None, max_rounds: int) -> DataFrame:
+    """`points_to` over one node for each cycle of copies. Objects keep their names as objects; as nodes they stand for their cycle."""
+    part = staged(strong_components(copy).where("node <> representative"))
+    one = lambda df, *columns: _renamed(df, part, columns)
+    inside = staged(part.select(F.col("representative").alias("src"), F.col("node").alias("dst")).unionByName(part.select(F.col("node").alias("src"), F.col("representative").alias("dst"))))
+    copies = one(copy.select("src", "dst"), "src", "dst").where("src <> dst").distinct()
+    # an object that is in a cycle is also a node of its own, as what is loaded or stored goes by its name
+    objects = addr.select("obj").unionByName(store_seed.select("obj")) if store_seed is not None else addr.select("obj")
+    ends = inside.join(objects.select(F.col("obj").alias("src")).distinct(), "src", "left_semi").unionByName(inside.join(objects.select(F.col("obj").alias("dst")).distinct(), "dst", "left_semi")).distinct()
+    found = points_to(
+        one(addr.select("node", "obj"), "node"), copies.unionByName(ends).distinct(), one(load.select("ptr", "dst"), "ptr", "dst"), one(store.select("ptr", "src"), "ptr", "src"),
+        None if store_seed is None else one(store_seed.select("ptr", "obj"), "ptr"), None if mem_xfer is None else one(mem_xfer.select("sp", "dp"), "sp", "dp"), max_rounds)
+    members = part.select("node", "representative")
+    spread = found.withColumnRenamed("node", "representative").join(members, "representative").select("node", "obj")
+    return found.unionByName(spread).distinct()
+
+
+def _renamed(df: DataFrame, part: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """df with the nodes of the columns replaced by their representatives."""
+    for c in columns:
+        told = part.select(F.col("node").alias(c), F.col("representative").alias("as_one"))
+        df = df.join(told, c, "left").withColumn(c, F.coalesce("as_one", c)).drop("as_one")
+    return df
+
+
 def relevant_nodes(copy: DataFrame, probes: DataFrame) -> DataFrame:
     """Nodes from which a probe can be reached over copies: node."""
     back = copy.select("src", F.col("dst").alias("node")).distinct()
@@ -169,7 +215,7 @@ def returning_functions(seeds: DataFrame, returns: DataFrame) -> DataFrame:
 def resolve_indirect(facts: dict[str, DataFrame], sites: DataFrame, args: DataFrame, params: DataFrame, returns: DataFrame, receivers: DataFrame, functions: DataFrame, max_rounds: int = 8) -> DataFrame:
     """Indirect calls by points-to sets, fed back until no call is new: site, target.
 
-    facts: addr, copy, load, store of `points_to`, and direct, if any: site, target of calls that are known. sites: site,
+    facts: addr, copy, load, store of `points_to`, store_seed and mem_xfer, if any, and direct, if any: site, target of calls that are known. sites: site,
     probe (a node whose targets it may call), n_args. args: site, pos, node. params: fn, pos, node. returns: fn, node.
     receivers: site, node. functions: name, n_params (null where unknown). Each round solves the points-to sets, takes the
     functions that the probes lead to and that the arguments fill, and adds copies from arguments to parameters and from
@@ -182,7 +228,7 @@ def resolve_indirect(facts: dict[str, DataFrame], sites: DataFrame, args: DataFr
     for _ in range(max_rounds):
         passed = calls.join(args, "site").join(params.select(F.col("fn").alias("target"), "pos", F.col("node").alias("dst")), ["target", "pos"]).select(F.col("node").alias("src"), "dst")
         given = calls.join(returns.select(F.col("fn").alias("target"), F.col("node").alias("src")), "target").join(receivers.withColumnRenamed("node", "dst"), "site").select("src", "dst")
-        pts = points_to(facts["addr"], facts["copy"].select("src", "dst").unionByName(passed).unionByName(given), facts["load"], facts["store"])
+        pts = points_to(facts["addr"], facts["copy"].select("src", "dst").unionByName(passed).unionByName(given), facts["load"], facts["store"], facts.get("store_seed"), facts.get("mem_xfer"))
         met = transitive_targets(pts, site.select(F.col("probe").alias("node")).distinct(), functions)
         fit = site.join(met, "probe").join(functions.select(F.col("name").alias("target"), "n_params"), "target").where("n_params is null or n_args >= n_params")
         found = staged(fit.select("site", "target").unionByName(known).distinct())

@@ -48,11 +48,11 @@ def child_coverage(tree: DataFrame, static: DataFrame) -> DataFrame:
     return both.groupBy("root", "path").agg(F.count_if(F.col("seen") == 1).alias("covered"), F.count_if(F.col("callee").isNotNull() & F.col("seen").isNull()).alias("missed"))
 
 
-def coverage_tree(tree: DataFrame, static: DataFrame) -> DataFrame:
+def coverage_tree(tree: DataFrame, static: DataFrame, max_depth: int | None = None) -> DataFrame:
     """root, path, hits, taken: the tree, and below it the static callees that were never taken there, and theirs in turn.
 
-    A name that stands on the path already is not expanded again, so recursive programs end; the rows are as many as the
-    static call paths below the tree, so static should be sparse or without library calls.
+    A name that stands on the path already is not expanded again, so recursive programs end. The rows are as many as the
+    static call paths below the tree: in a dense graph max_depth bounds how far below it they go.
     """
     from flowlens.operators.loops import grow, staged
 
@@ -60,10 +60,12 @@ def coverage_tree(tree: DataFrame, static: DataFrame) -> DataFrame:
     taken = staged(tree.select("root", "path", "hits"))
 
     def below(nodes: DataFrame) -> DataFrame:
-        last = nodes.select("root", "path", F.element_at(F.split("path", "/"), -1).alias("name")).join(edge, "name")
-        return last.where("not array_contains(split(path, '/'), callee)").select("root", F.concat_ws("/", "path", "callee").alias("path"))
+        nodes = nodes if max_depth is None else nodes.where(F.col("level") < max_depth)
+        last = nodes.withColumn("name", F.element_at(F.split("path", "/"), -1)).join(edge, "name")
+        return last.where("not array_contains(split(path, '/'), callee)").select("root", F.concat_ws("/", "path", "callee").alias("path"), F.expr("level + 1").alias("level"))
 
-    missed = grow(below(taken).join(taken.select("root", "path"), ["root", "path"], "left_anti"), below)
+    first = below(taken.select("root", "path", F.lit(0).alias("level"))).join(taken.select("root", "path"), ["root", "path"], "left_anti")
+    missed = grow(first, below, ["root", "path"]).select("root", "path")
     return taken.withColumn("taken", F.lit(True)).unionByName(missed.withColumns({"hits": F.lit(0).cast("long"), "taken": F.lit(False)}))
 
 

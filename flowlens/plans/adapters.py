@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from flowlens.operators.loops import staged
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,17 +32,16 @@ def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("caller", "callee", "kind")
 
 
-def sparse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sparse acyclic-looking graph for recursion: caller, callee, distinct."""
-    return _pairs(spark, sf_dir).where("l_returnflag = 'R' and l_quantity > 45").select("caller", "callee").distinct()
+def whole_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """caller, callee, each once: all pairs."""
+    return call_edges(spark, sf_dir).select("caller", "callee").distinct()
 
 
-def cyclic_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A graph with cycles: src, dst are the types and value classes of a user's successive events."""
+def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph with cycles, src, dst: each user has a node for each type of event, and edges between successive events' types."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    node = F.concat(F.lit("e"), F.expr("event_id % 97"))
-    ev = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value", node.alias("src")).withColumn("dst", F.lead("src").over(w))
-    return ev.where("event_type = 'error' and value > 20 and dst is not null").select("src", "dst").distinct()
+    ev = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), "user_id", F.lit(":"), "event_type").alias("src"), "user_id", "ts", "event_id")
+    return ev.withColumn("dst", F.lead("src").over(w)).where("dst is not null").select("src", "dst").distinct()
 
 
 def runtime_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,16 +92,26 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.select("fn", "block", succ.alias("succ")).withColumn("succ", F.col("succ").cast("long"))
 
 
-def constraints(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """addr(node, obj), copy(src, dst), load(ptr, dst), store(ptr, src) for the points-to family."""
-    pairs = _pairs(spark, sf_dir).where("l_returnflag = 'R'")
-    line = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_quantity > 49")
+def pointer_facts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """addr, copy, load, store, store_seed and mem_xfer of the points-to family, out of every line item.
+
+    A line of an order is a variable and takes the address of the cell of its part and quantity. With the line of the next
+    number it makes one statement, by its return flag and state: a copy (N), a load (A), a store (R, F) or a copy of memory
+    (R, O). A line without a next one and with flag R stores the address of a function.
+    """
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("int").alias("q"), "l_returnflag", "l_linestatus").distinct()
+    after = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.lit(True).alias("more")).distinct()
+    name = lambda number: F.concat(F.lit("o"), "l_orderkey", F.lit("."), number)
+    pair = F.concat_ws(".", "l_partkey", "q")
+    var = staged(line.join(after, ["l_orderkey", "l_linenumber"], "left").select(
+        name(F.col("l_linenumber")).alias("v"), name(F.col("l_linenumber") + 1).alias("w"), F.concat(F.lit("c"), pair).alias("cell"), F.concat(F.lit("k"), pair).alias("fn"),
+        F.col("l_returnflag").alias("f"), F.col("l_linestatus").alias("s"), F.coalesce("more", F.lit(False)).alias("more")))
+    pick = lambda condition, a, b: var.where(condition).select(F.col("v").alias(a), F.col("w").alias(b)).distinct()
     return {
-        "addr": line.select(F.concat(F.lit("p"), "l_partkey").alias("node"), F.concat(F.lit("p"), F.expr("l_suppkey * 3")).alias("obj")).distinct(),
-        "copy": pairs.where("l_quantity > 45").select(F.col("caller").alias("src"), F.col("callee").alias("dst")).distinct(),
-        "load": pairs.where("l_orderkey % 7 = 3").select(F.col("caller").alias("ptr"), F.col("callee").alias("dst")).distinct(),
-        "store": pairs.where("l_orderkey % 7 = 5").select(F.col("caller").alias("ptr"), F.col("callee").alias("src")).distinct(),
-    }
+        "addr": var.select(F.col("v").alias("node"), F.col("cell").alias("obj")).distinct(), "copy": pick("more and f = 'N'", "src", "dst"), "load": pick("more and f = 'A'", "ptr", "dst"),
+        "store": pick("more and f = 'R' and s = 'F'", "ptr", "src"), "mem_xfer": pick("more and f = 'R' and s = 'O'", "sp", "dp"),
+        "store_seed": var.where("not more and f = 'R'").select(F.col("v").alias("ptr"), F.col("fn").alias("obj")).distinct(),
+    }
 
 
 #: The same relations for DuckDB, as common table expressions to put before a query.
@@ -108,17 +119,78 @@ PAIRS = """pairs AS (SELECT 'p' || a.l_partkey AS caller, 'p' || b.l_partkey AS
   CASE a.l_returnflag WHEN 'A' THEN 'direct' WHEN 'N' THEN 'indirect' ELSE 'indirect-unknown' END AS kind, a.l_orderkey, a.l_linenumber, a.l_returnflag, a.l_linestatus, a.l_quantity
   FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1),
 edges AS (SELECT caller, callee, kind FROM pairs),
-sparse AS (SELECT DISTINCT caller, callee FROM pairs WHERE l_returnflag = 'R' AND l_quantity > 45),
+whole AS (SELECT DISTINCT caller, callee FROM pairs),
 calls AS (SELECT l_orderkey AS context_id, CAST(l_linenumber AS BIGINT) AS event_index, caller, callee FROM pairs WHERE l_linestatus = 'F')"""
-CYCLIC = """cyc0 AS (SELECT event_type, value, 'e' || (event_id % 97) AS src, lead('e' || (event_id % 97)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events),
-cyclic AS (SELECT DISTINCT src, dst FROM cyc0 WHERE event_type = 'error' AND value > 20 AND dst IS NOT NULL)"""
+EVENT_EDGES = """ev0 AS (SELECT 'u' || user_id || ':' || event_type AS src, lead('u' || user_id || ':' || event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events),
+cyclic AS (SELECT DISTINCT src, dst FROM ev0 WHERE dst IS NOT NULL)"""
 LOG = """log AS (SELECT user_id AS trace, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS event_index,
   CASE event_type WHEN 'signup' THEN 'Entry' WHEN 'purchase' THEN 'Exit' ELSE 'Plain' END AS kind,
   CASE WHEN event_type IN ('signup', 'purchase') THEN 'ep' || (event_id % 3) ELSE event_type END AS base_name FROM events)"""
 BLOCKS = """blk0 AS (SELECT l_orderkey AS fn, CAST(l_linenumber AS BIGINT) AS block, lead(l_linenumber, 1) OVER w AS a, lead(l_linenumber, 2) OVER w AS b FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)),
 blocks AS (SELECT fn, block, CAST(a AS BIGINT) AS succ FROM blk0 UNION ALL SELECT fn, block, CAST(b AS BIGINT) FROM blk0 WHERE block % 3 = 0 AND b IS NOT NULL)"""
-CONSTRAINTS = PAIRS + """,
-addr AS (SELECT DISTINCT 'p' || l_partkey AS node, 'p' || (l_suppkey * 3) AS obj FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 49),
-copy AS (SELECT caller AS src, callee AS dst FROM sparse),
-loads AS (SELECT DISTINCT caller AS ptr, callee AS dst FROM pairs WHERE l_returnflag = 'R' AND l_orderkey % 7 = 3),
-stores AS (SELECT DISTINCT caller AS ptr, callee AS src FROM pairs WHERE l_returnflag = 'R' AND l_orderkey % 7 = 5)"""
+FACTS = """var AS (SELECT DISTINCT 'o' || l_orderkey || '.' || l_linenumber AS v, 'o' || l_orderkey || '.' || (l_linenumber + 1) AS w, 'c' || l_partkey || '.' || CAST(l_quantity AS INTEGER) AS cell,
+  'k' || l_partkey || '.' || CAST(l_quantity AS INTEGER) AS fn, l_returnflag AS f, l_linestatus AS s, (l_orderkey, l_linenumber + 1) IN (SELECT (l_orderkey, l_linenumber) FROM lineitem) AS more FROM lineitem),
+addr AS (SELECT DISTINCT v AS node, cell AS obj FROM var),
+copy AS (SELECT DISTINCT v AS src, w AS dst FROM var WHERE more AND f = 'N'),
+loads AS (SELECT DISTINCT v AS ptr, w AS dst FROM var WHERE more AND f = 'A'),
+stores AS (SELECT DISTINCT v AS ptr, w AS src FROM var WHERE more AND f = 'R' AND s = 'F'),
+xfers AS (SELECT DISTINCT v AS sp, w AS dp FROM var WHERE more AND f = 'R' AND s = 'O'),
+seeds AS (SELECT DISTINCT v AS ptr, fn AS obj FROM var WHERE NOT more AND f = 'R')"""
+#: Facts (k = 'p': a points to b) and copies (k = 'e') until no row is new, however many rounds that takes.
+SOLVED = """state(k, a, b, z) USING KEY (k, a, b) AS (
+  SELECT 'p', node, obj, 0 FROM addr UNION ALL SELECT 'e', src, dst, 0 FROM copy
+  UNION
+  SELECT DISTINCT k, a, b, 0 FROM (
+    SELECT 'p' AS k, e.b AS a, p.b AS b FROM state p JOIN recurring.state e ON p.k = 'p' AND e.k = 'e' AND e.a = p.a
+    UNION ALL SELECT 'p', e.b, p.b FROM state e JOIN recurring.state p ON p.k = 'p' AND e.k = 'e' AND e.a = p.a
+    UNION ALL SELECT 'e', p.b, l.dst FROM state p JOIN loads l ON p.k = 'p' AND l.ptr = p.a
+    UNION ALL SELECT 'e', s.src, p.b FROM state p JOIN stores s ON p.k = 'p' AND s.ptr = p.a
+    UNION ALL SELECT 'p', p.b, s.obj FROM state p JOIN seeds s ON p.k = 'p' AND s.ptr = p.a
+    UNION ALL SELECT 'e', p.b, q.b FROM state p JOIN xfers x ON p.k = 'p' AND x.sp = p.a JOIN recurring.state q ON q.k = 'p' AND q.a = x.dp
+    UNION ALL SELECT 'e', q.b, p.b FROM state p JOIN xfers x ON p.k = 'p' AND x.dp = p.a JOIN recurring.state q ON q.k = 'p' AND q.a = x.sp) n
+  WHERE (a <> b OR k = 'p') AND NOT EXISTS (SELECT 1 FROM recurring.state o WHERE o.k = n.k AND o.a = n.a AND o.b = n.b))"""
+
+
+def program(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Facts of a program as the front end gives them: every order is a function F<key>, every line one of its assignments,
+    every part a library function fp<key>.
+
+    By return flag and state a line assigns a function's name (A, F), an address (A, O), through one or two dereferences
+    (N, F), to a dereference (N, O), a member (R, F) or what a call gives (R, O). Slots of line 7 are global. Parts of size 10
+    and more are known functions, those of 30 and more return pointers.
+    """
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    line = table(spark, sf_dir, "lineitem").withColumn("pos", F.row_number().over(w).cast("long"))
+    row = line.selectExpr(
+        "concat('F', l_orderkey) as fn", "pos", "l_linenumber = 7 as lhs_global", "l_returnflag = 'A' and l_linestatus = 'O' as takes_address", "cast(null as string) as assigned",
+        "concat(case when l_returnflag = 'N' and l_linestatus = 'O' then '*v' else 'v' end, l_linenumber) as lhs",
+        """case concat(l_returnflag, l_linestatus) when 'AF' then concat('fp', l_partkey) when 'AO' then concat('&w', l_linenumber + 1)
+             when 'NF' then concat(case when l_quantity > 25 then '**v' else '*v' end, l_linenumber + 1) when 'NO' then concat('v', l_linenumber + 1)
+             when 'RF' then concat('v', l_linenumber + 1, '.m', l_suppkey) else concat('fp', l_partkey, '(v', l_linenumber + 1, ')') end as rhs""",
+    )
+    part = table(spark, sf_dir, "part")
+    name = F.concat(F.lit("fp"), "p_partkey").alias("name")
+    order = table(spark, sf_dir, "orders")
+    return {
+        "assignments": row, "functions": part.where("p_size >= 10").select(name), "returning": part.where("p_size >= 30").select(name),
+        "params": order.select(F.concat(F.lit("F"), "o_orderkey").alias("fn"), F.lit(0).cast("long").alias("pos"), F.lit("v1").alias("name")),
+        "linear": order.select(F.concat(F.lit("F"), "o_orderkey").alias("fn"), (F.col("o_orderstatus") == "F").alias("linear")),
+    }
+
+
+PROGRAM = """asg AS (SELECT 'F' || l_orderkey AS fn, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos, l_returnflag || l_linestatus AS k,
+  l_linenumber AS n, l_partkey AS part, l_suppkey AS supp, l_quantity > 25 AS deep FROM lineitem),
+gslot AS (SELECT DISTINCT 'v7' AS slot FROM lineitem WHERE l_linenumber = 7),
+known AS (SELECT p_partkey AS part, p_size >= 10 AS known, p_size >= 30 AS gives FROM part),
+named AS (SELECT asg.*, coalesce(known, false) AS known, coalesce(gives, false) AS gives, CASE WHEN 'v' || n IN (SELECT slot FROM gslot) THEN 'g::v' || n ELSE fn || '::v' || n END AS lhs,
+  CASE WHEN 'v' || (n + 1) IN (SELECT slot FROM gslot) THEN 'g::v' || (n + 1) ELSE fn || '::v' || (n + 1) END AS nxt FROM asg LEFT JOIN known USING (part)),
+cons AS (
+  SELECT 'named' AS rule, 'addr' AS kind, lhs AS a, 'fn:fp' || part AS b, fn, pos, true AS strong FROM named WHERE k = 'AF' AND known
+  UNION ALL SELECT 'copy', 'copy', fn || '::fp' || part, lhs, fn, pos, false FROM named WHERE k = 'AF' AND NOT known
+  UNION ALL SELECT 'address', 'addr', lhs, 'obj:l:' || fn || ':w' || (n + 1), fn, pos, true FROM named WHERE k = 'AO'
+  UNION ALL SELECT 'load', 'load', nxt, CASE WHEN deep THEN fn || '::$deref.' || pos || '.1' ELSE lhs END, fn, pos, false FROM named WHERE k = 'NF'
+  UNION ALL SELECT 'load', 'load', fn || '::$deref.' || pos || '.1', lhs, fn, pos, false FROM named WHERE k = 'NF' AND deep
+  UNION ALL SELECT 'store', 'store', lhs, nxt, fn, pos, false FROM named WHERE k = 'NO'
+  UNION ALL SELECT 'copy', 'copy', nxt || '.m' || supp, lhs, fn, pos, false FROM named WHERE k = 'RF'
+  UNION ALL SELECT 'call', 'copy', 'ret::fp' || part, lhs, fn, pos, false FROM named WHERE k = 'RO' AND gives
+  UNION ALL SELECT 'within', 'addr', lhs, 'fn:fp' || part, fn, pos, false FROM named WHERE k = 'RO' AND known AND NOT gives)"""

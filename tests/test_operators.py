@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,6 +72,21 @@ def test_points_to(spark, addr, copy, load, store, seed, xfer, want):
     assert set(got(found)) == want
 
 
+def test_points_to_with_cycles_as_one_node(spark):
+    r = random.Random(3)
+    node = [f"n{i}" for i in range(12)]
+    some = lambda n: [(r.choice(node), r.choice(node)) for _ in range(n)]
+    made = frame(spark, "node string, obj string", *some(6)), frame(spark, "src string, dst string", *some(14), ("n0", "n1"), ("n1", "n0")), frame(spark, "ptr string, dst string", *some(3)), frame(spark, "ptr string, src string", *some(3))
+    more = frame(spark, "ptr string, obj string", *some(2)), frame(spark, "sp string, dp string", *some(2))
+    assert got(loops.points_to(*made, *more, collapse=True)) == got(loops.points_to(*made, *more))
+
+
+def test_large_rounds_are_joined_by_a_shuffle(spark):
+    edge = frame(spark, "src long, dst long", *[(i, (i * 7 + 3) % 50) for i in range(50)])
+    known, rows = edge.limit(20), edge.unionByName(edge)
+    assert got(loops.unseen(rows, known, ["src", "dst"], small=1)) == got(loops.unseen(rows, known, ["src", "dst"])) == got(edge.subtract(known))
+
+
 def test_strong_components_and_reachability(spark):
     edge = frame(spark, "src string, dst string", ("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "c"), ("e", "e"))
     assert got(loops.strong_components(edge)) == [("a", "a"), ("b", "a"), ("c", "c"), ("d", "c"), ("e", "e")]
@@ -300,3 +316,61 @@ def test_streamed_runs_close_across_batches(spark, tmp_path):
         query.awaitTermination(120)
     found = got(spark.read.parquet(str(tmp_path / "out")).select("entrypoint", "start", "parent_start", "end", "owned", "forced"))
     assert found == got(runs.context_runs(events).select("entrypoint", "start", "parent_start", "end", "owned", "forced"))
+
+
+# folds over characters
+
+
+def plain_arguments(text):
+    depth, quote, start, parts, found = 0, "", 0, [], []
+    for i, ch in enumerate(text):
+        if quote:
+            quote = "" if ch == quote and text[i - 1] != "\\" else quote
+        elif ch in "\"'":
+            quote = ch
+        elif ch in "([{":
+            start, parts = (i + 1, []) if depth == 0 else (start, parts)
+            depth += 1
+        elif ch in ")]}" and depth:
+            depth -= 1
+            if depth == 0 and ch == ")":
+                found = [*parts, text[start:i]]
+        elif ch == "," and depth == 1:
+            parts.append(text[start:i])
+            start = i + 1
+    found = [x.strip() for x in found]
+    return [] if found == [""] else found
+
+
+def plain_site(text):
+    h = T.FNV_BASIS
+    for b in text.encode():
+        h = (h ^ b) * T.FNV_PRIME & 0xFFFFFFFFFFFFFFFF
+    return f"cs_{h}"
+
+
+def test_folds_over_characters(spark):
+    r = random.Random(8)
+    texts = ["", "f()", "f(a, g(b, c), h[1, 2])", "x = f(')', \"a,b\\\"\", c);", "f(a)(b, c)", "a, b", "f(é, 😀漢)", "(", ")("] + ["".join(r.choice("f(),[]{}'\"\\ ab😀") for _ in range(20)) for _ in range(200)]
+    out = frame(spark, "t string", *[(t,) for t in texts], (None,)).select("t", T.call_arguments(F.col("t")).alias("a"), T.call_site_id(F.col("t")).alias("s")).collect()
+    for t, a, site in out:
+        assert (a, site) == ((None, None) if t is None else (plain_arguments(t), plain_site(t))), t
+
+
+def test_conditional_expressions(spark):
+    texts = {
+        "x = a ? b : c;": ("x", "a", "b", "c"), "t[i] = (n > 1 ? f(a ? 1 : 2) : g);": ("t[*]", "n > 1", "f(a ? 1 : 2)", "g"), "x = a ? b ? 1 : 2 : 3": ("x", "a", "b ? 1 : 2", "3"),
+        "x = (a) + (b);": None, "x == a ? b : c": None, "f(a ? b : c);": None, "": None,
+    }
+    got_ = {t: v for t, v in frame(spark, "t string", *[(t,) for t in texts]).select("t", T.conditional_store(F.col("t"))).collect()}
+    assert {t: v and tuple(v) for t, v in got_.items()} == texts
+    trimmed = frame(spark, "t string", ("((a))",), ("(a)(b)",), ("(a",), ("()",), ("",)).select("t", T.stripped_parentheses(F.col("t"))).collect()
+    assert dict(map(tuple, trimmed)) == {"((a))": "a", "(a)(b)": "(a)(b)", "(a": "(a", "()": "", "": ""}
+
+
+def test_small_text_functions(spark):
+    row = frame(spark, "a string, xs array<string>, n int", ("log.txt", ["p", "q"], 7)).select(
+        T.strip_suffix(F.col("a"), ".txt"), T.strip_suffix(F.col("a"), ".c"), T.replace_all(F.col("a"), "t", "T"), T.replace_all(F.col("a"), "", "x"), T.escape_script(F.lit("<a&b>")), T.slot_of_object(F.lit("obj:l:f:s.m")),
+        T.joined_or_none(F.col("xs")), T.joined_or_none(F.lit(None).cast("array<string>")), T.is_integer_binding(F.lit("#int:4")), T.program_point(F.col("n"), F.lit(-1)), T.aligned(F.col("xs"), F.array(F.lit(1), F.lit(2), F.lit(3))), T.slot_of(F.lit("&p->q[i].r")),
+    ).first()
+    assert tuple(row) == ("log", "log.txt", "log.TxT", "log.txt", "\\u003ca\\u0026b\\u003e", "s.m", "p, q", "<none>", True, (7 << 32) | 0xFFFFFFFF, ["p", "q", None], "p.q[*].r")
