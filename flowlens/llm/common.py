@@ -21,8 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the session's spark.checkpoint.dir (a local one only where that is unset)."""
+    """A new folder under the session's spark.checkpoint.dir. A local one only in local mode where that is unset, as in tests; a cluster without one is refused."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not base:
         base = os.path.join(tempfile.gettempdir(), "flowlens-checkpoint")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

@@ -127,7 +127,10 @@ def write_shards(docs: DataFrame, out_dir: str | None = None, ranks_path: str =
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranks = spark.sparkContext.broadcast(_read_ranks(ranks_path))
+    found = _read_ranks(ranks_path)
+    if max([end, *found.values()]) > 0xFFFF:
+        raise ValueError("ids above 65535 don't fit into records of 16 bits")
+    ranks = spark.sparkContext.broadcast(found)
     name = uuid.uuid4().hex
     out_dir = out_dir or shared_dir(spark)
 
@@ -178,6 +181,8 @@ def write_shards(docs: DataFrame, out_dir: str | None = None, ranks_path: str =
             for slot, record in zip(slots, batch["record"]):
                 if slot // per_shard != shard:
                     if stream is not None:
+                        if at != (shard + 1) * per_shard:
+                            raise RuntimeError(f"slot {at} is missing: the input changed between the two jobs")
                         close()
                     shard, at = int(slot // per_shard), int(slot // per_shard) * per_shard
                     name = f"{base}/.{shard:08d}-{uuid.uuid4().hex}"
@@ -190,6 +195,8 @@ def write_shards(docs: DataFrame, out_dir: str | None = None, ranks_path: str =
             yield pa.RecordBatch.from_arrays(
                 [batch["slot"], names, pa.array(slots % per_shard * 2 * length), batch["n_ids"], batch["doc_ids"]], names=["slot", "shard", "at", "n_ids", "doc_ids"])
         if stream is not None:
+            if at != min((shard + 1) * per_shard, n):
+                raise RuntimeError(f"slot {at} is missing: the input changed between the two jobs")
             close()
 
     ready = docs.mapInArrow(cut, "slot long, record binary, n_ids long, doc_ids array<long>")

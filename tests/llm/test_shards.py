@@ -2,6 +2,7 @@ import collections
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from flowlens.llm import shards as S
 
@@ -55,3 +56,10 @@ def test_shards_hold_every_sequence_once(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     assert S.write_shards(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "e")).collect() == []
+
+
+def test_ids_that_do_not_fit_are_refused(spark, tmp_path):
+    path = tmp_path / "large.tiktoken"
+    path.write_bytes(b"YQ== 0\nYg== 70000\n")
+    with pytest.raises(ValueError, match="65535"):
+        S.write_shards(spark.createDataFrame([(1, "ab")], "doc_id long, text string"), str(tmp_path / "o"), ranks_path=str(path))
