@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowlens.functions import text as T
-from flowlens.operators import cfg, constraints, edges, loops, paths, resolve, runs, trees
+from flowlens.operators import cfg, constraints, edges, loops, paths, reports, resolve, runs, trees
 from flowlens.plans import adapters as A
 
 QUERIES: dict = {}
@@ -289,10 +289,10 @@ def bounded_contexts(spark, d):
     return loops.bounded_contexts(edge, edges.roots(edge), 2)[0]
 
 
-@query(_ALL_CTX + "SELECT DISTINCT c.fn, c.ctx, e.callee FROM c JOIN whole e ON e.caller = c.fn")
+@query(_ALL_CTX.replace("[-2:]", "[-1:]") + "SELECT DISTINCT c.fn, c.ctx, e.callee FROM c JOIN whole e ON e.caller = c.fn")
 def bounded_context_edges(spark, d):
     edge = loops.staged(A.whole_edges(spark, d))
-    return loops.bounded_contexts(edge, edges.roots(edge), 2)[1]
+    return loops.bounded_contexts(edge, edges.roots(edge), 1)[1]
 
 
 def _points_to(spark, d, facts):
@@ -433,6 +433,52 @@ def resolution_cascade(spark, d):
     return resolve.cascade(loops.staged(line.drop("q")), by_points_to, entries, aliases, copies, known, slots)
 
 
+# selections and totals of reports
+
+
+@query(f"WITH {A.LOG} SELECT base_name AS entrypoint, count(*) AS n, CASE WHEN count(*) > 1 THEN base_name || ' (' || count(*) || ' runs)' ELSE base_name END AS label FROM log WHERE kind = 'Entry' GROUP BY base_name")
+def run_counts(spark, d):
+    return reports.run_counts(A.trace_log(spark, d).where("kind = 'Entry'").select(F.col("base_name").alias("entrypoint")))
+
+
+@query(f"WITH {A.LOG} SELECT base_name AS entrypoint, min(trace * 1000000 + event_index) AS first FROM log WHERE kind = 'Entry' GROUP BY base_name")
+def root_order(spark, d):
+    return reports.root_order(A.trace_log(spark, d).where("kind = 'Entry'").select(F.col("base_name").alias("entrypoint"), (F.col("trace") * 1000000 + F.col("event_index")).alias("place")))
+
+
+@query(f"WITH {A.LOG} SELECT count(*) AS events, count(DISTINCT trace) AS contexts, count(*) FILTER (WHERE kind = 'Plain') AS plain_events, (SELECT count(DISTINCT trace) FROM log WHERE kind = 'Exit') AS paths_kept FROM log")
+def run_totals(spark, d):
+    log = A.trace_log(spark, d)
+    return reports.run_totals(log, log.where("kind = 'Exit'").select("trace").distinct())
+
+
+@query("""SELECT DISTINCT l_orderkey AS fn, CAST(p AS BIGINT) AS pos, CASE p WHEN 0 THEN 's' || l_suppkey WHEN 1 THEN l_linestatus ELSE 'n' || l_linenumber END AS value FROM lineitem, range(3) t(p) WHERE l_returnflag = 'R'""")
+def argument_values(spark, d):
+    calls = A.table(spark, d, "lineitem").selectExpr("l_orderkey as fn", "case when l_returnflag = 'R' then 'State_Change' else 'send' end as callee", "array(concat('s', l_suppkey), l_linestatus, concat('n', l_linenumber), 'more') as args")
+    return reports.argument_values(calls, "State_Change")
+
+
+@query("SELECT l_partkey AS fn, l_suppkey AS file, CAST(l_linenumber AS BIGINT) AS line, l_orderkey AS column FROM (SELECT DISTINCT l_partkey, l_suppkey, l_linenumber, l_orderkey FROM lineitem WHERE l_returnflag <> 'A')")
+def definitions(spark, d):
+    return reports.definitions(A.table(spark, d, "lineitem").selectExpr("l_partkey as fn", "l_suppkey as file", "cast(l_linenumber as bigint) as line", "l_orderkey as column", "l_returnflag <> 'A' as is_definition")).drop("is_definition")
+
+
+@query("""WITH b AS (SELECT l_orderkey AS fn, l_linenumber AS pos, l_partkey AS value, CASE WHEN l_linestatus = 'F' THEN 0 ELSE 1 END AS side FROM lineitem), f AS (SELECT fn, value, min((side, pos)) AS place FROM b GROUP BY fn, value)
+SELECT fn, row_number() OVER (PARTITION BY fn ORDER BY place, value) - 1 AS pos, value FROM f""")
+def appended(spark, d):
+    line = A.table(spark, d, "lineitem").selectExpr("l_orderkey as fn", "l_linenumber as pos", "l_partkey as value", "l_linestatus = 'F' as first")
+    return reports.appended(line.where("first"), line.where("not first"), ["fn"], "value")
+
+
+@query("""WITH RECURSIVE {pairs}, o AS (SELECT *, row_number() OVER (PARTITION BY context_id ORDER BY event_index, caller, callee) AS k FROM calls),
+t AS (SELECT context_id, CAST(0 AS BIGINT) AS k, [caller] AS st FROM o WHERE k = 1
+UNION ALL SELECT t.context_id, o.k, list_append(t.st[:CASE WHEN list_contains(t.st, o.caller) THEN len(t.st) - list_position(list_reverse(t.st), o.caller) + 1 ELSE 1 END], o.callee) FROM t JOIN o ON o.context_id = t.context_id AND o.k = t.k + 1),
+m AS (SELECT DISTINCT st[1] AS root, array_to_string(st, '/') AS path, st FROM t WHERE k > 0), up AS (SELECT DISTINCT root, array_to_string(st[1:i], '/') AS path FROM (SELECT root, st, unnest(range(1, len(st) + 1)) AS i FROM m WHERE contains(st[-1], '7')))
+SELECT root, path FROM m WHERE (root, path) IN (SELECT (root, path) FROM up) OR len(st) = 1""".format(pairs=A.PAIRS))
+def matching_tree(spark, d):
+    return reports.matching_tree(trees.merged_tree(trees.call_paths(A.runtime_calls(spark, d))).select("root", "path"), "7")
+
+
 # context runs: the oracle folds each trace with a list-valued stack [start, name index]
 
 _FOLD = """WITH RECURSIVE {log}, f AS (

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowlens.functions import text as T
-from flowlens.operators import cfg, edges, loops, paths, runs, trees
+from flowlens.operators import cfg, edges, loops, paths, reports, runs, trees
 from flowlens.sources import facts, sinks
 from flowlens.streaming import runs as streamed
 
@@ -374,3 +374,20 @@ def test_small_text_functions(spark):
         T.joined_or_none(F.col("xs")), T.joined_or_none(F.lit(None).cast("array<string>")), T.is_integer_binding(F.lit("#int:4")), T.program_point(F.col("n"), F.lit(-1)), T.aligned(F.col("xs"), F.array(F.lit(1), F.lit(2), F.lit(3))), T.slot_of(F.lit("&p->q[i].r")),
     ).first()
     assert tuple(row) == ("log", "log.txt", "log.TxT", "log.txt", "\\u003ca\\u0026b\\u003e", "s.m", "p, q", "<none>", True, (7 << 32) | 0xFFFFFFFF, ["p", "q", None], "p.q[*].r")
+
+
+# reports
+
+
+def test_selections_of_reports(spark):
+    assert [reports.path_of_rank(*x) for x in (("a/b.json", 2, 3), ("a/b.json", 1, 1), ("a.d/b", 0, 2))] == ["a/b.rank2.json", "a/b.json", "a.d/b.rank0"]
+    rows = frame(spark, "fn string, pos int, lhs string, rhs string", ("f", 0, "x", "y"))
+    every = frame(spark, "pos int, lhs string, rhs string", (0, "g_a", "h"), (1, "g_b", None))
+    assert got(reports.with_globals(rows, every, frame(spark, "name string", ("f",), ("k",)))) == [("f", 0, "g_a", "h"), ("f", 1, "g_b", None), ("f", 2, "x", "y"), ("k", 0, "g_a", "h"), ("k", 1, "g_b", None)]
+    with pytest.raises(ValueError):
+        reports.with_globals(rows, every, frame(spark, "name string", ("f",)), most=1)
+    assert got(reports.named(rows, "fn", ["g"])) == [] and reports.named(rows, "fn", []).count() == 1
+    calls, parts = frame(spark, "trace int, event_index int", (1, 2), (1, 5), (2, 2)), frame(spark, "trace int, segment int, start int, stop int", (1, 0, 2, 4), (1, 1, 5, 5))
+    assert got(reports.in_segment(calls, parts)) == [(1, 2, 0), (1, 5, 1)]
+    taken = frame(spark, "assigned string, takes_address boolean", ("f", True), ("f", True), ("g", False), ("x", True), (None, True))
+    assert got(reports.address_taken(taken, frame(spark, "name string", ("f",), ("g",)))) == [("f",)]
