@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowlens.llm import audit, chat, decontaminate, fingerprints, ngram_join, pii, quality_model, quality_rules, secrets, shards, tokens
+from flowlens.llm import audit, chat, decontaminate, fingerprints, ngram_join, pii, quality_model, quality_rules, repair, secrets, shards, tokens
 
 QUERIES = {
     "op1_sentencepiece": tokens.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_shards": shards.op8,
     "op9_ngram_jaccard_join": ngram_join.op9,
     "op10_pii": pii.op10,
+    "op11_conversation_repair": repair.op11,
     "op12_fingerprints": fingerprints.op12,
     "op13_filter_audit": audit.op13,
 }
@@ -23,5 +24,6 @@ ORACLES = {
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op5_chat_formatting": chat.OP5_SQL,
     "op9_ngram_jaccard_join": ngram_join.OP9_SQL,
+    "op11_conversation_repair": repair.OP11_SQL,
     "op13_filter_audit": audit.OP13_SQL,
 }
