@@ -52,6 +52,22 @@ def memory_slot(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"\[(?![0-9]+\])[^\]]*\]", "[*]"), r"[^A-Za-z0-9_.\[\]*].*$", "")
 
 
+def access_slot(c: Column) -> Column:
+    """The access that an expression begins with, address and dereference marks off: `&p->a[i + 1]` gives p.a[*], a number stays an index. Empty where it begins with a parenthesis or anything else."""
+    plain = F.regexp_replace(F.replace(F.regexp_replace(c, r"\s+", ""), F.lit("->"), F.lit(".")), r"^[&*]+", "")
+    return F.regexp_replace(F.regexp_extract(plain, r"^([A-Za-z_]\w*(?:\.\w+|\[[^\[\]]*\])*)", 1), r"\[(?![0-9]+\])[^\]]*\]", "[*]")
+
+
+def main_slot(c: Column) -> Column:
+    """The access that an expression begins with, or else its plain slot."""
+    return F.coalesce(F.nullif(access_slot(c), F.lit("")), canonical_slot(c))
+
+
+def expression_slots(c: Column) -> Column:
+    """Everything in an expression that may hold a value: its access, its plain slot, and each identifier."""
+    return F.filter(F.array_distinct(F.concat(F.array(access_slot(c), canonical_slot(c)), identifiers(c))), lambda x: x != "")
+
+
 def slot_root(c: Column) -> Column:
     return F.regexp_extract(F.regexp_replace(c, r"^.*::", ""), r"^([^.\[]*)", 1)
 

@@ -6,6 +6,8 @@ operators runs on relations that are derived deterministically, by unique keys o
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -151,24 +153,43 @@ SOLVED = """state(k, a, b, z) USING KEY (k, a, b) AS (
   WHERE (a <> b OR k = 'p') AND NOT EXISTS (SELECT 1 FROM recurring.state o WHERE o.k = n.k AND o.a = n.a AND o.b = n.b))"""
 
 
+#: What the lines of a program assign, by return flag, state and quantity modulo 3: left and right side, the function that the
+#: front end names, whether it says that the address of a function is taken; then, for the SQL, what the right side holds.
+#: v is the line's own slot, x and w are slots of the next number, f the part's function, m the supplier's member.
+SHAPES = {
+    "AF0": ("v", "f", None, False, ["f"]), "AF1": ("v", "cond ? f : x", None, False, ["cond", "f", "x"]), "AF2": ("v", "(T)f", None, False, ["T", "f"]),
+    "AO0": ("v", "&w", None, False, ["w"]), "AO1": ("v", "&w.m", None, False, ["w.m", "w", "m"]), "AO2": ("v", "&f", None, True, ["f"]),
+    "NF0": ("v", "*x", None, False, ["x"]), "NF1": ("v", "**x", None, False, ["x"]), "NF2": ("v", "*(T*)x", None, False, ["T", "x"]),
+    "NO0": ("*v", "x", None, False, ["x"]), "NO1": ("**v", "x", None, False, ["x"]), "NO2": ("*v", "f", None, False, ["f"]),
+    "RF0": ("v", "x.m", None, False, ["x.m", "x", "m"]), "RF1": ("v", "(T*)x", None, False, ["T", "x"]), "RF2": ("v", "x->m[i]", None, False, ["x.m[*]", "x.m", "x", "m", "i"]),
+    "RO0": ("v", "f(x)", None, False, ["f", "x"]), "RO1": ("v", "&x + &w", None, False, ["x", "w"]), "RO2": ("v", "f", "f", False, ["f"]),
+}
+_SLOTS = {"v": "'v' || l_linenumber", "x": "'v' || (l_linenumber + 1)", "w": "'w' || (l_linenumber + 1)", "f": "'fp' || l_partkey", "m": "'m' || l_suppkey"}
+
+
+def _text(shape: str) -> str:
+    """SQL of a shape: its single letters replaced by the line's names."""
+    parts = re.findall(r"\b[vxwfm]\b|(?:(?!\b[vxwfm]\b).)+", shape)
+    return " || ".join(_SLOTS[p] if p in _SLOTS else f"'{p}'" for p in parts)
+
+
+def _by_shape(pick) -> str:
+    return "CASE l_returnflag || l_linestatus || (CAST(l_quantity AS INT) % 3) " + " ".join(f"WHEN '{k}' THEN {pick(v)}" for k, v in SHAPES.items()) + " END"
+
+
 def program(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Facts of a program as the front end gives them: every order is a function F<key>, every line one of its assignments,
-    every part a library function fp<key>.
+    """Facts of a program as the front end gives them: every order is a function F<key>, every line one of its assignments, of
+    one of the SHAPES, every part a library function fp<key>.
 
-    By return flag and state a line assigns a function's name (A, F), an address (A, O), through one or two dereferences
-    (N, F), to a dereference (N, O), a member (R, F) or what a call gives (R, O). Slots of line 7 are global. Parts of size 10
-    and more are known functions, those of 30 and more return pointers.
+    Slots of line 7 are global. Parts of size 10 and more are known functions, those of 30 and more return pointers.
     """
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     line = table(spark, sf_dir, "lineitem").withColumn("pos", F.row_number().over(w).cast("long"))
-    row = line.selectExpr(
-        "concat('F', l_orderkey) as fn", "pos", "l_linenumber = 7 as lhs_global", "l_returnflag = 'A' and l_linestatus = 'O' as takes_address", "cast(null as string) as assigned",
-        "concat(case when l_returnflag = 'N' and l_linestatus = 'O' then '*v' else 'v' end, l_linenumber) as lhs",
-        """case concat(l_returnflag, l_linestatus) when 'AF' then concat('fp', l_partkey) when 'AO' then concat('&w', l_linenumber + 1)
-             when 'NF' then concat(case when l_quantity > 25 then '**v' else '*v' end, l_linenumber + 1) when 'NO' then concat('v', l_linenumber + 1)
-             when 'RF' then concat('v', l_linenumber + 1, '.m', l_suppkey) else concat('fp', l_partkey, '(v', l_linenumber + 1, ')') end as rhs""",
-    )
     part = table(spark, sf_dir, "part")
+    sizes = part.select(F.col("p_partkey").alias("l_partkey"), "p_size")
+    row = line.join(sizes, "l_partkey", "left").selectExpr(
+        "concat('F', l_orderkey) as fn", "pos", "l_linenumber = 7 as lhs_global", f"coalesce(p_size >= 10, false) and {_by_shape(lambda x: str(x[3]))} as takes_address",
+        f"{_by_shape(lambda x: _text(x[2]) if x[2] else 'NULL')} as assigned", f"{_by_shape(lambda x: _text(x[0]))} as lhs", f"{_by_shape(lambda x: _text(x[1]))} as rhs")
     name = F.concat(F.lit("fp"), "p_partkey").alias("name")
     order = table(spark, sf_dir, "orders")
     return {
@@ -178,19 +199,42 @@ def program(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-PROGRAM = """asg AS (SELECT 'F' || l_orderkey AS fn, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos, l_returnflag || l_linestatus AS k,
-  l_linenumber AS n, l_partkey AS part, l_suppkey AS supp, l_quantity > 25 AS deep FROM lineitem),
+_ROOT = "regexp_extract({}, '^([^.\\[]*)', 1)"
+_AS_NODE = "CASE WHEN " + _ROOT + " IN (SELECT slot FROM gslot) THEN 'g::' || {} ELSE fn || '::' || {} END"
+_AS_OBJ = "CASE WHEN " + _ROOT + " IN (SELECT slot FROM gslot) THEN 'obj:g:' || {} WHEN " + _ROOT + " = 'v1' AND fn IN (SELECT 'F' || o_orderkey FROM orders) THEN 'obj:p:' || fn || ':' || {} ELSE 'obj:l:' || fn || ':' || {} END"
+
+
+def _node(x: str) -> str:
+    return _AS_NODE.format(x, x, x)
+
+
+def _obj(x: str) -> str:
+    return _AS_OBJ.format(x, x, x, x, x)
+
+
+_STEP = "fn || '::$deref.0.' || pos || '.' || {} || '.' || {}"
+_GOES_ON = "rule IN ('load', 'store', 'copy')"
+PROGRAM = f"""asg AS (SELECT 'F' || l_orderkey AS fn, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos, l_returnflag || l_linestatus AS k,
+  l_linenumber AS n, l_partkey AS part, l_suppkey AS supp, {_by_shape(lambda x: _text(x[0]))} AS lhs_text, {_by_shape(lambda x: _text(x[1]))} AS rhs,
+  {_by_shape(lambda x: '[' + ', '.join(map(_text, x[4])) + ']')} AS names, {_by_shape(lambda x: _text(x[2]) if x[2] else 'NULL')} AS assigned FROM lineitem),
 gslot AS (SELECT DISTINCT 'v7' AS slot FROM lineitem WHERE l_linenumber = 7),
 known AS (SELECT p_partkey AS part, p_size >= 10 AS known, p_size >= 30 AS gives FROM part),
-named AS (SELECT asg.*, coalesce(known, false) AS known, coalesce(gives, false) AS gives, CASE WHEN 'v' || n IN (SELECT slot FROM gslot) THEN 'g::v' || n ELSE fn || '::v' || n END AS lhs,
-  CASE WHEN 'v' || (n + 1) IN (SELECT slot FROM gslot) THEN 'g::v' || (n + 1) ELSE fn || '::v' || (n + 1) END AS nxt FROM asg LEFT JOIN known USING (part)),
+nodes AS (SELECT asg.*, coalesce(known, false) AS known, coalesce(gives, false) AS gives, 'v' || n AS slot, {_node("('v' || n)")} AS lhs, {_node("('v' || (n + 1))")} AS nxt, {_obj("('v' || n)")} AS own FROM asg LEFT JOIN known USING (part)),
+named AS (SELECT *, 'fp' || part AS f, list_filter(names, lambda x: known AND x = 'fp' || part) AS fns, list_filter(names, lambda x: NOT (known AND x = 'fp' || part)) AS slots,
+  length(lhs_text) - length(ltrim(lhs_text, '*')) AS st, length(rhs) - length(ltrim(rhs, '*')) AS rs, contains(rhs, '(') AS grouped FROM nodes),
+ruled AS (SELECT *, CASE WHEN rhs LIKE 'fp%(%' AND gives THEN 'call' WHEN assigned IS NOT NULL AND known THEN 'assigned' WHEN rhs LIKE '&%' THEN 'address' WHEN NOT grouped AND len(fns) > 0 THEN 'named'
+  WHEN rs > 0 THEN 'load' WHEN st > 0 THEN 'store' ELSE 'copy' END AS rule, CASE WHEN st > 1 THEN {_STEP.format("'='", '(st - 1)')} ELSE lhs END AS base, CASE WHEN st > 0 THEN 'store_seed' ELSE 'addr' END AS into_ FROM named),
+goal AS (SELECT *, CASE WHEN st > 0 THEN base ELSE lhs END AS goal FROM ruled),
+val AS (SELECT *, {_node('s')} AS node FROM (SELECT *, unnest(slots) AS s FROM goal WHERE {_GOES_ON})),
 cons AS (
-  SELECT 'named' AS rule, 'addr' AS kind, lhs AS a, 'fn:fp' || part AS b, fn, pos, true AS strong FROM named WHERE k = 'AF' AND known
-  UNION ALL SELECT 'copy', 'copy', fn || '::fp' || part, lhs, fn, pos, false FROM named WHERE k = 'AF' AND NOT known
-  UNION ALL SELECT 'address', 'addr', lhs, 'obj:l:' || fn || ':w' || (n + 1), fn, pos, true FROM named WHERE k = 'AO'
-  UNION ALL SELECT 'load', 'load', nxt, CASE WHEN deep THEN fn || '::$deref.' || pos || '.1' ELSE lhs END, fn, pos, false FROM named WHERE k = 'NF'
-  UNION ALL SELECT 'load', 'load', fn || '::$deref.' || pos || '.1', lhs, fn, pos, false FROM named WHERE k = 'NF' AND deep
-  UNION ALL SELECT 'store', 'store', lhs, nxt, fn, pos, false FROM named WHERE k = 'NO'
-  UNION ALL SELECT 'copy', 'copy', nxt || '.m' || supp, lhs, fn, pos, false FROM named WHERE k = 'RF'
-  UNION ALL SELECT 'call', 'copy', 'ret::fp' || part, lhs, fn, pos, false FROM named WHERE k = 'RO' AND gives
-  UNION ALL SELECT 'within', 'addr', lhs, 'fn:fp' || part, fn, pos, false FROM named WHERE k = 'RO' AND known AND NOT gives)"""
+  SELECT 'call' AS rule, CASE WHEN st > 0 THEN 'store' ELSE 'copy' END AS kind, CASE WHEN st > 0 THEN base ELSE 'ret::' || f END AS a, CASE WHEN st > 0 THEN 'ret::' || f ELSE lhs END AS b, fn, pos, false AS strong FROM goal WHERE rule = 'call'
+  UNION ALL SELECT 'assigned', into_, goal, 'fn:' || assigned, fn, pos, st = 0 FROM goal WHERE rule = 'assigned'
+  UNION ALL SELECT 'address', into_, goal, 'fn:' || f, fn, pos, false FROM goal WHERE rule = 'address' AND len(fns) > 0
+  UNION ALL SELECT 'address', into_, goal, {_obj('s')}, fn, pos, st = 0 AND len(slots) = 1 FROM (SELECT *, unnest(slots) AS s FROM goal WHERE rule = 'address' AND len(fns) = 0)
+  UNION ALL SELECT 'named', into_, goal, 'fn:' || f, fn, pos, st = 0 FROM goal WHERE rule = 'named'
+  UNION ALL SELECT 'within', 'addr', lhs, 'fn:' || f, fn, pos, false FROM goal WHERE {_GOES_ON} AND st = 0 AND grouped AND rhs NOT LIKE 'fp%(%' AND len(fns) > 0
+  UNION ALL SELECT 'own', 'addr', lhs, own, fn, pos, false FROM goal WHERE st > 0 AND rule IN ('assigned', 'address', 'named') OR {_GOES_ON} AND (st > 0 OR rs > 0 OR grouped AND contains(rhs, '*'))
+  UNION ALL SELECT 'load', 'load', CASE WHEN i = 1 THEN node ELSE {_STEP.format('s', '(i - 1)')} END, CASE WHEN i = rs THEN lhs ELSE {_STEP.format('s', 'i')} END, fn, pos, false FROM val, range(1, 3) t(i) WHERE rule = 'load' AND i <= rs
+  UNION ALL SELECT 'store', 'load', lhs, {_STEP.format("'='", '1')}, fn, pos, false FROM goal WHERE st = 2
+  UNION ALL SELECT 'store', 'store', base, node, fn, pos, false FROM val WHERE rule = 'store'
+  UNION ALL SELECT 'copy', 'copy', node, lhs, fn, pos, false FROM val WHERE rule = 'copy')"""

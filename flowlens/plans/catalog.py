@@ -359,17 +359,18 @@ def argument_constraints(spark, d):
     return constraints.argument_constraints(calls, params, f["functions"], f["globals"])
 
 
-@query(f"""WITH {A.PROGRAM}, r AS (SELECT *, 'ret::' || fn AS ret FROM named)
-SELECT 'return' AS rule, 'addr' AS kind, ret AS a, 'fn:fp' || part AS b, fn, pos, false AS strong FROM r WHERE k[1] = 'A' AND known
-UNION ALL SELECT 'return', 'copy', fn || '::fp' || part, ret, fn, pos, false FROM r WHERE k[1] = 'A' AND NOT known
-UNION ALL SELECT 'return', 'addr', ret, 'obj:l:' || fn || ':w' || n, fn, pos, false FROM r WHERE k[1] = 'N'
-UNION ALL SELECT 'return', 'copy', lhs || '.m' || supp, ret, fn, pos, false FROM r WHERE k[1] = 'R'""")
+@query(f"""WITH {A.PROGRAM}, r AS (SELECT *, 'ret::' || fn AS ret, CASE WHEN k[1] = 'A' AND k[2] = 'F' THEN ['fp' || part, 'v' || n] WHEN k[1] = 'A' THEN ['fp' || part] WHEN k[1] = 'N' THEN ['w' || n] ELSE ['v' || n || '.m' || supp, 'v' || n, 'm' || supp] END AS all_names FROM nodes),
+u AS (SELECT *, unnest(all_names) AS s FROM r)
+SELECT 'return' AS rule, 'addr' AS kind, ret AS a, 'fn:fp' || part AS b, fn, pos, false AS strong FROM r WHERE k = 'AO' AND known
+UNION ALL SELECT 'return', 'copy', {A._node('s')}, ret, fn, pos, false FROM u WHERE NOT (known AND s = 'fp' || part)
+UNION ALL SELECT 'return', 'copy', 'ret::fp' || part, ret, fn, pos, false FROM r WHERE k = 'AF' AND gives""")
 def return_constraints(spark, d):
     f = _constraints(spark, d)[0]
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    text = "case l_returnflag when 'A' then concat('return fp', l_partkey, ';') when 'N' then concat('  return &w', l_linenumber) else concat('return v', l_linenumber, '->m', l_suppkey, ';') end"
+    text = """case l_returnflag when 'A' then if(l_linestatus = 'F', concat('return fp', l_partkey, '(v', l_linenumber, ');'), concat('return fp', l_partkey, ';'))
+        when 'N' then concat('  return &w', l_linenumber) else concat('return v', l_linenumber, '->m', l_suppkey, ';') end"""
     lines = A.table(spark, d, "lineitem").select(F.concat(F.lit("F"), "l_orderkey").alias("fn"), F.row_number().over(w).cast("long").alias("pos"), F.expr(text).alias("line"))
-    return constraints.return_constraints(lines, f["functions"], f["globals"], f["params"])
+    return constraints.return_constraints(lines, f["functions"], f["globals"], f["params"], f["returning"])
 
 
 @query("""SELECT 'member' AS rule, 'addr' AS kind, 'init::t' || p_size || '.m' || (p_partkey % 7) AS a, 'fn:fp' || p_partkey AS b, 'init' AS fn, p_partkey AS pos, false AS strong FROM part WHERE p_size >= 10""")
@@ -391,7 +392,7 @@ def transfer_constraints(spark, d):
     return constraints.transfer_constraints(lines, f["globals"], f["params"])
 
 
-@query(f"""WITH {A.PROGRAM}, s AS (SELECT DISTINCT fn, nxt AS root, nxt || '.m' || supp AS slot FROM named WHERE k = 'RF' AND nxt NOT LIKE 'g::%')
+@query(f"""WITH {A.PROGRAM}, s AS (SELECT DISTINCT fn, fn || '::' || split_part(x, '.', 1) AS root, fn || '::' || x AS slot FROM (SELECT fn, unnest(names) AS x, rhs FROM nodes WHERE contains(rhs, '.') AND rhs NOT LIKE 'fp%') WHERE contains(x, '.') AND split_part(x, '.', 1) NOT IN (SELECT slot FROM gslot))
 SELECT 'field' AS rule, 'copy' AS kind, root AS a, slot AS b, fn, CAST(0 AS BIGINT) AS pos, false AS strong FROM s UNION ALL SELECT 'field', 'copy', slot, root, fn, 0, false FROM s""")
 def field_collapse(spark, d):
     f = _constraints(spark, d)[0]
