@@ -73,3 +73,38 @@ def unique_base(definitions: DataFrame) -> DataFrame:
     """definitions: fn, pointer, base (null where it is no global). Pointers whose every definition has the same base: fn, pointer, base."""
     one = definitions.groupBy("fn", "pointer").agg(F.min("base").alias("base"), F.max("base").alias("other"), F.count_if(F.col("base").isNull()).alias("none"))
     return one.where("none = 0 and base = other").select("fn", "pointer", "base")
+
+
+def global_pointers(definitions: DataFrame, names: DataFrame, marked: DataFrame | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """definitions: fn, pointer, rhs. names: name of file-scope variables. fn, pointer, base: pointers all of whose definitions lead to the same global.
+
+    A right side counts by its first identifier: a global, or a pointer of the function that is one of these in turn. A single
+    definition that leads elsewhere, to another global or to itself keeps a pointer out, and with it those that depend on it; so
+    pointers that define each other in a cycle stay out. Each round settles the definitions by what was resolved in the last
+    one, and looks only at the pointers that these belong to.
+
+    marked: fn, name of what some assignment marks as global; where its definitions don't decide it, it is its own base.
+    """
+    first = F.regexp_extract("rhs", r"[A-Za-z_]\w*", 0)
+    rule = staged(definitions.where("pointer is not null").select("fn", "pointer", F.coalesce(first, F.lit("")).alias("src")).distinct())
+    globals_ = names.select(F.col("name").alias("src")).distinct()
+    open_ = staged(rule.join(globals_, "src", "left_anti"))
+    total = staged(rule.groupBy("fn", "pointer").agg(F.count("*").alias("total")))
+    settled = Rounds(rule.join(globals_, "src", "left_semi").select("fn", "pointer", "src", F.col("src").alias("base")))
+    resolved = None
+    for _ in range(max_rounds):
+        touched = settled.newest.select("fn", "pointer").distinct()
+        told = settled.all.join(touched, ["fn", "pointer"], "left_semi").groupBy("fn", "pointer").agg(F.count("*").alias("n"), F.min("base").alias("base"), F.max("base").alias("other"))
+        found = told.join(total, ["fn", "pointer"]).where("n = total and base = other").select("fn", "pointer", "base")
+        if resolved is None:
+            resolved = Rounds(found)
+        else:
+            resolved.add(found)
+        if not resolved.newest.take(1):
+            if marked is None:
+                return resolved.all
+            own = marked.select("fn", F.col("name").alias("pointer"), F.col("name").alias("base")).distinct().join(resolved.all, ["fn", "pointer"], "left_anti")
+            resolved.add(own.join(globals_.withColumnRenamed("src", "pointer"), "pointer", "left_anti").select("fn", "pointer", "base"))
+            marked = None
+        settled.add(open_.join(resolved.newest.select("fn", F.col("pointer").alias("src"), "base"), ["fn", "src"]).select("fn", "pointer", "src", "base"))
+    raise RuntimeError(f"no fixpoint within {max_rounds} rounds")

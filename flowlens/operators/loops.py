@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,10 @@ class Rounds:
         self.newest = self.spark.read.schema(self.schema).parquet(path)
         return self.newest
 
+    def since(self, n: int) -> DataFrame:
+        """The rows of round n and later; there must be one."""
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.base}/round={i}" for i in range(min(n, self.n - 1), self.n)))
+
     @property
     def all(self) -> DataFrame:
         return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.base)
@@ -100,16 +105,69 @@ def improved(sent: DataFrame, known: DataFrame, keys: list[str], value: str, unk
     return new.join(best, keys, "left" if unknown else "inner").where(f"known_least is null or {value} < known_least").select(*new.columns)
 
 
-def strong_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """edges: src, dst. node, representative: the least node of its strongly connected component.
+#: Edges of a graph, or of a component, up to which one task takes it apart.
+SMALL_LOOP = 5_000
+
+
+def _components(edges: set[tuple[str, str]]) -> list[set[str]]:
+    """The strongly connected components of two nodes or more."""
+    after: dict[str, list[str]] = {}
+    for a, b in sorted(edges):
+        after.setdefault(a, []).append(b)
+    number, low, stack, held, found = {}, {}, [], set(), []
+    for start in after:
+        if start in number:
+            continue
+        todo = [(start, iter(after[start]))]
+        number[start] = low[start] = len(number)
+        stack.append(start)
+        held.add(start)
+        while todo:
+            at, ways = todo[-1]
+            for to in ways:
+                if to not in number:
+                    number[to] = low[to] = len(number)
+                    stack.append(to)
+                    held.add(to)
+                    todo.append((to, iter(after.get(to, ()))))
+                    break
+                if to in held:
+                    low[at] = min(low[at], number[to])
+            else:
+                todo.pop()
+                if todo:
+                    low[todo[-1][0]] = min(low[todo[-1][0]], low[at])
+                if low[at] == number[at]:
+                    part = set()
+                    while at not in part:
+                        part.add(stack.pop())
+                    held -= part
+                    if len(part) > 1:
+                        found.append(part)
+    return found
+
+
+def _represented(rows):
+    """rows: src, dst. node, representative of a small graph."""
+    parts = _components(set(zip(rows["src"], rows["dst"])))
+    told = {n: min(p) for p in parts for n in p} | {n: n for n in {*rows["src"], *rows["dst"]}.difference(*parts)}
+    return rows.iloc[:0].reindex(range(len(told))).assign(node=list(told), representative=list(told.values()))[["node", "representative"]]
+
+
+def strong_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS, small: int = SMALL_LOOP) -> DataFrame:
+    """edges: src, dst (strings). node, representative: the least node of its strongly connected component.
 
     Colouring: each node takes the least node that reaches it; the nodes of a colour that reach the colour's own node are
-    its component; they leave, and the rest goes on.
+    its component; they leave, and the rest goes on. A rest of up to `small` edges is taken apart by one task.
     """
     edge = staged(edges.select("src", "dst").where("src <> dst").distinct())
     left = staged(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
     done = None
     for _ in range(max_rounds):
+        if edge.limit(small + 1).count() <= small:
+            rest = edge.groupBy().applyInPandas(_represented, "node string, representative string")
+            alone = left.join(edge.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "node", "left_anti").select("node", F.col("node").alias("representative"))
+            return reduce(DataFrame.unionByName, [d for d in (done, rest, alone) if d is not None])
         colour = least_reaching(edge, left.select("node", F.col("node").alias("value")))
         inside = edge.join(colour.select(F.col("node").alias("src"), F.col("value").alias("cs")), "src").join(colour.select(F.col("node").alias("dst"), F.col("value").alias("cd")), "dst").where("cs = cd")
         back = staged(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -122,6 +180,54 @@ def strong_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFra
     raise RuntimeError(f"components left after {max_rounds} rounds")
 
 
+def _back_edges(rows):
+    """rows: of, src, dst of one component; src null marks a node that an edge from outside leads to."""
+    outer = set(rows.loc[rows["src"].isna(), "dst"])
+    left = {e for e in zip(rows["src"], rows["dst"]) if isinstance(e[0], str)}
+    todo, back = left, set()
+    while todo:
+        nested = set()
+        for part in _components(todo):
+            inside = {e for e in todo if e[0] in part and e[1] in part}
+            entered = {b for a, b in left if b in part and a not in part} | (outer & part)
+            entry = min(entered or part)
+            out = {e for e in inside if e[1] == entry}
+            back, nested = back | out, nested | (inside - out)
+        todo, left = nested, left - back
+    return rows.iloc[:0][["src", "dst"]].reindex(range(len(back))).assign(src=[a for a, _ in back], dst=[b for _, b in back])
+
+
+def without_back_edges(edges: DataFrame, max_rounds: int = MAX_ROUNDS, small: int = SMALL_LOOP) -> DataFrame:
+    """edges: src, dst (strings). The edges, each once, without loops and without those that lead back in a depth-first walk: no cycle is left.
+
+    An edge leads back within its strongly connected component only. A component's entry is the least of its nodes that an edge
+    from outside leads to, or else the least of all; the edges within it to the entry are dropped, and the nested components of what
+    is left follow. Where every loop has one entry these are the back edges of any depth-first walk; for loops with several
+    entries a walk's result depends on its order, and this is one that doesn't depend on chance. Components of up to `small`
+    edges are taken apart by one task each; larger ones a level of nesting in each round.
+    """
+    left = staged(edges.select("src", "dst").where("src <> dst").distinct())
+    todo = left
+    for _ in range(max_rounds):
+        part = staged(strong_components(todo))
+        side = lambda c: part.select(F.col("node").alias(c), F.col("representative").alias(f"of_{c}"))
+        told = left.join(side("dst"), "dst").join(side("src"), "src", "left").withColumn("within", F.coalesce(F.col("of_src") == F.col("of_dst"), F.lit(False)))
+        size = told.where("within").groupBy("of_dst").count()
+        told = staged(told.join(size, "of_dst").select("src", "dst", F.col("of_dst").alias("of"), "within", (F.col("count") <= small).alias("is_small")))
+        inside = told.where("within and not is_small")
+        marks = told.where("not within").select("of", F.lit(None).cast("string").alias("src"), "dst", "is_small").distinct()
+        whole = told.where("within and is_small").select("of", "src", "dst").unionByName(marks.where("is_small").select("of", "src", "dst"))
+        back = whole.groupBy("of").applyInPandas(_back_edges, "src string, dst string")
+        nodes = inside.select("of", "dst").withColumn("outer", F.lit(1)).unionByName(marks.where("not is_small").select("of", "dst").withColumn("outer", F.lit(0)))
+        entry = nodes.groupBy("of").agg(F.min(F.struct("outer", "dst")).alias("e")).select("of", F.col("e.dst").alias("dst"))
+        cut = staged(back.unionByName(inside.join(entry, ["of", "dst"], "left_semi").select("src", "dst")))
+        left = staged(left.join(cut, ["src", "dst"], "left_anti"))
+        todo = staged(inside.select("src", "dst").join(cut, ["src", "dst"], "left_anti"))
+        if not todo.take(1):
+            return left
+    raise RuntimeError(f"cycles left after {max_rounds} rounds")
+
+
 def bounded_contexts(edges: DataFrame, roots: DataFrame, depth: int = 2) -> tuple[DataFrame, DataFrame]:
     """edges: caller, callee. roots: node. Functions with their last `depth` callers (ctx, oldest first): context nodes and edges.
 
@@ -136,65 +242,10 @@ def bounded_contexts(edges: DataFrame, roots: DataFrame, depth: int = 2) -> tupl
         return new.join(edge, new["fn"] == edge["caller"]).select(F.col("callee").alias("fn"), longer.alias("ctx"))
 
     node = grow(roots.select(F.col("node").alias("fn"), F.lit("").alias("ctx")), step)
-    out = node.join(edge, node["fn"] == edge["caller"]).select("fn", "ctx", "callee").distinct()
+    out = node.join(edge, node["fn"] == edge["caller"]).select("fn", "ctx", "callee")  # each once, as nodes and edges are
     return node, out
 
 
-def points_to(addr: DataFrame, copy: DataFrame, load: DataFrame, store: DataFrame, store_seed: DataFrame | None = None, mem_xfer: DataFrame | None = None, max_rounds: int = MAX_ROUNDS, collapse: bool = False) -> DataFrame:
-    """Inclusion-based points-to sets: node, obj.
-
-    addr(node, obj), copy(src, dst), load(ptr, dst) for dst = *ptr, store(ptr, src) for *ptr = src, store_seed(ptr, obj) for
-    *ptr = &obj, mem_xfer(sp, dp) for copies between what two pointers point to. Semi-naive: new facts meet known edges and
-    new edges meet known facts. collapse: nodes that copy to each other in a cycle are solved as one, which pays where there
-    are many cycles; the result is the same.
-    """
-    if collapse:
-        return _collapsed(addr, copy, load, store, store_seed, mem_xfer, max_rounds)
-    pts = Rounds(addr.select("node", "obj").distinct())
-    link = Rounds(copy.select("src", "dst").where("src <> dst").distinct())
-    for _ in range(max_rounds):
-        new, facts, old = pts.newest, pts.all, link.all
-        by_ptr = new.select(F.col("node").alias("ptr"), "obj")
-        links = by_ptr.join(load, "ptr").select(F.col("obj").alias("src"), "dst").unionByName(by_ptr.join(store, "ptr").select("src", F.col("obj").alias("dst")))
-        if mem_xfer is not None:
-            source, target = (lambda p: p.toDF("sp", "so")), (lambda p: p.toDF("dp", "do"))
-            for a, b in ((source(new), target(facts)), (source(facts), target(new))):
-                links = links.unionByName(mem_xfer.join(a, "sp").join(b, "dp").select(F.col("so").alias("src"), F.col("do").alias("dst")))
-        made = new.join(old, new["node"] == old["src"]).select(F.col("dst").alias("node"), "obj")
-        added = link.add(unseen(links.where("src <> dst"), old, ["src", "dst"]))
-        made = made.unionByName(facts.join(added, facts["node"] == added["src"]).select(F.col("dst").alias("node"), "obj"))
-        if store_seed is not None:
-            made = made.unionByName(by_ptr.withColumnRenamed("obj", "at").join(store_seed, "ptr").select(F.col("at").alias("node"), "obj"))
-        if not pts.add(unseen(made, facts, ["node", "obj"])).take(1) and not added.take(1):
-            return pts.all
-    raise RuntimeError(f"no fixpoint within {max_rounds} rounds")
-
-
-def _collapsed(addr: DataFrame, copy: DataFrame, load: DataFrame, store: DataFrame, store_seed: DataFrame | None, mem_xfer: DataFrame | None, max_rounds: int) -> DataFrame:
-    """`points_to` over one node for each cycle of copies. Objects keep their names as objects; as nodes they stand for their cycle."""
-    part = staged(strong_components(copy).where("node <> representative"))
-    one = lambda df, *columns: _renamed(df, part, columns)
-    inside = staged(part.select(F.col("representative").alias("src"), F.col("node").alias("dst")).unionByName(part.select(F.col("node").alias("src"), F.col("representative").alias("dst"))))
-    copies = one(copy.select("src", "dst"), "src", "dst").where("src <> dst").distinct()
-    # an object that is in a cycle is also a node of its own, as what is loaded or stored goes by its name
-    objects = addr.select("obj").unionByName(store_seed.select("obj")) if store_seed is not None else addr.select("obj")
-    ends = inside.join(objects.select(F.col("obj").alias("src")).distinct(), "src", "left_semi").unionByName(inside.join(objects.select(F.col("obj").alias("dst")).distinct(), "dst", "left_semi")).distinct()
-    found = points_to(
-        one(addr.select("node", "obj"), "node"), copies.unionByName(ends).distinct(), one(load.select("ptr", "dst"), "ptr", "dst"), one(store.select("ptr", "src"), "ptr", "src"),
-        None if store_seed is None else one(store_seed.select("ptr", "obj"), "ptr"), None if mem_xfer is None else one(mem_xfer.select("sp", "dp"), "sp", "dp"), max_rounds)
-    members = part.select("node", "representative")
-    spread = found.withColumnRenamed("node", "representative").join(members, "representative").select("node", "obj")
-    return found.unionByName(spread).distinct()
-
-
-def _renamed(df: DataFrame, part: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """df with the nodes of the columns replaced by their representatives."""
-    for c in columns:
-        told = part.select(F.col("node").alias(c), F.col("representative").alias("as_one"))
-        df = df.join(told, c, "left").withColumn(c, F.coalesce("as_one", c)).drop("as_one")
-    return df
-
-
 def relevant_nodes(copy: DataFrame, probes: DataFrame) -> DataFrame:
     """Nodes from which a probe can be reached over copies: node."""
     back = copy.select("src", F.col("dst").alias("node")).distinct()
@@ -210,29 +261,3 @@ def transitive_targets(pts: DataFrame, probes: DataFrame, functions: DataFrame)
 def returning_functions(seeds: DataFrame, returns: DataFrame) -> DataFrame:
     """seeds: fn that return pointers. returns: fn, callee of `return callee(...)`. All functions that return pointers."""
     return grow(seeds.select("fn").distinct(), lambda new: returns.join(new.withColumnRenamed("fn", "callee"), "callee").select("fn"))
-
-
-def resolve_indirect(facts: dict[str, DataFrame], sites: DataFrame, args: DataFrame, params: DataFrame, returns: DataFrame, receivers: DataFrame, functions: DataFrame, max_rounds: int = 8) -> DataFrame:
-    """Indirect calls by points-to sets, fed back until no call is new: site, target.
-
-    facts: addr, copy, load, store of `points_to`, store_seed and mem_xfer, if any, and direct, if any: site, target of calls that are known. sites: site,
-    probe (a node whose targets it may call), n_args. args: site, pos, node. params: fn, pos, node. returns: fn, node.
-    receivers: site, node. functions: name, n_params (null where unknown). Each round solves the points-to sets, takes the
-    functions that the probes lead to and that the arguments fill, and adds copies from arguments to parameters and from
-    returns to receivers. Stops after max_rounds at the latest, as programs may feed back for long.
-    """
-    spark = sites.sparkSession
-    site = staged(sites.select("site", "probe", "n_args"))
-    known = staged(facts["direct"].select("site", "target").distinct()) if "direct" in facts else spark.createDataFrame([], "site string, target string")
-    calls = known
-    for _ in range(max_rounds):
-        passed = calls.join(args, "site").join(params.select(F.col("fn").alias("target"), "pos", F.col("node").alias("dst")), ["target", "pos"]).select(F.col("node").alias("src"), "dst")
-        given = calls.join(returns.select(F.col("fn").alias("target"), F.col("node").alias("src")), "target").join(receivers.withColumnRenamed("node", "dst"), "site").select("src", "dst")
-        pts = points_to(facts["addr"], facts["copy"].select("src", "dst").unionByName(passed).unionByName(given), facts["load"], facts["store"], facts.get("store_seed"), facts.get("mem_xfer"))
-        met = transitive_targets(pts, site.select(F.col("probe").alias("node")).distinct(), functions)
-        fit = site.join(met, "probe").join(functions.select(F.col("name").alias("target"), "n_params"), "target").where("n_params is null or n_args >= n_params")
-        found = staged(fit.select("site", "target").unionByName(known).distinct())
-        if not found.join(calls, ["site", "target"], "left_anti").take(1):
-            break
-        calls = found
-    return calls.join(site.select("site").distinct(), "site", "left_semi")

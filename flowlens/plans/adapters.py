@@ -40,12 +40,23 @@ def whole_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A graph with cycles, src, dst: each user has a node for each type of event, and edges between successive events' types."""
+    """A graph with components of many sizes, src, dst: each user has a node for each type of event and band of its value, and edges between successive events' nodes."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    ev = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), "user_id", F.lit(":"), "event_type").alias("src"), "user_id", "ts", "event_id")
+    ev = table(spark, sf_dir, "events").select(F.concat_ws(":", F.concat(F.lit("u"), "user_id"), "event_type", F.floor(F.col("value") / 20)).alias("src"), "user_id", "ts", "event_id")
     return ev.withColumn("dst", F.lead("src").over(w)).where("dst is not null").select("src", "dst").distinct()
 
 
+def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst: the line numbers of each order in a chain, and from each line an edge back to one that its part chooses, or to itself."""
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    name = lambda n: F.concat(F.lit("o"), "l_orderkey", F.lit("."), n)
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    number = line.select("l_orderkey", "l_linenumber").distinct().select("l_orderkey", "l_linenumber", F.row_number().over(w).alias("n"), F.lead("l_linenumber").over(w).alias("more"))
+    chain = number.where("more is not null").select(name(F.col("n")).alias("src"), name(F.col("n") + 1).alias("dst"))
+    back = line.join(number, ["l_orderkey", "l_linenumber"]).select(name(F.col("n")).alias("src"), name(F.expr("l_partkey % n + 1")).alias("dst"))
+    return chain.unionByName(back)
+
+
 def runtime_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """context_id, event_index, caller, callee: the consecutive lines that are filled orders' ones."""
     return _pairs(spark, sf_dir).where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("context_id"), F.col("l_linenumber").cast("long").alias("event_index"), "caller", "callee")
@@ -97,22 +108,23 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pointer_facts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """addr, copy, load, store, store_seed and mem_xfer of the points-to family, out of every line item.
 
-    A line of an order is a variable and takes the address of the cell of its part and quantity. With the line of the next
-    number it makes one statement, by its return flag and state: a copy (N), a load (A), a store (R, F) or a copy of memory
-    (R, O). A line without a next one and with flag R stores the address of a function.
+    A line of an order is a variable and takes the address of the cell of its part and supplier's group, which several orders
+    share. With the line of the next number it makes one statement, by return flag, state and quantity: copies forward (NF),
+    both ways (NO) or back (R), a load (A over 25), a store (RF over 47) or a copy of memory (RO over 48); a line of flag N
+    without a next one copies to the first of its order, which closes cycles. One of flag R over 40 stores a function.
     """
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("int").alias("q"), "l_returnflag", "l_linestatus").distinct()
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").alias("q"), F.concat("l_returnflag", "l_linestatus").alias("f")).distinct()
     after = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.lit(True).alias("more")).distinct()
     name = lambda number: F.concat(F.lit("o"), "l_orderkey", F.lit("."), number)
-    pair = F.concat_ws(".", "l_partkey", "q")
     var = staged(line.join(after, ["l_orderkey", "l_linenumber"], "left").select(
-        name(F.col("l_linenumber")).alias("v"), name(F.col("l_linenumber") + 1).alias("w"), F.concat(F.lit("c"), pair).alias("cell"), F.concat(F.lit("k"), pair).alias("fn"),
-        F.col("l_returnflag").alias("f"), F.col("l_linestatus").alias("s"), F.coalesce("more", F.lit(False)).alias("more")))
-    pick = lambda condition, a, b: var.where(condition).select(F.col("v").alias(a), F.col("w").alias(b)).distinct()
+        name(F.col("l_linenumber")).alias("v"), name(F.col("l_linenumber") + 1).alias("w"), name(F.lit(1)).alias("one"), F.expr("concat('c', l_partkey, '.', l_suppkey % 5)").alias("cell"),
+        F.concat(F.lit("k"), "l_partkey").alias("fn"), "f", "q", F.coalesce("more", F.lit(False)).alias("more")))
+    pick = lambda condition, a, b, x="v", y="w": var.where(condition).select(F.col(x).alias(a), F.col(y).alias(b)).distinct()
+    copies = [pick("more and f in ('NF', 'NO')", "src", "dst"), pick("more and (f = 'NO' or f like 'R%')", "src", "dst", "w", "v"), pick("not more and f like 'N%'", "src", "dst", "v", "one")]
     return {
-        "addr": var.select(F.col("v").alias("node"), F.col("cell").alias("obj")).distinct(), "copy": pick("more and f = 'N'", "src", "dst"), "load": pick("more and f = 'A'", "ptr", "dst"),
-        "store": pick("more and f = 'R' and s = 'F'", "ptr", "src"), "mem_xfer": pick("more and f = 'R' and s = 'O'", "sp", "dp"),
-        "store_seed": var.where("not more and f = 'R'").select(F.col("v").alias("ptr"), F.col("fn").alias("obj")).distinct(),
+        "addr": var.select(F.col("v").alias("node"), F.col("cell").alias("obj")).distinct(), "copy": copies[0].unionByName(copies[1]).unionByName(copies[2]).distinct(),
+        "load": pick("more and f like 'A%' and q > 25", "ptr", "dst"), "store": pick("more and f = 'RF' and q > 47", "ptr", "src"), "mem_xfer": pick("more and f = 'RO' and q > 48 and v <> one", "sp", "dp"),
+        "store_seed": pick("not more and f like 'R%' and q > 40", "ptr", "obj", "v", "fn"),
     }
 
 
@@ -123,21 +135,22 @@ PAIRS = """pairs AS (SELECT 'p' || a.l_partkey AS caller, 'p' || b.l_partkey AS
 edges AS (SELECT caller, callee, kind FROM pairs),
 whole AS (SELECT DISTINCT caller, callee FROM pairs),
 calls AS (SELECT l_orderkey AS context_id, CAST(l_linenumber AS BIGINT) AS event_index, caller, callee FROM pairs WHERE l_linestatus = 'F')"""
-EVENT_EDGES = """ev0 AS (SELECT 'u' || user_id || ':' || event_type AS src, lead('u' || user_id || ':' || event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events),
+EVENT_EDGES = """ev1 AS (SELECT 'u' || user_id || ':' || event_type || ':' || CAST(floor(value / 20) AS BIGINT) AS src, user_id, ts, event_id FROM events),
+ev0 AS (SELECT src, lead(src) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM ev1),
 cyclic AS (SELECT DISTINCT src, dst FROM ev0 WHERE dst IS NOT NULL)"""
 LOG = """log AS (SELECT user_id AS trace, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS event_index,
   CASE event_type WHEN 'signup' THEN 'Entry' WHEN 'purchase' THEN 'Exit' ELSE 'Plain' END AS kind,
   CASE WHEN event_type IN ('signup', 'purchase') THEN 'ep' || (event_id % 3) ELSE event_type END AS base_name FROM events)"""
 BLOCKS = """blk0 AS (SELECT l_orderkey AS fn, CAST(l_linenumber AS BIGINT) AS block, lead(l_linenumber, 1) OVER w AS a, lead(l_linenumber, 2) OVER w AS b FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)),
 blocks AS (SELECT fn, block, CAST(a AS BIGINT) AS succ FROM blk0 UNION ALL SELECT fn, block, CAST(b AS BIGINT) FROM blk0 WHERE block % 3 = 0 AND b IS NOT NULL)"""
-FACTS = """var AS (SELECT DISTINCT 'o' || l_orderkey || '.' || l_linenumber AS v, 'o' || l_orderkey || '.' || (l_linenumber + 1) AS w, 'c' || l_partkey || '.' || CAST(l_quantity AS INTEGER) AS cell,
-  'k' || l_partkey || '.' || CAST(l_quantity AS INTEGER) AS fn, l_returnflag AS f, l_linestatus AS s, (l_orderkey, l_linenumber + 1) IN (SELECT (l_orderkey, l_linenumber) FROM lineitem) AS more FROM lineitem),
+FACTS = """var AS (SELECT DISTINCT 'o' || l_orderkey || '.' || l_linenumber AS v, 'o' || l_orderkey || '.' || (l_linenumber + 1) AS w, 'o' || l_orderkey || '.1' AS one, 'c' || l_partkey || '.' || (l_suppkey % 5) AS cell,
+  'k' || l_partkey AS fn, l_returnflag || l_linestatus AS f, l_quantity AS q, (l_orderkey, l_linenumber + 1) IN (SELECT (l_orderkey, l_linenumber) FROM lineitem) AS more FROM lineitem),
 addr AS (SELECT DISTINCT v AS node, cell AS obj FROM var),
-copy AS (SELECT DISTINCT v AS src, w AS dst FROM var WHERE more AND f = 'N'),
-loads AS (SELECT DISTINCT v AS ptr, w AS dst FROM var WHERE more AND f = 'A'),
-stores AS (SELECT DISTINCT v AS ptr, w AS src FROM var WHERE more AND f = 'R' AND s = 'F'),
-xfers AS (SELECT DISTINCT v AS sp, w AS dp FROM var WHERE more AND f = 'R' AND s = 'O'),
-seeds AS (SELECT DISTINCT v AS ptr, fn AS obj FROM var WHERE NOT more AND f = 'R')"""
+copy AS (SELECT v AS src, w AS dst FROM var WHERE more AND f IN ('NF', 'NO') UNION SELECT w, v FROM var WHERE more AND (f = 'NO' OR f[1] = 'R') UNION SELECT v, one FROM var WHERE NOT more AND f[1] = 'N' AND v <> one),
+loads AS (SELECT DISTINCT v AS ptr, w AS dst FROM var WHERE more AND f[1] = 'A' AND q > 25),
+stores AS (SELECT DISTINCT v AS ptr, w AS src FROM var WHERE more AND f = 'RF' AND q > 47),
+xfers AS (SELECT DISTINCT v AS sp, w AS dp FROM var WHERE more AND f = 'RO' AND q > 48 AND v <> one),
+seeds AS (SELECT DISTINCT v AS ptr, fn AS obj FROM var WHERE NOT more AND f[1] = 'R' AND q > 40)"""
 #: Facts (k = 'p': a points to b) and copies (k = 'e') until no row is new, however many rounds that takes.
 SOLVED = """state(k, a, b, z) USING KEY (k, a, b) AS (
   SELECT 'p', node, obj, 0 FROM addr UNION ALL SELECT 'e', src, dst, 0 FROM copy

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowlens.functions import text as T
-from flowlens.operators import cfg, constraints, edges, loops, paths, reports, resolve, runs, trees
+from flowlens.operators import cfg, constraints, edges, loops, paths, pointsto, reports, resolve, runs, trees
 from flowlens.plans import adapters as A
 
 QUERIES: dict = {}
@@ -263,6 +263,21 @@ def must_alias_unique_base(spark, d):
     return cfg.unique_base(A.table(spark, d, "lineitem").selectExpr("l_orderkey as fn", "l_suppkey % 3 as pointer", "case when l_returnflag = 'R' then null else l_linestatus end as base"))
 
 
+_POINTERS = """x AS (SELECT l_orderkey AS fn, 'p' || l_linenumber AS pointer, CASE l_returnflag WHEN 'A' THEN '&g' || (l_suppkey % 2) || '.x' WHEN 'N' THEN 'p' || (l_linenumber + 1) || ' + 1'
+  ELSE CASE WHEN l_linestatus = 'F' THEN '*p' || (l_partkey % l_linenumber + 1) ELSE '(T*)buf' END END AS rhs FROM lineitem)"""
+
+
+@query(f"""WITH RECURSIVE {_POINTERS}, d AS (SELECT DISTINCT fn, pointer, regexp_extract(rhs, '[A-Za-z_][A-Za-z0-9_]*') AS src FROM x),
+r AS (SELECT fn, pointer, src FROM d UNION SELECT r.fn, r.pointer, d.src FROM r JOIN d ON d.fn = r.fn AND d.pointer = r.src AND r.src[1] = 'p'),
+bad AS (SELECT fn, pointer AS p FROM r WHERE pointer = src OR src[1] NOT IN ('g', 'p') OR (src[1] = 'p' AND (fn, src) NOT IN (SELECT (fn, pointer) FROM d)))
+SELECT fn, pointer, min(src) AS base FROM r WHERE (fn, pointer) NOT IN (SELECT (fn, p) FROM bad) AND (fn, pointer) NOT IN (SELECT (r.fn, r.pointer) FROM r JOIN bad b ON b.fn = r.fn AND b.p = r.src) AND src[1] = 'g'
+GROUP BY fn, pointer HAVING count(DISTINCT src) = 1""")
+def global_pointers(spark, d):
+    rows = A.table(spark, d, "lineitem").selectExpr("l_orderkey as fn", "concat('p', l_linenumber) as pointer", """case l_returnflag when 'A' then concat('&g', l_suppkey % 2, '.x') when 'N' then concat('p', l_linenumber + 1, ' + 1')
+        else case when l_linestatus = 'F' then concat('*p', l_partkey % l_linenumber + 1) else '(T*)buf' end end as rhs""")
+    return cfg.global_pointers(rows, spark.range(2).select(F.concat(F.lit("g"), "id").alias("name")))
+
+
 # recursion
 
 
@@ -272,11 +287,17 @@ def reachability(spark, d):
     return loops.reachable(edge.toDF("src", "dst"), edges.roots(edge).withColumnRenamed("node", "seed"))
 
 
-@query(f"""WITH RECURSIVE {A.EVENT_EDGES}, n AS (SELECT src AS node FROM cyclic UNION SELECT dst FROM cyclic),
-r AS (SELECT node AS a, node AS b FROM n UNION SELECT r.a, c.dst FROM r JOIN cyclic c ON c.src = r.b)
+@query(f"""WITH RECURSIVE {A.PAIRS}, {A.EVENT_EDGES}, g AS (SELECT src, dst FROM cyclic UNION SELECT caller, callee FROM whole), n AS (SELECT src AS node FROM g UNION SELECT dst FROM g),
+r AS (SELECT node AS a, node AS b FROM n UNION SELECT r.a, g.dst FROM r JOIN g ON g.src = r.b)
 SELECT x.a AS node, min(x.b) AS representative FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a""")
 def scc_representative(spark, d):
-    return loops.strong_components(A.event_edges(spark, d))
+    return loops.strong_components(A.event_edges(spark, d).unionByName(A.whole_edges(spark, d).toDF("src", "dst")))
+
+
+@query("""WITH m AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n, lead(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS more FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem))
+SELECT 'o' || l_orderkey || '.' || n AS src, 'o' || l_orderkey || '.' || (n + 1) AS dst FROM m WHERE more IS NOT NULL""")
+def without_back_edges(spark, d):
+    return loops.without_back_edges(A.order_edges(spark, d))
 
 
 _ALL_CTX = f"""WITH RECURSIVE {A.PAIRS}{_ALL_ROOTS}, c AS (SELECT node AS fn, '' AS ctx, CAST([] AS VARCHAR[]) AS l FROM root
@@ -289,15 +310,17 @@ def bounded_contexts(spark, d):
     return loops.bounded_contexts(edge, edges.roots(edge), 2)[0]
 
 
-@query(_ALL_CTX.replace("[-2:]", "[-1:]") + "SELECT DISTINCT c.fn, c.ctx, e.callee FROM c JOIN whole e ON e.caller = c.fn")
+@query(_ALL_CTX + "SELECT c.fn AS caller, e.callee, count(*) AS contexts, min(c.ctx) AS first, max(c.ctx) AS last, CAST(sum(length(c.ctx)) AS BIGINT) AS length FROM c JOIN whole e ON e.caller = c.fn GROUP BY ALL")
 def bounded_context_edges(spark, d):
+    """Every edge in each of its contexts of depth 2 is a row; each edge's rows are told by their number, ends and length."""
     edge = loops.staged(A.whole_edges(spark, d))
-    return loops.bounded_contexts(edge, edges.roots(edge), 1)[1]
+    rows = loops.bounded_contexts(edge, edges.roots(edge), 2)[1]
+    return rows.groupBy(F.col("fn").alias("caller"), "callee").agg(F.count("*").alias("contexts"), F.min("ctx").alias("first"), F.max("ctx").alias("last"), F.sum(F.length("ctx")).alias("length"))
 
 
-def _points_to(spark, d, facts):
+def _points_to(spark, d, facts, collapse=False):
     f = {k: loops.staged(v) for k, v in facts.items()}
-    return loops.points_to(f["addr"], f["copy"], f["load"], f["store"], f["store_seed"], f["mem_xfer"])
+    return pointsto.points_to(**f, collapse=collapse)
 
 
 @query(f"WITH RECURSIVE {A.FACTS},\n{A.SOLVED} SELECT a AS node, b AS obj FROM state WHERE k = 'p'")
@@ -305,6 +328,22 @@ def points_to(spark, d):
     return _points_to(spark, d, A.pointer_facts(spark, d))
 
 
+@query(f"WITH RECURSIVE {A.FACTS},\n{A.SOLVED} SELECT a AS node, b AS obj FROM state WHERE k = 'p'")
+def points_to_collapsed(spark, d):
+    return _points_to(spark, d, A.pointer_facts(spark, d), collapse=True)
+
+
+@query(f"""WITH RECURSIVE {A.FACTS},\n{A.SOLVED}, p AS (SELECT a AS node, b AS obj FROM state WHERE k = 'p'), probe AS (SELECT DISTINCT ptr AS node FROM seeds),
+r AS (SELECT node AS probe, node AS hit FROM probe UNION SELECT r.probe, p.obj FROM r JOIN p ON p.node = r.hit) SELECT probe, hit AS target FROM r WHERE probe <> hit""")
+def probed_targets(spark, d):
+    """What the pointers through which functions are stored lead to, by a solver that keeps to what can reach them."""
+    f = {k: loops.staged(v) for k, v in A.pointer_facts(spark, d).items()}
+    probes = f["store_seed"].select(F.col("ptr").alias("node")).distinct()
+    solver = pointsto.Solver(spark, probes).add(**f)
+    solver.solve()
+    return pointsto.Targets(solver, probes).follow().select("probe", F.col("node").alias("target"))
+
+
 @query(f"""WITH RECURSIVE {A.FACTS},\n{A.SOLVED}, p AS (SELECT a AS node, b AS obj FROM state WHERE k = 'p'), probe AS (SELECT DISTINCT dst AS node FROM loads),
 r AS (SELECT node AS probe, node AS hit FROM probe UNION SELECT r.probe, p.obj FROM r JOIN p ON p.node = r.hit) SELECT probe, hit AS target FROM r WHERE hit IN (SELECT obj FROM seeds)""")
 def transitive_targets(spark, d):
@@ -587,10 +626,24 @@ def root_summary(spark, d):
     return trees.root_summary(trees.child_coverage(trees.merged_tree(trees.call_paths(A.runtime_calls(spark, d))), A.call_edges(spark, d)))
 
 
-@query(_TREE + """SELECT root, path, hits, true AS taken FROM tree UNION ALL SELECT n.root, n.path || '/' || s.callee, 0, false FROM tree n JOIN whole s ON s.caller = n.st[-1]
-  WHERE NOT list_contains(n.st, s.callee) AND (n.root, n.path || '/' || s.callee) NOT IN (SELECT (root, path) FROM tree)""")
+_ORDERS = """WITH RECURSIVE ln AS (SELECT l_orderkey, l_linenumber, min(l_linestatus) AS s FROM lineitem GROUP BY ALL), nm AS (SELECT l_orderkey, s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n FROM ln),
+calls AS (SELECT a.l_orderkey AS context_id, a.n AS event_index, 'o' || a.l_orderkey || '.' || a.n AS caller, 'o' || a.l_orderkey || '.' || (a.n + 1) AS callee FROM nm a JOIN nm b ON b.l_orderkey = a.l_orderkey AND b.n = a.n + 1 WHERE a.s = 'F'),
+whole AS (SELECT 'o' || a.l_orderkey || '.' || a.n AS caller, 'o' || a.l_orderkey || '.' || b.n AS callee FROM nm a JOIN nm b ON b.l_orderkey = a.l_orderkey AND b.n IN (a.n + 1, a.n + 2)), """
+
+
+@query(_ORDERS + _TREE[_TREE.index("o AS (SELECT *"):] + """, e AS (SELECT root, path, st, hits, true AS taken FROM tree
+UNION ALL SELECT e.root, e.path || '/' || s.callee, list_append(e.st, s.callee), 0, false FROM e JOIN whole s ON s.caller = e.st[-1]
+  WHERE NOT list_contains(e.st, s.callee) AND (NOT e.taken OR (e.root, e.path || '/' || s.callee) NOT IN (SELECT (root, path) FROM tree))) SELECT root, path, hits, taken FROM e""")
 def coverage_tree(spark, d):
-    return trees.coverage_tree(trees.merged_tree(trees.call_paths(A.runtime_calls(spark, d))), A.whole_edges(spark, d), max_depth=1)
+    """Lines of an order call the next one or the one after; the taken calls are those of filled lines. Everything below is expanded."""
+    line = A.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_linestatus").alias("s"))
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))
+    line = loops.staged(line.select("l_orderkey", "s", n.alias("n"), F.count("*").over(Window.partitionBy("l_orderkey")).alias("last")))
+    name = lambda x: F.concat(F.lit("o"), "l_orderkey", F.lit("."), x)
+    both = line.select("l_orderkey", "n", "s", "last", F.explode(F.expr("sequence(1, 2)")).alias("far")).where("n + far <= last")
+    edge = both.select("l_orderkey", "n", "s", "far", name("n").alias("caller"), name(F.expr("n + far")).alias("callee"))
+    calls = edge.where("far = 1 and s = 'F'").select(F.col("l_orderkey").alias("context_id"), F.col("n").cast("long").alias("event_index"), "caller", "callee")
+    return trees.coverage_tree(trees.merged_tree(trees.call_paths(calls)), edge.select("caller", "callee"))
 
 
 _RANK = f"""WITH {A.LOG}, c AS (SELECT DISTINCT p.trace, p.event_index, e.base_name AS caller, p.event_index - e.event_index AS depth FROM log p JOIN log e ON e.trace = p.trace AND e.kind = 'Entry' AND e.event_index < p.event_index AND e.event_index >= p.event_index - 10 WHERE p.kind = 'Plain'),

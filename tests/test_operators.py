@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowlens.functions import text as T
-from flowlens.operators import cfg, edges, loops, paths, reports, runs, trees
+from flowlens.operators import cfg, edges, loops, paths, pointsto, reports, runs, trees
 from flowlens.sources import facts, sinks
 from flowlens.streaming import runs as streamed
 
@@ -68,7 +68,7 @@ def test_mapping_misses_become_unknown(spark):
 )
 def test_points_to(spark, addr, copy, load, store, seed, xfer, want):
     made = frame(spark, "node string, obj string", *addr), frame(spark, "src string, dst string", *copy), frame(spark, "ptr string, dst string", *load), frame(spark, "ptr string, src string", *store)
-    found = loops.points_to(*made, frame(spark, "ptr string, obj string", *seed), frame(spark, "sp string, dp string", *xfer))
+    found = pointsto.points_to(*made, frame(spark, "ptr string, obj string", *seed), frame(spark, "sp string, dp string", *xfer))
     assert set(got(found)) == want
 
 
@@ -78,7 +78,7 @@ def test_points_to_with_cycles_as_one_node(spark):
     some = lambda n: [(r.choice(node), r.choice(node)) for _ in range(n)]
     made = frame(spark, "node string, obj string", *some(6)), frame(spark, "src string, dst string", *some(14), ("n0", "n1"), ("n1", "n0")), frame(spark, "ptr string, dst string", *some(3)), frame(spark, "ptr string, src string", *some(3))
     more = frame(spark, "ptr string, obj string", *some(2)), frame(spark, "sp string, dp string", *some(2))
-    assert got(loops.points_to(*made, *more, collapse=True)) == got(loops.points_to(*made, *more))
+    assert got(pointsto.points_to(*made, *more, collapse=True)) == got(pointsto.points_to(*made, *more))
 
 
 def test_large_rounds_are_joined_by_a_shuffle(spark):
@@ -89,10 +89,54 @@ def test_large_rounds_are_joined_by_a_shuffle(spark):
 
 def test_strong_components_and_reachability(spark):
     edge = frame(spark, "src string, dst string", ("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "c"), ("e", "e"))
-    assert got(loops.strong_components(edge)) == [("a", "a"), ("b", "a"), ("c", "c"), ("d", "c"), ("e", "e")]
+    for small in (0, 100):
+        assert got(loops.strong_components(edge, small=small)) == [("a", "a"), ("b", "a"), ("c", "c"), ("d", "c"), ("e", "e")]
     assert got(loops.reachable(edge, frame(spark, "seed string", ("c",)))) == [("c", "c"), ("c", "d")]
 
 
+def walked(edges):
+    """The edges that a depth-first walk from the least nodes, children by name, doesn't find to lead back."""
+    state, back = {}, set()
+
+    def visit(n):
+        state[n] = 1
+        for m in sorted(b for a, b in edges if a == n):
+            if state.get(m) == 1:
+                back.add((n, m))
+            elif m not in state:
+                visit(m)
+        state[n] = 2
+
+    for n in sorted({a for a, _ in edges}):
+        if n not in state:
+            visit(n)
+    return set(edges) - back
+
+
+def test_edges_that_lead_back_go(spark):
+    nested = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "b"), ("d", "c"), ("d", "e"), ("e", "a"), ("e", "e"), ("e", "f"), ("a", "b"), ("f", "g"), ("g", "f")]
+    r = random.Random(4)
+    tangled = [(f"n{r.randrange(12):02}", f"n{r.randrange(12):02}") for _ in range(40)]
+    edge = frame(spark, "src string, dst string", *nested, *tangled)
+    small = {tuple(e) for e in got(loops.without_back_edges(edge))}
+    assert small == {tuple(e) for e in got(loops.without_back_edges(edge, small=3))}
+    assert {e for e in small if e[0][0] != "n"} == walked(nested)
+    assert {e for e in small if e[0][0] == "n"} <= set(tangled) and walked(sorted(small)) == small  # no cycle is left
+    assert loops.without_back_edges(edge.limit(0)).collect() == []
+
+
+def test_pointers_all_of_whose_definitions_lead_to_one_global(spark):
+    rows = [
+        ("f", "p", "&g.x"), ("f", "q", "p + 1"), ("f", "r", "(q)"), ("f", "r", "g"), ("f", "s", "r"), ("f", "s", "h"), ("f", "t", "s"), ("f", "u", "local"), ("f", "u", "g"), ("f", "a", "b"), ("f", "b", "a"), ("f", "c", "a"),
+        ("f", "c", "g"), ("f", "d", "d"), ("f", "d", "g"), ("f", "e", None), ("f", "m.x", "z"), ("f", "n", "m->y"), ("f", "o", "n"), ("f", None, "g"), ("k", "q", "p"),
+    ]
+    names, marked = frame(spark, "name string", ("g",), ("h",)), frame(spark, "fn string, name string", ("f", "m"), ("f", "q"))
+    definitions = frame(spark, "fn string, pointer string, rhs string", *rows)
+    plain = [("f", "p", "g"), ("f", "q", "g"), ("f", "r", "g")]
+    assert got(cfg.global_pointers(definitions, names)) == plain
+    assert got(cfg.global_pointers(definitions, names, marked)) == sorted([*plain, ("f", "m", "m"), ("f", "n", "m"), ("f", "o", "m")])
+
+
 def test_bounded_contexts_of_a_chain(spark):
     edge = frame(spark, "caller string, callee string", ("main", "pd_init"), ("pd_init", "pe_exit"), ("pd_init", "sys_config"), ("pe_exit", "sparse"))
     node, link = loops.bounded_contexts(edge, frame(spark, "node string", ("main",)), 2)
@@ -294,16 +338,75 @@ def test_coverage_tree(spark):
 
 def test_indirect_calls_are_fed_back(spark):
     """main: p = &f; (*p)(&g) at s1; f(q): (*q)() at s2, which has no arguments for h(x)."""
-    none = "site string, pos int, node string"
-    facts_of = {
-        "addr": frame(spark, "node string, obj string", ("p", "f"), ("arg", "g"), ("arg", "h")), "copy": frame(spark, "src string, dst string"),
-        "load": frame(spark, "ptr string, dst string"), "store": frame(spark, "ptr string, src string"),
-    }
+    args, params = frame(spark, "site string, pos int, src string", ("s1", 0, "arg")), frame(spark, "target string, pos int, dst string", ("f", 0, "q"))
+    given = lambda calls: {"copy": calls.join(args, "site").join(params, ["target", "pos"]).select("src", "dst")}
     sites = frame(spark, "site string, probe string, n_args int", ("s1", "p", 1), ("s2", "q", 0))
-    args, params = frame(spark, none, ("s1", 0, "arg")), frame(spark, "fn string, pos int, node string", ("f", 0, "q"))
     functions = frame(spark, "name string, n_params int", ("f", 1), ("g", 0), ("h", 1))
-    found = loops.resolve_indirect(facts_of, sites, args, params, frame(spark, "fn string, node string"), frame(spark, "site string, node string"), functions)
-    assert got(found) == [("s1", "f"), ("s2", "g")]
+    for probes in (None, sites.selectExpr("probe as node")):
+        solver = pointsto.Solver(spark, probes).add(addr=frame(spark, "node string, obj string", ("p", "f"), ("arg", "g"), ("arg", "h")))
+        assert got(pointsto.resolve_calls(solver, sites, functions, given)) == [("s1", "f"), ("s2", "g")]
+
+
+def random_constraints(r, n):
+    node = [f"n{i}" for i in range(n)]
+    some = lambda k: sorted({(r.choice(node), r.choice(node)) for _ in range(k)})
+    return {"addr": some(n), "copy": some(n), "load": some(n // 3), "store": some(n // 3), "store_seed": some(n // 6), "mem_xfer": some(n // 6)}
+
+
+def closed(c):
+    """The least sets, by going over everything until nothing changes."""
+    pts, link = set(c["addr"]), set(c["copy"])
+    while True:
+        links = {(o, d) for p, d in c["load"] for q, o in pts if q == p} | {(s, o) for p, s in c["store"] for q, o in pts if q == p}
+        links |= {(a, b) for sp, dp in c["mem_xfer"] for p, a in pts if p == sp for q, b in pts if q == dp}
+        more = {(d, o) for s, d in link | links for n, o in pts if n == s} | {(o, t) for p, t in c["store_seed"] for q, o in pts if q == p}
+        if links <= link and more <= pts:
+            return pts
+        link, pts = link | links, pts | more
+
+
+def led_to(pts, probe):
+    seen, todo = set(), [probe]
+    while todo:
+        at = todo.pop()
+        new = {o for n, o in pts if n == at} - seen
+        seen |= new
+        todo += new
+    return seen
+
+
+def relations(spark, c):
+    return {k: frame(spark, ", ".join(f"{x} string" for x in pointsto.COLUMNS[k]), *v) for k, v in c.items()}
+
+
+@pytest.mark.parametrize("seed", range(1))
+def test_a_solver_goes_on_from_where_it_was(spark, seed):
+    c = random_constraints(random.Random(seed), 14)
+    first, rest = {k: v[::2] for k, v in c.items()}, {k: v[1::2] for k, v in c.items()}
+    solver = pointsto.Solver(spark).add(**relations(spark, first))
+    assert set(got(solver.solve())) == closed(first)
+    assert set(got(solver.add(**relations(spark, rest)).solve())) == closed(c)
+    rounds = solver.rounds
+    assert set(got(solver.add(**relations(spark, c)).solve())) == closed(c) and solver.rounds == rounds  # nothing is new
+
+
+@pytest.mark.parametrize("seed", range(1))
+def test_a_solver_with_probes_leads_to_the_same(spark, seed):
+    c = random_constraints(random.Random(seed + 10), 14)
+    whole, probe = closed(c), ["n1", "n5"]
+    probes = frame(spark, "node string", *((p,) for p in probe))
+    first, rest = {k: v[::2] for k, v in c.items()}, {k: v[1::2] for k, v in c.items()}
+    solver = pointsto.Solver(spark, probes).add(**relations(spark, first))
+    solver.solve()
+    found = set(got(solver.add(**relations(spark, rest)).solve()))
+    assert found <= whole and all(led_to(found, p) == led_to(whole, p) for p in probe)
+    targets = pointsto.Targets(solver, probes).follow()
+    assert {tuple(t) for t in got(targets)} == {(p, o) for p in probe for o in led_to(whole, p)} - {(p, p) for p in probe}
+
+
+def test_what_no_probe_needs_stays_out(spark):
+    rows = relations(spark, {"addr": [("a", "f"), ("x", "g"), ("y", "h")], "copy": [("a", "b"), ("x", "y"), ("y", "x")], "load": [("x", "z")], "store": [], "store_seed": [], "mem_xfer": []})
+    assert got(pointsto.points_to(**rows, probes=frame(spark, "node string", ("b",)))) == [("a", "f"), ("b", "f")]
 
 
 def test_streamed_runs_close_across_batches(spark, tmp_path):
