@@ -133,7 +133,7 @@ def callee_name(c: Column) -> Column:
 
 def assigned_slot(c: Column) -> Column:
     """The slot that a line assigns to: before the first = that stands next to no other one."""
-    return memory_slot(F.regexp_extract(F.regexp_extract(c, r"^(.*?(?<!=))=(?!=)", 1), r"([A-Za-z_][\w.\[\]>-]*)\s*$", 1))
+    return memory_slot(F.regexp_extract(F.regexp_extract(c, r"^(.*?(?<!=))=(?!=)", 1), r"([A-Za-z_]\w*(?:(?:->|\.)\w+|\[[^\[\]]*\])*)\s*$", 1))
 
 
 def struct_access(c: Column) -> Column:

@@ -46,6 +46,7 @@ class Rounds:
 
     def __init__(self, first: DataFrame):
         self.spark, self.schema, self.n = first.sparkSession, first.schema, 0
+        self._all, self._listed = None, -1
         self.base = _folder(self.spark)
         self.newest = self.add(first)
 
@@ -62,7 +63,9 @@ class Rounds:
 
     @property
     def all(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.base)
+        if self._listed != self.n:  # files are listed once a round
+            self._all, self._listed = self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.base), self.n
+        return self._all
 
 
 def grow(first: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str] | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:

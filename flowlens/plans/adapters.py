@@ -110,7 +110,7 @@ def pointer_facts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
     A line of an order is a variable and takes the address of the cell of its part and supplier's group, which several orders
     share. With the line of the next number it makes one statement, by return flag, state and quantity: copies forward (NF),
-    both ways (NO) or back (R), a load (A over 25), a store (RF over 47) or a copy of memory (RO over 48); a line of flag N
+    both ways (NO) or back (R), a load (A over 30), a store (RF over 48) or a copy of memory (RO over 49); a line of flag N
     without a next one copies to the first of its order, which closes cycles. One of flag R over 40 stores a function.
     """
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").alias("q"), F.concat("l_returnflag", "l_linestatus").alias("f")).distinct()
@@ -123,7 +123,7 @@ def pointer_facts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     copies = [pick("more and f in ('NF', 'NO')", "src", "dst"), pick("more and (f = 'NO' or f like 'R%')", "src", "dst", "w", "v"), pick("not more and f like 'N%'", "src", "dst", "v", "one")]
     return {
         "addr": var.select(F.col("v").alias("node"), F.col("cell").alias("obj")).distinct(), "copy": copies[0].unionByName(copies[1]).unionByName(copies[2]).distinct(),
-        "load": pick("more and f like 'A%' and q > 25", "ptr", "dst"), "store": pick("more and f = 'RF' and q > 47", "ptr", "src"), "mem_xfer": pick("more and f = 'RO' and q > 48 and v <> one", "sp", "dp"),
+        "load": pick("more and f like 'A%' and q > 30", "ptr", "dst"), "store": pick("more and f = 'RF' and q > 48", "ptr", "src"), "mem_xfer": pick("more and f = 'RO' and q > 49 and v <> one", "sp", "dp"),
         "store_seed": pick("not more and f like 'R%' and q > 40", "ptr", "obj", "v", "fn"),
     }
 
@@ -147,9 +147,9 @@ FACTS = """var AS (SELECT DISTINCT 'o' || l_orderkey || '.' || l_linenumber AS v
   'k' || l_partkey AS fn, l_returnflag || l_linestatus AS f, l_quantity AS q, (l_orderkey, l_linenumber + 1) IN (SELECT (l_orderkey, l_linenumber) FROM lineitem) AS more FROM lineitem),
 addr AS (SELECT DISTINCT v AS node, cell AS obj FROM var),
 copy AS (SELECT v AS src, w AS dst FROM var WHERE more AND f IN ('NF', 'NO') UNION SELECT w, v FROM var WHERE more AND (f = 'NO' OR f[1] = 'R') UNION SELECT v, one FROM var WHERE NOT more AND f[1] = 'N' AND v <> one),
-loads AS (SELECT DISTINCT v AS ptr, w AS dst FROM var WHERE more AND f[1] = 'A' AND q > 25),
-stores AS (SELECT DISTINCT v AS ptr, w AS src FROM var WHERE more AND f = 'RF' AND q > 47),
-xfers AS (SELECT DISTINCT v AS sp, w AS dp FROM var WHERE more AND f = 'RO' AND q > 48 AND v <> one),
+loads AS (SELECT DISTINCT v AS ptr, w AS dst FROM var WHERE more AND f[1] = 'A' AND q > 30),
+stores AS (SELECT DISTINCT v AS ptr, w AS src FROM var WHERE more AND f = 'RF' AND q > 48),
+xfers AS (SELECT DISTINCT v AS sp, w AS dp FROM var WHERE more AND f = 'RO' AND q > 49 AND v <> one),
 seeds AS (SELECT DISTINCT v AS ptr, fn AS obj FROM var WHERE NOT more AND f[1] = 'R' AND q > 40)"""
 #: Facts (k = 'p': a points to b) and copies (k = 'e') until no row is new, however many rounds that takes.
 SOLVED = """state(k, a, b, z) USING KEY (k, a, b) AS (

@@ -473,6 +473,89 @@ def resolution_cascade(spark, d):
     return resolve.cascade(loops.staged(line.drop("q")), by_points_to, entries, aliases, copies, known, slots)
 
 
+# lookup relations of the cascade
+
+
+@query(f"WITH s AS (SELECT DISTINCT {_SLOT} AS slot FROM part) SELECT slot FROM s UNION SELECT regexp_replace(slot, '^([^\\[]*)\\[[^\\]]*\\]', '\\1[*]') FROM s UNION SELECT regexp_extract(slot, '^([^.\\[]*)', 1) FROM s WHERE NOT contains(slot, '[')")
+def global_aliases(spark, d):
+    return resolve.global_aliases(_slots(spark, d).select("slot"))
+
+
+@query("""WITH a AS (SELECT l_orderkey AS fn, l_linenumber AS pos, 's' || (l_partkey % 5) AS lhs, 't' || l_suppkey AS rhs FROM lineitem)
+SELECT fn, lhs, rhs FROM (SELECT *, row_number() OVER (PARTITION BY fn, lhs ORDER BY pos DESC, rhs) AS k FROM a) WHERE k = 1""")
+def last_assigned(spark, d):
+    return resolve.last_assigned(A.table(spark, d, "lineitem").selectExpr("l_orderkey as fn", "l_linenumber as pos", "concat('s', l_partkey % 5) as lhs", "concat('t', l_suppkey) as rhs"))
+
+
+_WALK = """WITH RECURSIVE l AS (SELECT l_orderkey AS fn, l_linenumber AS pos, 'v' || l_linenumber AS lhs, 'v' || (l_partkey % 9) AS rhs, 'f' || l_suppkey AS target, l_linenumber % 3 + 1 AS depth FROM lineitem),
+p AS (SELECT fn, lhs, rhs FROM (SELECT *, row_number() OVER (PARTITION BY fn, lhs ORDER BY pos DESC, rhs) AS k FROM l) WHERE k = 1),
+w AS (SELECT DISTINCT fn, lhs AS here, CAST(depth AS BIGINT) AS depth, target FROM l UNION SELECT w.fn, p.rhs, w.depth - 1, w.target FROM w JOIN p ON p.fn = w.fn AND p.lhs = w.here WHERE w.depth > 0)
+"""
+
+
+@query(_WALK + "SELECT DISTINCT fn, here AS slot, target FROM w WHERE depth = 0 UNION ALL SELECT DISTINCT CAST(NULL AS BIGINT), here, target FROM w WHERE depth = 0 AND here IN ('v1', 'v2')")
+def store_targets(spark, d):
+    line = A.table(spark, d, "lineitem").selectExpr("l_orderkey as fn", "l_linenumber as pos", "concat('v', l_linenumber) as lhs", "concat('v', l_partkey % 9) as rhs", "concat('f', l_suppkey) as target", "l_linenumber % 3 + 1 as depth")
+    known = spark.range(1, 3).select(F.concat(F.lit("v"), "id").alias("slot"))
+    scoped, everywhere = resolve.store_targets(line.select("fn", "pos", "lhs", "rhs"), line.select("fn", F.col("lhs").alias("ptr"), "depth", "target"), known)
+    return scoped.unionByName(everywhere.select(F.lit(None).cast("long").alias("fn"), "slot", "target"))
+
+
+@query("""WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey AS fn, 'v' || l_linenumber AS source, 'v' || (l_partkey % 9) AS target_slot FROM lineitem WHERE l_returnflag = 'N'),
+t AS (SELECT DISTINCT l_orderkey AS fn, 'v' || l_linenumber AS slot, 'f' || l_suppkey AS target FROM lineitem UNION SELECT t.fn, l.target_slot, t.target FROM t JOIN l ON l.fn = t.fn AND l.source = t.slot) SELECT * FROM t""")
+def copied_targets(spark, d):
+    line = A.table(spark, d, "lineitem")
+    moved = line.where("l_returnflag = 'N'").selectExpr("l_orderkey as fn", "concat('v', l_linenumber) as source", "concat('v', l_partkey % 9) as target_slot")
+    return resolve.copied_targets(line.selectExpr("l_orderkey as fn", "concat('v', l_linenumber) as slot", "concat('f', l_suppkey) as target"), moved)
+
+
+@query("""WITH RECURSIVE x AS (SELECT l_orderkey AS fn, l_linenumber AS n, l_partkey % 9 AS p, l_suppkey % 4 AS m, l_returnflag AS f FROM lineitem),
+s AS (SELECT DISTINCT fn, 'v' || n AS up, 'v' || n || '.m' || m AS slot FROM x), q AS (SELECT DISTINCT fn, 'v' || n || '.m' || m AS lhs, 'v' || p AS rhs FROM x WHERE f = 'R'),
+r AS (SELECT DISTINCT fn, 'v' || n AS origin, 'v' || n AS slot FROM x WHERE f = 'N' UNION SELECT r.fn, r.origin, k.dst FROM r JOIN (SELECT fn, up AS src, slot AS dst FROM s UNION SELECT fn, lhs, rhs FROM q) k ON k.fn = r.fn AND k.src = r.slot) SELECT * FROM r""")
+def transfer_slots(spark, d):
+    line = A.table(spark, d, "lineitem").selectExpr("l_orderkey as fn", "concat('v', l_linenumber) as v", "concat('v', l_linenumber, '.m', l_suppkey % 4) as below", "concat('v', l_partkey % 9) as other", "l_returnflag as f")
+    return resolve.transfer_slots(line.where("f = 'N'").select("fn", F.col("v").alias("target_slot")), line.where("f = 'R'").select("fn", F.col("below").alias("lhs"), F.col("other").alias("rhs")), line.select("fn", F.col("below").alias("slot")))
+
+
+@query("""SELECT DISTINCT 'r' || (p.p_partkey % 40) || '.m' || (p.p_partkey % 7) AS path, 'fp' || p.p_partkey AS target FROM part p WHERE p_size >= 10""")
+def member_entries(spark, d):
+    part = A.table(spark, d, "part")
+    rows = part.selectExpr("concat('r', p_partkey % 40, '->m', p_partkey % 7) as lhs", "concat('cond ? fp', p_partkey, ' : other') as rhs").unionByName(part.selectExpr("concat('r', p_partkey % 40) as lhs", "concat('fp', p_partkey) as rhs"))
+    return resolve.member_entries(rows, part.where("p_size >= 10").select(F.concat(F.lit("fp"), "p_partkey").alias("name")))
+
+
+@query("""SELECT l_orderkey * 10 + l_linenumber AS site, 'v' || l_linenumber || CASE WHEN l_returnflag = 'N' THEN '.m[*]' ELSE '' END AS slot FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL""")
+def receivers(spark, d):
+    line = A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag").distinct()
+    text = "case l_returnflag when 'A' then concat('  v', l_linenumber, ' = f(a == b);') when 'N' then concat('v', l_linenumber, '->m[i + 1] = (*g)(x);') else 'f(a == b);' end"
+    calls = line.selectExpr("l_orderkey as fn", "0 as block", "concat(l_linenumber, l_returnflag) as line_pos", "l_orderkey * 10 + l_linenumber as site")
+    return resolve.receivers(calls, line.select(F.col("l_orderkey").alias("fn"), F.lit(0).alias("block"), F.concat("l_linenumber", "l_returnflag").alias("line_pos"), F.expr(text).alias("text")))
+
+
+# names that may be pointers, and slots that matter
+
+
+@query("SELECT DISTINCT name FROM (SELECT CASE l_linenumber % 4 WHEN 0 THEN 'while' WHEN 1 THEN 'fp' || l_partkey WHEN 2 THEN '' ELSE 'v' || l_suppkey END AS name FROM lineitem) WHERE name NOT IN ('while', '') AND name NOT IN (SELECT 'fp' || p_partkey FROM part WHERE p_size >= 10)")
+def pointer_identifiers(spark, d):
+    names = A.table(spark, d, "lineitem").selectExpr("case l_linenumber % 4 when 0 then 'while' when 1 then concat('fp', l_partkey) when 2 then '' else concat('v', l_suppkey) end as name").distinct()
+    return constraints.pointer_identifiers(names, A.table(spark, d, "part").where("p_size >= 10").select(F.concat(F.lit("fp"), "p_partkey").alias("name")))
+
+
+@query(f"""WITH s AS (SELECT DISTINCT {_SLOT} AS slot, p_size FROM part), w AS (SELECT DISTINCT slot FROM s WHERE p_size = 1), r AS (SELECT DISTINCT regexp_extract(slot, '^([^.\\[]*)', 1) AS r FROM w)
+SELECT DISTINCT slot FROM s WHERE regexp_extract(slot, '^([^.\\[]*)', 1) IN (SELECT r FROM r)""")
+def relevant_slots(spark, d):
+    part = A.table(spark, d, "part").select("p_size", F.expr(_SLOT).alias("slot"))
+    return constraints.relevant_slots(part.select("slot").distinct(), part.where("p_size = 1").select("slot").distinct())
+
+
+@query("""WITH n AS (SELECT DISTINCT l_orderkey AS root, 'o' || l_orderkey || '/' || lpad(CAST(l_linenumber AS VARCHAR), 2, '0') || '/' || l_suppkey AS path FROM lineitem), t AS (SELECT root, path FROM n UNION SELECT root, array_to_string(string_split(path, '/')[:2], '/') FROM n UNION SELECT root, string_split(path, '/')[1] FROM n),
+k AS (SELECT root, path, row_number() OVER (PARTITION BY root ORDER BY string_split(path, '/')) - 1 AS n, CAST(len(string_split(path, '/')) - 1 AS BIGINT) AS level FROM t)
+SELECT k.root, k.path, k.n, k.level, u.n AS parent FROM k LEFT JOIN k u ON u.root = k.root AND k.level > 0 AND u.path = array_to_string(string_split(k.path, '/')[:-2], '/')""")
+def preorder(spark, d):
+    line = A.table(spark, d, "lineitem").selectExpr("l_orderkey as root", "array(concat('o', l_orderkey), lpad(l_linenumber, 2, '0'), cast(l_suppkey as string)) as p")
+    return trees.preorder(line.select("root", F.explode(F.expr("transform(sequence(1, 3), i -> array_join(slice(p, 1, i), '/'))")).alias("path")).distinct())
+
+
 # selections and totals of reports
 
 
