@@ -5,7 +5,7 @@ Schemas are declared, unknown fields are ignored and malformed elements are null
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LOCATION = "struct<file:string,line:bigint,column:bigint>"
@@ -89,9 +89,22 @@ def indirect_mapping(spark: SparkSession, path: str) -> DataFrame:
     return doc.select(F.explode("entries").alias("e")).select("e.signature.*", F.explode("e.targets").alias("target")).distinct()
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, part, line_number (from 1 in each file), value of text files.
+
+    Files are read in byte ranges; part is where the line's range begins. Lines count from the first of their range, and ranges from
+    the sums of the lines before, one row for each range, so no file is gathered anywhere.
+    """
+    line = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), "value").withColumn("at", F.monotonically_increasing_id())
+    size = line.groupBy("file", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    told = line.join(size.withColumn("before", before), ["file", "part"])
+    return told.select("file", "part", (F.col("before") + F.col("at") - F.col("first") + 1).cast("long").alias("line_number"), "value")
+
+
 def name_list(spark: SparkSession, path: str, dialect: str = "lines") -> DataFrame:
     """name, pos. 'lines': one trimmed name a line, # starts a comment. 'words': several names a line, # starts a comment. 'plain': right-trimmed lines as they are."""
-    line = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("pos", "value"))
+    line = numbered_lines(spark, path).select((F.col("line_number") - 1).alias("pos"), "value")
     if dialect == "words":
         line = line.select("pos", F.explode(F.split(F.regexp_replace("value", "#.*", ""), r"\s+")).alias("name"))
     elif dialect == "plain":
@@ -102,23 +115,26 @@ def name_list(spark: SparkSession, path: str, dialect: str = "lines") -> DataFra
 
 
 def log_events(lines: DataFrame, entrypoints: DataFrame) -> DataFrame:
-    """lines: trace, line_number, value. entrypoints: name. The kept lines as events; a marker of an undeclared name is a plain token."""
-    from pyspark.sql import Window
+    """lines: trace, line_number, value, and part, if a trace's lines come in parts that follow each other. entrypoints: name. The kept lines as events; a marker of an undeclared name is a plain token.
 
+    Events are counted within their part, and parts by the sums of the events before.
+    """
+    lines = lines if "part" in lines.columns else lines.withColumn("part", F.lit(0).cast("long"))
     kept = lines.withColumn("raw_token", F.regexp_replace("value", r"^\s+|\s+$", "")).where("raw_token <> '' and not startswith(raw_token, '#')")
     base, mark = F.regexp_extract("raw_token", r"^(.*)_(entry|exit)$", 1), F.regexp_extract("raw_token", r"^(.*)_(entry|exit)$", 2)
     kept = kept.withColumns({"base": base, "mark": mark}).join(entrypoints.select(F.col("name").alias("base"), F.lit(True).alias("known")).distinct(), "base", "left")
-    w = Window.partitionBy("trace").orderBy("line_number")
-    return kept.select(
-        "trace", (F.row_number().over(w) - 1).cast("long").alias("event_index"), "line_number", "raw_token",
+    size = kept.groupBy("trace", "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("trace").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("trace", "part").orderBy("line_number")) - 1
+    return kept.withColumn("place", place).join(size.select("trace", "part", before.alias("before")), ["trace", "part"]).select(
+        "trace", (F.col("before") + F.col("place")).cast("long").alias("event_index"), "line_number", "raw_token",
         F.expr("case when known and mark = 'entry' then 'Entry' when known and mark = 'exit' then 'Exit' else 'Plain' end").alias("kind"),
         F.expr("case when known then base else raw_token end").alias("base_name"))
 
 
 def read_log(spark: SparkSession, path: str, entrypoints: DataFrame) -> DataFrame:
     """Each file of path is a trace (numbered by its name's hash); line numbers count from 1, dropped lines included."""
-    files = spark.read.text(path, wholetext=True).select(F.xxhash64(F.input_file_name()).alias("trace"), F.posexplode(F.split("value", "\n")).alias("n", "value"))
-    return log_events(files.select("trace", (F.col("n") + 1).cast("long").alias("line_number"), "value"), entrypoints)
+    return log_events(numbered_lines(spark, path).select(F.xxhash64("file").alias("trace"), "part", "line_number", "value"), entrypoints)
 
 
 def source_files(spark: SparkSession, path: str) -> DataFrame:
