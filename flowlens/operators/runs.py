@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 FOLD = "trace long, event_index long, what string, run_start long, parent_start long, forced boolean"
 
+#: The callee that stands for calls whose target is unknown.
+INDIRECT = "<indirect-call>"
+
 
 def _fold(batches):
     """Rows 'own' (an event and the start of its run) and 'close' (the event that ends a run; forced if it isn't its exit)."""
@@ -112,6 +115,13 @@ def recent_history(log: DataFrame, n: int = 3) -> DataFrame:
 
 
 def child_calls(runs: DataFrame, static: DataFrame) -> DataFrame:
-    """Calls that parents make by entering a child run, where the child's entrypoint has static callers: trace, caller_start, event_index, callee."""
-    known = static.select(F.col("callee").alias("entrypoint")).distinct()
-    return runs.where("parent_start is not null").join(known, "entrypoint", "left_semi").select("trace", F.col("parent_start").alias("caller_start"), F.col("start").alias("event_index"), F.col("entrypoint").alias("callee"))
+    """Calls that parents make by entering a child run: trace, caller_start, event_index, callee. static: caller, callee.
+
+    The child's entrypoint must have static callers; where any function calls indirectly (the callee `<indirect-call>`), every
+    entrypoint may be called.
+    """
+    callee = static.select(F.col("callee").alias("entrypoint")).distinct()
+    open_ = F.broadcast(callee.agg(F.coalesce(F.bool_or(F.col("entrypoint") == INDIRECT), F.lit(False)).alias("fw_any")))  # one row
+    known = callee.where(F.col("entrypoint") != INDIRECT).withColumn("fw_known", F.lit(True))
+    told = runs.where("parent_start is not null").join(known, "entrypoint", "left").join(open_, F.lit(True)).where("fw_known or fw_any")
+    return told.select("trace", F.col("parent_start").alias("caller_start"), F.col("start").alias("event_index"), F.col("entrypoint").alias("callee"))

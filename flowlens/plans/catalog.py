@@ -668,12 +668,24 @@ def recent_history(spark, d):
     return runs.recent_history(A.trace_log(spark, d))
 
 
-@query(_FOLD + "SELECT trace, parent_start AS caller_start, start AS event_index, entrypoint AS callee FROM runs WHERE parent_start IS NOT NULL AND entrypoint IN ('ep0', 'ep1')")
-def child_calls(spark, d):
-    static = spark.createDataFrame([("main", "ep0"), ("main", "ep1")], "caller string, callee string")
+_STATIC_ENTRIES = "SELECT DISTINCT 'main' AS caller, CASE WHEN l_linenumber < 8 THEN 'ep' || (l_partkey % 2) ELSE '<indirect-call>' END AS callee FROM lineitem WHERE {}"
+
+
+def _child_calls(spark, d, where):
+    static = A.table(spark, d, "lineitem").where(where).selectExpr("'main' as caller", "case when l_linenumber < 8 then concat('ep', l_partkey % 2) else '<indirect-call>' end as callee").distinct()
     return runs.child_calls(runs.context_runs(A.trace_log(spark, d)), static)
 
 
+@query(_FOLD + f", st AS ({_STATIC_ENTRIES.format('l_linenumber < 8')}) SELECT trace, parent_start AS caller_start, start AS event_index, entrypoint AS callee FROM runs WHERE parent_start IS NOT NULL AND entrypoint IN (SELECT callee FROM st)")
+def child_calls(spark, d):
+    return _child_calls(spark, d, "l_linenumber < 8")
+
+
+@query(_FOLD + f", st AS ({_STATIC_ENTRIES.format('l_linenumber > 6')}) SELECT trace, parent_start AS caller_start, start AS event_index, entrypoint AS callee FROM runs WHERE parent_start IS NOT NULL AND (entrypoint IN (SELECT callee FROM st) OR '<indirect-call>' IN (SELECT callee FROM st))")
+def child_calls_indirect(spark, d):
+    return _child_calls(spark, d, "l_linenumber > 6")
+
+
 # trees and ranking
 
 _TREE = """WITH RECURSIVE {pairs}, o AS (SELECT *, row_number() OVER (PARTITION BY context_id ORDER BY event_index, caller, callee) AS k FROM calls),
