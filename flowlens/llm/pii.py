@@ -74,7 +74,7 @@ def scan(docs: DataFrame) -> DataFrame:
     out = S.propose(out, "fw_text", "iban", IBAN, f"length(replace(m, ' ', '')) between 15 and 34 and {MOD97}", r"rlike(fw_text, r'[A-Z]{2}[0-9]{2}')")
     out = S.propose(out, "fw_text", "national", NATIONAL, "length(m) > 0", "contains(fw_text, '-')")
     out = out.withColumn("base", F.concat(*(f"fw_{k}" for k in BASE)))
-    near = f"lower(substring(fw_text, greatest(x.s - {CONTEXT}, 0) + 1, x.e - x.s + 2 * {CONTEXT}))"
+    near = f"lower(substring(fw_text, greatest(x.s - {CONTEXT}, 0) + 1, x.e + {CONTEXT} - greatest(x.s - {CONTEXT}, 0)))"
     worth = " ".join(f"when '{k}' then {v}D" for k, v in WORTH.items())
     raised = " ".join(f"when x.kind = '{k}' and rlike({near}, r'{v}') then 0.3D" for k, v in CONTEXT_WORDS.items())
     score = f"least(1D, (case x.kind {worth} end) + (case {raised} else 0D end))"

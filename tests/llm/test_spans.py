@@ -1,5 +1,7 @@
+import math
 import os
 import random
+import re
 
 import brute
 import pytest
@@ -118,3 +120,84 @@ def test_samples_of_one_label_are_refused(spark):
 def test_empty_tables(spark, model):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.digest(secrets.scan(empty, model)).collect() == pii.digest(pii.scan(empty)).collect() == []
+
+
+# what the methods add, against plain Python
+
+
+def trained(samples):
+    """ratios by pair, and the threshold, of (value, is_secret)."""
+    pairs, firsts = {}, {}
+    rows = [(re.sub(r"[^A-Za-z0-9+/_=-]", "", v), s) for v, s in samples if v is not None and s is not None]
+    rows = [(v, s) for v, s in rows if len(v) > 1]
+    for v, s in rows:
+        for a, b in zip(v, v[1:]):
+            pairs[s, a, b] = pairs.get((s, a, b), 0) + 1
+            firsts[s, a] = firsts.get((s, a), 0) + 1
+    n = len(secrets.ALPHABET)
+    chance = lambda s, a, b: (pairs.get((s, a, b), 0) + 0.5) / (firsts.get((s, a), 0) + 0.5 * n)
+    ratios = {(a, b): math.log(chance(True, a, b) / chance(False, a, b)) for a in secrets.ALPHABET for b in secrets.ALPHABET}
+    score = lambda v: sum(ratios[p] for p in zip(v, v[1:])) / (len(v) - 1)
+    ranked = lambda label, share: (lambda x: x[math.ceil(share * len(x)) - 1])(sorted(score(v) for v, s in rows if s == label))
+    return ratios, (ranked(False, 0.999) + ranked(True, 0.01)) / 2, score
+
+
+def test_spans_of_the_markov_models_equal_plain_python(spark, model):
+    samples = [(r["value"], r["is_secret"]) for r in secrets.default_samples(spark).collect()]
+    ratios, threshold, score = trained(samples)
+    assert [ratios[a, b] for a in secrets.ALPHABET for b in secrets.ALPHABET] == pytest.approx(model.ratios)
+    assert model.threshold == pytest.approx(threshold, abs=2e-3)
+    r = random.Random(17)
+    token = lambda: r.choice([v for v, _ in samples[:: 97]]) + "".join(r.choice(secrets.ALPHABET) for _ in range(r.choice((0, 4, 25))))
+    texts = [" ".join(r.choice((token(), "token=" + token(), "see", token() + ".", "ä" + token(), "0a1b2c3d" * 4)) for _ in range(r.randrange(9))) for _ in range(300)] + [None, ""]
+    got = {x["doc_id"]: x["spans"] for x in secrets.digest(secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model)).collect()}
+    added = 0
+    for i, text in enumerate(texts):
+        base = brute.base_spans(text, brute.SECRET_KINDS)
+        found = [("random", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text or "") if not any(s < m.end() and m.start() < e for _, s, e in base)]
+        sure = [f for f in found if abs(score(text[f[1] : f[2]]) - model.threshold) > 1e-3]
+        want = {f"{k}:{s}:{e}" for k, s, e in base} | {f"{k}:{s}:{e}" for k, s, e in sure if score(text[s:e]) > model.threshold}
+        mine = set(got[i].split(",")) - {""} - {f"{k}:{s}:{e}" for k, s, e in found if (k, s, e) not in sure}
+        assert mine == want, text
+        added += len(want) - len(base)
+    assert added > 100
+
+
+def mod97(text):
+    moved = text.replace(" ", "")[4:] + text.replace(" ", "")[:4]
+    return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
+
+
+def scored(kind, start, end, text):
+    near = text[max(start - pii.CONTEXT, 0) : end + pii.CONTEXT].lower()
+    return min(1, pii.WORTH[kind] + 0.3 * bool(re.search(pii.CONTEXT_WORDS[kind], near)))
+
+
+def test_added_personal_data_equals_plain_python(spark):
+    r = random.Random(23)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+
+    def iban():
+        country, length = r.choice([("DE", 22), ("FR", 27), ("NO", 15), ("ES", 24), ("ZZ", 20)])
+        body = "".join(r.choice("0123456789" * 3 + "ABZ") for _ in range(length - 4))
+        check = 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+        whole = f"{country}{(check + r.choice((0, 0, 0, 1))) % 100:02}{body}"
+        return whole if r.random() < 0.5 else " ".join(whole[i : i + 4] for i in range(0, length, 4))
+
+    national = lambda: f"{digits(3)}-{digits(2)}-{digits(4)}"
+    words = ["pay", "to", "account", "ssn", "Passport", "the", "x" * 50, "call", "me", "and,", "+49 30 1234567", "a@b.de", "10.0.0.1"]
+    texts = [" ".join(r.choice((iban, national, lambda: r.choice(words), lambda: r.choice(words), lambda: national() + "-1", lambda: "Q" + iban()))() for _ in range(r.randrange(10))) for _ in range(300)] + [None, ""]
+    rows = pii.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    added = {"iban": 0, "national": 0}
+    for row in rows:
+        text = row["text"] or ""
+        base = brute.base_spans(text, brute.PII_KINDS)
+        want = {(k, s, e) for k, s, e in base}
+        for kind, pattern, check in (("iban", pii.IBAN, lambda m: 15 <= len(m.replace(" ", "")) <= 34 and mod97(m)), ("national", pii.NATIONAL, lambda m: True)):
+            for m in re.finditer(pattern, text, re.A):
+                if check(m[0]) and not any(s < m.end() and m.start() < e for _, s, e in base) and scored(kind, m.start(), m.end(), text) >= pii.MIN_SCORE:
+                    want.add((kind, m.start(), m.end()))
+                    added[kind] += 1
+        assert {(x["kind"], x["s"], x["e"]) for x in row["found"]} == want, text
+        assert all(x["score"] == pytest.approx(scored(x["kind"], x["s"], x["e"], text)) for x in row["found"]), text
+    assert min(added.values()) > 30
