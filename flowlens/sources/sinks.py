@@ -147,3 +147,15 @@ def runtime_lines(contexts: DataFrame, calls: DataFrame, summary: dict | None =
     body = opened.unionByName(inner).unionByName(closed).withColumn("section", F.lit(1))
     tail = lines_of(spark, ["]}}"]).withColumn("section", F.lit(2))
     return head.unionByName(body.select(*_KEY, "value")).unionByName(tail)
+
+
+def mapping_lines(resolved: DataFrame, source: str = "") -> DataFrame:
+    """resolved: site, caller, calleeExprNorm, throughNorm, argCount, member, target (null where a site has none). The indirect-call mapping of version 2, a line for each signature, and how many sites have a target."""
+    key = ["caller", "calleeExprNorm", "throughNorm", "argCount", "member"]
+    entry = resolved.groupBy(*key).agg(F.array_sort(F.collect_set("target")).alias("targets"))
+    site = resolved.groupBy("site").agg(F.count("target").alias("n")).agg(F.count("*").alias("total"), F.count_if(F.col("n") > 0).alias("resolved")).first()
+    summary = {"totalCallsites": site["total"], "resolvedCallsites": site["resolved"], "unresolvedCallsites": site["total"] - site["resolved"]}
+    head = {"kind": "indirect-call-mapping", "schemaVersion": 2, "generatedFrom": source, "summary": summary}
+    value = F.to_json(F.struct(F.struct(*key).alias("signature"), "targets"))
+    text = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]
+    return lines_of(resolved.sparkSession, [json.dumps(head)[:-1] + ', "entries": [', _elements(entry, value, b=F.concat_ws("\0", *text)), "]}"])

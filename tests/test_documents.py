@@ -60,3 +60,13 @@ def test_an_analysis_is_written_as_it_was_read(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"version": 1, "functions": functions}))
     document = written(sinks.analysis_lines(facts.functions(spark, str(tmp_path / "a.json"))), tmp_path / "out")
     assert document == {"version": 1, "functions": functions}
+
+
+def test_a_mapping_is_written_with_its_counts_and_read_back(spark, tmp_path):
+    rows = [("s1", "main", "p.cb", "p", 1, "cb", "f"), ("s1", "main", "p.cb", "p", 1, "cb", "g"), ("s2", "main", "p.cb", "p", 1, "cb", "g"), ("s3", "main", "q", "q", 0, "", None), ("s4", "work", "q", "q", 2, "", "f")]
+    resolved = spark.createDataFrame(rows, "site string, caller string, calleeExprNorm string, throughNorm string, argCount long, member string, target string")
+    document = written(sinks.mapping_lines(resolved, "a.json"), tmp_path / "mapping")
+    assert document["summary"] == {"totalCallsites": 4, "resolvedCallsites": 3, "unresolvedCallsites": 1}
+    assert [(e["signature"]["calleeExprNorm"], e["signature"]["argCount"], e["targets"]) for e in document["entries"]] == [("p.cb", 1, ["f", "g"]), ("q", 0, []), ("q", 2, ["f"])]
+    (tmp_path / "m.json").write_text(json.dumps(document))
+    assert sorted(map(tuple, facts.indirect_mapping(spark, str(tmp_path / "m.json")).collect())) == sorted({r[1:] for r in rows if r[-1]})
