@@ -73,27 +73,31 @@ def trace_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _named_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """trace, event_index, type, band, token: the events of each user, each a call of a function for its type and the band of its value."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    ev = table(spark, sf_dir, "events").select(F.col("user_id").alias("trace"), (F.row_number().over(w) - 1).cast("long").alias("event_index"), F.col("event_type").alias("type"), F.floor(F.col("value") / 25).alias("band"))
+    return ev.withColumn("token", F.concat_ws(":", "type", "band"))
+
+
 def plain_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """trace, root, event_index, token: the events of each user, all run in `main`."""
-    log = trace_log(spark, sf_dir)
-    return log.select("trace", F.lit("main").alias("root"), "event_index", F.when(F.col("kind") == "Plain", F.col("base_name")).otherwise(F.lower("kind")).alias("token"))
-
-
-def event_program(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """A small program whose functions are called like the events: blocks, calls, entries, exits. Views call clicks, clicks
-    and entries call errors, so most events have several possible callers."""
-    name = ["main", "view", "click", "entry"]
-    body = {"main": ["view", "click", "error", "entry", "exit"], "view": ["click", "error"], "click": ["error"], "entry": ["error", "click"]}
-    blocks, calls = [], []
-    for fn in name:  # block 0 leads to any of the callees' blocks, each of which leads back, or to the exit
-        for i, callee in enumerate(body[fn], 1):
-            blocks += [(fn, 0, i), (fn, i, 0)]
-            calls.append((fn, i, 0, callee))
-        blocks += [(fn, 0, 99), (fn, 99, None)]
-    frame = spark.createDataFrame
-    return (
-        frame(blocks, "fn string, block long, succ long"), frame(calls, "fn string, block long, pos int, callee string"),
-        frame([(fn, 0) for fn in name], "fn string, block long"), frame([(fn, 99) for fn in name], "fn string, block long"))
+    """trace, root, event_index, token, enters: the events of each user, all run in `main`; signups enter contexts of their own."""
+    return _named_events(spark, sf_dir).select("trace", F.lit("main").alias("root"), "event_index", "token", (F.col("type") == "signup").alias("enters"))
+
+
+def event_program(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The program of the events: blocks, calls, entries, exits. `main` calls every function; a function calls those that ever follow it in
+    a user's events with a value of a lower band, any number of times, one for a purchase at most once."""
+    ev = _named_events(spark, sf_dir)
+    w = Window.partitionBy("trace").orderBy("event_index")
+    pair = ev.select(F.col("token").alias("fn"), F.col("type"), F.col("band"), F.lead("token").over(w).alias("callee"), F.lead("band").over(w).alias("below")).where("below < band")
+    every = ev.select(F.lit("main").alias("fn"), F.lit("main").alias("type"), F.col("token").alias("callee"))
+    call = staged(pair.select("fn", "type", "callee").unionByName(every).distinct())
+    names = staged(every.select(F.col("callee").alias("fn")).distinct().unionByName(spark.range(1).select(F.lit("main").alias("fn"))))
+    block, start, end = F.concat(F.lit("to "), "callee"), F.lit("start"), F.lit("end")
+    edge = call.select("fn", start.alias("block"), block.alias("succ")).unionByName(call.select("fn", block.alias("block"), F.when(F.col("type") == "purchase", end).otherwise(start).alias("succ")))
+    edge = edge.unionByName(names.select("fn", start.alias("block"), end.alias("succ"))).unionByName(names.select("fn", end.alias("block"), F.lit(None).cast("string").alias("succ")))
+    return edge, call.select("fn", block.alias("block"), F.lit(0).alias("pos"), "callee"), names.select("fn", start.alias("block")), names.select("fn", end.alias("block"))
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -780,7 +780,9 @@ def k_best_combination(spark, d):
 
 @query()
 def k_best_paths(spark, d):
-    return paths.best_paths(A.plain_events(spark, d), paths.call_automaton(*A.event_program(spark)), 4)
+    blocks, calls, entries, exits = A.event_program(spark, d)
+    static = calls.select(F.col("fn").alias("caller"), "callee")
+    return paths.best_paths(A.plain_events(spark, d), paths.call_automaton(blocks, calls, entries, exits), 4, 2, static)
 
 
 # text
