@@ -109,6 +109,23 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.select("fn", "block", succ.alias("succ")).withColumn("succ", F.col("succ").cast("long"))
 
 
+def choice_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """lines, blocks, entries: a function for each distinct line item, whose blocks 1 and 2 lead to block 3. What it stores there is chosen in none, one
+    or both of them, in order or crossed, by the line number; every second store declares. A call, its comparison and a number stand before it."""
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct().withColumn("fn", F.concat_ws(".", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    yes, no, n = F.concat(F.lit("p"), "l_partkey"), F.concat(F.lit("s"), "l_suppkey"), F.col("l_linenumber")
+    call = F.concat(F.lit("f("), "l_partkey", F.lit(")"))
+    choice = F.concat(F.lit("c ? "), yes, F.lit(" : "), no)
+    row = lambda block, pos, text, site=None: F.struct(F.lit(block).alias("block"), F.lit(pos).alias("pos"), text.alias("line"), (F.array(site) if site is not None else F.lit(None).cast("array<string>")).alias("ids"))
+    one = row(1, 0, F.when(n % 4 == 0, yes).when(n % 4 == 1, no).otherwise("g()"))
+    two = row(2, 0, F.when(n % 4 == 0, no).when(n % 4 == 1, yes).when(n % 4 == 2, yes).otherwise("h()"))
+    last = F.concat(F.when(n % 2 == 0, "int v = ").otherwise("v = "), choice, F.lit(";"))
+    every = F.array(row(0, 0, call, F.concat(F.lit("cs"), "l_partkey")), row(0, 1, F.concat(call, F.lit(" == "), "l_suppkey")), one, two, row(3, 0, F.col("l_suppkey").cast("string")), row(3, 1, F.concat(F.lit("("), choice, F.lit(")"))), row(3, 2, last), row(3, 3, F.lit("return v;")))
+    lines = line.select("fn", F.explode(every).alias("x")).select("fn", "x.*")
+    edge = F.explode(F.expr("array(struct(0 as block, 1 as succ), struct(0 as block, 2 as succ), struct(1 as block, 3 as succ), struct(2 as block, 3 as succ))"))
+    return lines, line.select("fn", edge.alias("x")).select("fn", "x.*"), line.select("fn", F.lit(0).alias("block"))
+
+
 def pointer_facts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """addr, copy, load, store, store_seed and mem_xfer of the points-to family, out of every line item.
 

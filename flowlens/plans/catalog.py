@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowlens.functions import text as T
-from flowlens.operators import cfg, constraints, edges, loops, paths, pointsto, reports, resolve, runs, trees
+from flowlens.operators import cfg, constraints, edges, lines, loops, paths, pointsto, reports, resolve, runs, trees
 from flowlens.plans import adapters as A
 
 QUERIES: dict = {}
@@ -785,6 +785,34 @@ def k_best_paths(spark, d):
     return paths.best_paths(A.plain_events(spark, d), paths.call_automaton(blocks, calls, entries, exits), 4, 2, static)
 
 
+# lines
+
+
+_CHOICES = """WITH l AS (SELECT DISTINCT concat_ws('.', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS fn, l_linenumber % 4 AS m, 'p' || l_partkey AS y, 's' || l_suppkey AS n, 'f(' || l_partkey || ')' AS call, l_suppkey AS sup, 'cs' || l_partkey AS site FROM lineitem),
+a AS (SELECT fn, 0 AS block, 1 AS nth, call || ' == ' || sup AS line, CAST(site AS VARCHAR) AS ids FROM l"""
+
+
+@query(_CHOICES + """ UNION ALL SELECT fn, 1, 1, CASE m WHEN 0 THEN y WHEN 1 THEN n ELSE 'g()' END, '' FROM l UNION ALL SELECT fn, 2, 1, CASE m WHEN 0 THEN n WHEN 3 THEN 'h()' ELSE y END, '' FROM l
+UNION ALL SELECT fn, 3, 1, CASE WHEN m % 2 = 0 THEN 'int v = ' ELSE 'v = ' END || 'c ? ' || y || ' : ' || n || ';', '' FROM l UNION ALL SELECT fn, 3, 2, 'return v;', '' FROM l) SELECT fn, block, nth, line, ids FROM a""")
+def folded_lines(spark, d):
+    return _in_order(lines.folded_lines(A.choice_lines(spark, d)[0]))
+
+
+@query(_CHOICES.replace("0 AS block, 1 AS nth", "0 AS block, CASE WHEN m % 2 = 0 THEN 3 ELSE 2 END AS nth") + """ UNION ALL SELECT fn, 0, CASE WHEN m % 2 = 0 THEN 2 ELSE 1 END, call, site FROM l UNION ALL SELECT fn, 0, 1, 'int v;', '' FROM l WHERE m % 2 = 0
+UNION ALL SELECT fn, 1, 1, 'g()', '' FROM l WHERE m > 1 UNION ALL SELECT fn, 1, CASE WHEN m > 1 THEN 2 ELSE 1 END, 'v = ' || CASE WHEN m IN (0, 3) THEN y ELSE n END || ';', '' FROM l
+UNION ALL SELECT fn, 2, 1, 'h()', '' FROM l WHERE m = 3 UNION ALL SELECT fn, 2, CASE WHEN m = 3 THEN 2 ELSE 1 END, 'v = ' || CASE WHEN m IN (0, 3) THEN n ELSE y END || ';', '' FROM l
+UNION ALL SELECT fn, 3, 1, CAST(sup AS VARCHAR), '' FROM l UNION ALL SELECT fn, 3, 2, 'return v;', '' FROM l)
+SELECT fn, block, nth, line, CASE WHEN block = 0 AND line LIKE '% == %' THEN '' ELSE ids END AS ids FROM a""")
+def duplicated_choices(spark, d):
+    return _in_order(lines.duplicated_choices(*A.choice_lines(spark, d)))
+
+
+def _in_order(rows):
+    """Lines with their place in the block instead of a position."""
+    nth = F.row_number().over(Window.partitionBy("fn", "block").orderBy("pos"))
+    return rows.select("fn", "block", nth.alias("nth"), "line", F.array_join("ids", ",").alias("ids"))
+
+
 # text
 
 
