@@ -100,3 +100,42 @@ def test_features_equal_plain_python(spark):
 
     for r in Q.features(spark.createDataFrame([(t,) for t in texts], "text string"), "text").collect():
         assert np.allclose(r["x"], plain(r["text"])), r["text"]
+
+
+def labelled(spark, x, y):
+    return spark.createDataFrame(list(zip(y.tolist(), x.tolist())), "quality int, x array<double>").repartition(3).cache()
+
+
+def test_learn_equals_gradient_descent_on_every_pair(spark):
+    r = np.random.default_rng(1)
+    x = r.normal(size=(300, 4)) * [1, 5, 0.1, 2] + [0, 3, -1, 8]
+    y = (x @ [1.0, 0.2, -3.0, 0.0] + r.normal(size=300) > 0.5).astype(int)
+    model = Q.learn(labelled(spark, x, y))
+    z = np.clip((x - x.mean(0)) / x.std(0), -8, 8)
+    diff = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, 4)
+    weights = np.zeros(4)
+    for _ in range(1500):
+        weights += 0.5 * ((diff / (1 + np.exp(diff @ weights))[:, None]).mean(0) - 1e-3 * weights)
+    assert np.allclose(model.weights, weights, atol=1e-3)
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.spread, x.std(0))
+    s, share = z @ model.weights, (y == 0).mean()
+    assert model.middle == pytest.approx(np.quantile(s, [share - 0.01, share + 0.01]).mean(), abs=1e-6)
+    assert model.scale == pytest.approx(s.std() / 4, abs=1e-6)
+
+
+def test_order_statistics_of_equal_and_far_values(spark):
+    s = np.concatenate([np.zeros(50), np.random.default_rng(2).normal(size=200), [-7.5, 7.5, 7.5, 1e-9]])
+    rows = labelled(spark, s[:, None], np.zeros(len(s), int))
+    ranks = [0, 1, 99, 100, 101, 140, len(s) - 2, len(s) - 1]
+    got = Q.order_statistics(rows, lambda b: b["x"].flatten().to_numpy(zero_copy_only=False), 8.0, ranks)
+    assert np.allclose(got, np.sort(s)[ranks], atol=1e-12)
+
+
+def test_every_labelled_row_takes_part(spark):
+    n = 36_000  # 24,000 of them not held out, the old bound was 20,000
+    docs = spark.range(n).selectExpr("id as doc_id", "repeat('word ', cast(1 + id % 97 as int)) || if(id % 3 = 0, '# | !!', 'the end.') as text").repartition(4)
+    labels = spark.range(n).selectExpr("id as doc_id", "cast(id % 3 != 0 as int) as quality")
+    model = Q.train(docs, labels)
+    sizes = np.array([np.log(1 + (1 + i % 97) + (3 if i % 3 == 0 else 2)) for i in range(n) if not held(i)])
+    assert len(sizes) > 20_000
+    assert model.mean[0] == pytest.approx(sizes.mean(), rel=1e-8) and model.spread[0] == pytest.approx(sizes.std(), rel=1e-7)
