@@ -1,7 +1,7 @@
 """Token sequences in training order, as fixed-stride binary shards.
 
-Texts are encoded by a byte-level BPE, an end id after each, and the ids of a partition's texts are laid end to end and cut
-in sequences of `length` ids (the last one of the partition is filled up with end ids). A first job counts each partition's
+Texts are encoded by a byte-level BPE, each distinct word of a slice of texts once (see _words), an end id after each text, and
+the ids of a partition's texts are laid end to end and cut in sequences of `length` ids (the last one of the partition is filled up with end ids). A first job counts each partition's
 sequences; the second numbers them 0..N-1 in the order of the partitions. A keyed Feistel permutation over the next power of
 four, walked along its cycle until it falls below N, gives each number its slot. Rows are range-partitioned by slot, so each
 task holds whole shards of `per_shard` slots and streams them out.
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +39,11 @@ END = 50256
 LENGTH = 2048
 PER_SHARD = 8192
 KEY = 20240601
-#: Characters from which a text counts as long.
+#: A space beside another blank, or at the end: there the pattern doesn't begin anew.
+BESIDE = r"[\t-\r\x{85}\pZ] | [\t-\r\x{85}\pZ]| \z"
+#: Bytes from which a text counts as long, and of texts whose words are encoded at once.
 LONG = 1 << 20
+SLICE_BYTES = 8 << 20
 ROUNDS = 6
 
 
@@ -85,29 +89,94 @@ def _read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-_encoders: dict[str, object] = {}
+_encoders: dict[str, tuple] = {}
 
 
-def _ids(batches, ranks, name: str) -> Iterator[tuple[object, list[int] | np.ndarray]]:
-    """(doc_id, its ids) for each text that is not null: as a list, which is faster, or for long texts an array, which is smaller."""
+def _encoder(ranks, name: str) -> tuple:
+    """The encoder, and the bytes of each id."""
     import tiktoken
 
     if name not in _encoders:
         _encoders.clear()
-        _encoders[name] = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks.value, special_tokens={})
-    encoder = _encoders[name]
+        sizes = np.zeros(1 << 16, np.int64)
+        for token, rank in ranks.value.items():
+            sizes[rank] = len(token)
+        _encoders[name] = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks.value, special_tokens={}), sizes
+    return _encoders[name]
+
+
+def _slices(batches) -> Iterator[pa.RecordBatch]:
+    """The rows whose text is not null, about SLICE_BYTES at a time."""
     for batch in batches:
-        for doc_id, value in zip(batch["doc_id"].to_pylist(), batch["text"]):
-            if value.is_valid:
-                text = value.as_py()
-                yield doc_id, encoder.encode_ordinary(text) if len(text) < LONG else encoder.encode_to_numpy(text, disallowed_special=())
+        batch = batch.filter(pc.is_valid(batch["text"]))
+        ends = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SLICE_BYTES, "right")))
+            yield batch.slice(start, end - start)
+            start = end
 
 
-def _cut(rows: Iterator[tuple[object, list[int] | np.ndarray]], length: int, end: int) -> Iterator[tuple[np.ndarray, int, list]]:
+def _words(texts: pa.Array, encoder, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of distinct words one after the other, the number of each word's, and the words of all texts with the offsets of each text.
+
+    PATTERN lets nothing but blanks stand before a space, so a text falls apart at single spaces: each word but the first
+    takes the space before it. Distinct words are encoded as one text, which falls apart in the same way. Texts where a space
+    is beside another blank, and long ones, are a single word.
+    """
+    whole = pc.or_(pc.match_substring_regex(texts, BESIDE), pc.greater_equal(pc.binary_length(texts), LONG))
+    lists = pc.split_pattern(pc.if_else(whole, "", texts), " ")  # of an empty text one empty word
+    offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    words, first = lists.flatten(), offsets[:-1]
+    later = np.ones(len(words), bool)
+    later[first] = False
+    coded = words.filter(pa.array(later)).dictionary_encode()
+    distinct = coded.dictionary
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct), " ")[0].as_py()
+    ids = np.array(encoder.encode_ordinary(" " + joined) if len(distinct) else [], np.uint16)
+    ends, upto = np.cumsum(sizes[ids]), np.cumsum(pc.binary_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    last = np.searchsorted(ends, upto)
+    if not np.array_equal(ends[last], upto):
+        raise RuntimeError("an id reaches over the start of a word")
+    alone = [_encoded(encoder, x) for x in pc.if_else(whole, texts, words.take(pa.array(first))).to_pylist()]
+    index = np.empty(len(words), np.int64)
+    index[later] = coded.indices.to_numpy(zero_copy_only=False)
+    index[first] = len(distinct) + np.arange(len(first))
+    return np.concatenate([ids, *alone]), np.concatenate([np.diff(last, prepend=-1), [len(x) for x in alone]]).astype(np.int64), index, offsets
+
+
+def _encoded(encoder, text: str) -> np.ndarray:
+    """Through a list, which is faster, or for long texts an array, which is smaller."""
+    return np.array(encoder.encode_ordinary(text) if len(text) < LONG else encoder.encode_to_numpy(text, disallowed_special=()), np.uint16)
+
+
+def _ids(batches, ranks, name: str) -> Iterator[tuple[object, np.ndarray]]:
+    """(doc_id, its ids) for each text that is not null."""
+    encoder, sizes = _encoder(ranks, name)
+    for rows in _slices(batches):
+        ids, lengths, index, offsets = _words(rows["text"], encoder, sizes)
+        n, starts = lengths[index], (np.cumsum(lengths) - lengths)[index]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        flat = ids[np.repeat(starts - ends[:-1], n) + np.arange(ends[-1])]
+        for doc_id, start, end in zip(rows["doc_id"].to_pylist(), ends[offsets[:-1]], ends[offsets[1:]]):
+            yield doc_id, flat[start:end]
+
+
+def _n_ids(batches, ranks, name: str) -> int:
+    """Number of ids of all texts, with an end id after each."""
+    encoder, sizes = _encoder(ranks, name)
+    total = 0
+    for rows in _slices(batches):
+        _, lengths, index, _ = _words(rows["text"], encoder, sizes)
+        total += int(lengths[index].sum()) + rows.num_rows
+    return total
+
+
+def _cut(rows: Iterator[tuple[object, np.ndarray]], length: int, end: int) -> Iterator[tuple[np.ndarray, int, list]]:
     """Sequences of length ids, the number of ids that are no filling, and the doc_ids of the texts in each."""
     held, size, docs = [], 0, []
     for doc_id, found in rows:
-        ids = np.append(np.asarray(found, np.uint16), np.uint16(end))
+        ids = np.append(found, np.uint16(end))
         while len(ids):  # each text has ids, and adds its doc_id to each sequence that it reaches
             docs.append(doc_id)
             part, ids = ids[: length - size], ids[length - size :]
@@ -135,7 +204,7 @@ def write_shards(docs: DataFrame, out_dir: str | None = None, ranks_path: str =
     out_dir = out_dir or shared_dir(spark)
 
     def count(batches):
-        total = sum(len(ids) + 1 for _, ids in _ids(batches, ranks, name))
+        total = _n_ids(batches, ranks, name)
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([-(-total // length)])], names=["p", "n"])
 
     counts = {r["p"]: r["n"] for r in docs.mapInArrow(count, "p long, n long").collect()}  # a row for each partition

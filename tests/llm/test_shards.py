@@ -63,3 +63,35 @@ def test_ids_that_do_not_fit_are_refused(spark, tmp_path):
     path.write_bytes(b"YQ== 0\nYg== 70000\n")
     with pytest.raises(ValueError, match="65535"):
         S.write_shards(spark.createDataFrame([(1, "ab")], "doc_id long, text string"), str(tmp_path / "o"), ranks_path=str(path))
+
+
+ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "a \n b", "a\n\nb c\n\n", "it's  'll x'll y", "a\u00a0 b", "a\u3000b c", "é😀 漢字 ١٢ 12", "\u2028 x", "x \x85", "\x1c \x1f a", "<|endoftext|> 5% of"]
+
+
+def test_words_encoded_apart_give_the_ids_of_the_whole_text(monkeypatch):
+    class Held:
+        value = S._read_ranks(S.RANKS)
+
+    r = np.random.default_rng(5)
+    signs = list("ab'st 1!\n\t") + [" "] * 6 + ["é", "漢", "😀", "\u00a0", "\u2003", "\x85", "\u200b", "\u180e", "\x1c", "\r\n"]
+    texts = [*ODD, None, *("".join(r.choice(signs, size=int(k))) for k in r.integers(0, 40, 3000)), *ODD]
+    encoder, _ = S._encoder(Held, "w")
+    want = [(i, encoder.encode_ordinary(t)) for i, t in enumerate(texts) if t is not None]
+    for size in (1 << 20, 100, 1):
+        monkeypatch.setattr(S, "SLICE_BYTES", size)
+        batches = [pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts)))[a:b], "text": pa.array(texts[a:b], pa.string())}) for a, b in ((0, 9), (9, 9), (9, len(texts)))]
+        assert [(d, x.tolist()) for d, x in S._ids(batches, Held, "w")] == want
+        assert S._n_ids(batches, Held, "w") == sum(len(x) + 1 for _, x in want)
+
+
+def test_a_word_is_encoded_once_a_slice(monkeypatch):
+    import tiktoken
+
+    class Held:
+        value = S._read_ranks(S.RANKS)
+
+    given, real = [], tiktoken.Encoding.encode_ordinary
+    monkeypatch.setattr(tiktoken.Encoding, "encode_ordinary", lambda self, text: given.append(text) or real(self, text))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(50)), "text": ["the council mended a bridge " * 40 + "again"] * 50})
+    found = list(S._ids([batch], Held, "once"))
+    assert len(found) == 50 and sum(map(len, given)) < 1000  # of 56,250 characters
