@@ -3,7 +3,10 @@
 import os
 from collections import defaultdict
 
-from flowlens.operators import edges, loops
+from pyspark.sql import functions as F
+
+from flowlens.functions import text as T
+from flowlens.operators import loops
 from flowlens.plans import catalog
 
 
@@ -59,3 +62,18 @@ def test_names_that_hold_the_mark_give_each_context_once(spark):
     assert got(loops.bounded_contexts(edge, root)[0]) == sorted(want)
     told = {(a, b): n for a, b, n, *_ in got(loops.bounded_context_totals(edge, root))}
     assert told == {(a, b): n for a, b in pairs if (n := sum(fn == a for fn, _ in want))}
+
+
+def test_plain_texts_are_split_as_a_fold_splits_them(spark):
+    texts = ["c ? a : b", " (c ? a : b) ", "( x )", "()", "(a)(b)", "((a) ? b : c)", "a ? b ? c : d : e", "a:b ? c : d : e", "a ? b", "a : b", "", None, " ", "f(x) ? a[1] : {b}", "a)", "(a", "f(x) )", "\t(\nc ?a:b\r)", "?:", "a ?: b", "x ? y : z ? p : q", "é ? ß :  "]
+    rows = frame(spark, "s string", *((t,) for t in texts))
+    split, fold = T.top_level_split(F.col("s")), T.bound(T.stripped_parentheses(F.col("s")), T._split)
+    for r in rows.select("s", T.stripped_parentheses(F.col("s")).alias("a"), T._counted_parentheses(T.trim(F.col("s"))).alias("b"), split.alias("c"), fold.alias("d")).collect():
+        assert (r["a"], r["c"]) == (r["b"], r["d"]), r["s"]
+
+
+def test_lines_are_dealt_out_and_sorted_once(spark, tmp_path):
+    rows = [(o, n, 1 + o % 3, 1 + n % 2) for o in range(20) for n in range(1, 5)]
+    frame(spark, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long", *rows).write.parquet(f"{tmp_path}/lineitem.parquet")
+    plan = catalog.QUERIES["folded_lines"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("Sort [") == 1
