@@ -6,7 +6,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from flowlens.functions import text as T
-from flowlens.operators import loops
+from flowlens.operators import edges, loops
 from flowlens.plans import catalog
 
 
@@ -65,7 +65,7 @@ def test_names_that_hold_the_mark_give_each_context_once(spark):
 
 
 def test_plain_texts_are_split_as_a_fold_splits_them(spark):
-    texts = ["c ? a : b", " (c ? a : b) ", "( x )", "()", "(a)(b)", "((a) ? b : c)", "a ? b ? c : d : e", "a:b ? c : d : e", "a ? b", "a : b", "", None, " ", "f(x) ? a[1] : {b}", "a)", "(a", "f(x) )", "\t(\nc ?a:b\r)", "?:", "a ?: b", "x ? y : z ? p : q", "é ? ß :  "]
+    texts = ["c ? a : b", " (c ? a : b) ", "( x )", "()", "(a)(b)", "((a) ? b : c)", "a ? b ? c : d : e", "a:b ? c : d : e", "a ? b", "a : b", "", None, " ", "f(x) ? a[1] : {b}", "a)", "(a", "f(x) )", "\t(\nc ?a:b\r)", "?:", "a ?: b", "x ? y : z ? p : q", "é ? ß : "]
     rows = frame(spark, "s string", *((t,) for t in texts))
     split, fold = T.top_level_split(F.col("s")), T.bound(T.stripped_parentheses(F.col("s")), T._split)
     for r in rows.select("s", T.stripped_parentheses(F.col("s")).alias("a"), T._counted_parentheses(T.trim(F.col("s"))).alias("b"), split.alias("c"), fold.alias("d")).collect():
@@ -77,3 +77,17 @@ def test_lines_are_dealt_out_and_sorted_once(spark, tmp_path):
     frame(spark, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long", *rows).write.parquet(f"{tmp_path}/lineitem.parquet")
     plan = catalog.QUERIES["folded_lines"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and plan.count("Sort [") == 1
+
+
+def test_pairs_of_equal_keys_come_once(spark):
+    sites = [(1, "r.m"), (1, "r.x.m"), (2, "r[0].n"), (3, "q.m"), (3, "r.n"), (4, "r"), (2, "r.n"), (5, None)]
+    entries = [(7, "r.m"), (7, "r.a.m"), (8, "q.m"), (8, "r.m"), (9, "r.n"), (9, "q.m"), (9, "r.n")]
+    key = lambda s: (s.split(".")[0].split("[")[0], s.split(".")[-1]) if s and "." in s else None
+    want = sorted({(a, b) for a, s in sites for b, t in entries if key(s) and key(s) == key(t)})
+    found = edges.same_member(frame(spark, "site long, slot string", *sites), frame(spark, "target long, slot string", *entries))
+    assert got(found) == want
+    # what is compared after a join are the pairs of sides with several keys alone
+    single = edges.same_member(frame(spark, "site long, slot string", *((i, "r.m") for i in range(40))), frame(spark, "target long, slot string", *((i, "r.m") for i in range(50))))
+    assert single.count() == 2000
+    plan = single._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1
