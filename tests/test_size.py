@@ -3,12 +3,15 @@
 import os
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from flowlens.functions import text as T
 from flowlens.operators import edges, loops
 from flowlens.plans import catalog
 
+SF = "/root/testdata/sf0.001"
+
 
 def frame(spark, schema, *rows):
     return spark.createDataFrame(list(rows), schema)
@@ -91,3 +94,9 @@ def test_pairs_of_equal_keys_come_once(spark):
     assert single.count() == 2000
     plan = single._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1
+
+
+@pytest.mark.parametrize("name", ["return_constraints", "transfer_constraints", "argument_constraints", "field_collapse"])
+def test_constraints_write_nothing_but_the_global_slots(spark, name):
+    out, kept = rows_written(spark, lambda: catalog.QUERIES[name](spark, SF))
+    assert out and kept == 1  # v7 and its root are one slot
