@@ -75,11 +75,16 @@ def root_summary(covered: DataFrame) -> DataFrame:
 
 
 def preorder(tree: DataFrame) -> DataFrame:
-    """Each root's nodes numbered in path order, with the number of the parent."""
-    w = Window.partitionBy("root").orderBy(F.split("path", "/"))
-    out = tree.select("root", "path", (F.row_number().over(w) - 1).cast("long").alias("n"), (F.size(F.split("path", "/")) - 1).cast("long").alias("level"))
-    up = out.select("root", F.col("path").alias("above"), F.col("n").alias("parent"))
-    return out.withColumn("above", F.expr("regexp_extract(path, '^(.*)/[^/]*$', 1)")).join(up, ["root", "above"], "left").select("root", "path", "n", "level", "parent")
+    """Each root's nodes (each path once) numbered in path order, with the number of the parent.
+
+    Paths are dealt out by root once: a node's own row and those of its children meet in a window within the root.
+    """
+    names = F.split("path", "/")
+    out = tree.select("root", "path", names.alias("fw_names")).withColumn("n", (F.row_number().over(Window.partitionBy("root").orderBy("fw_names")) - 1).cast("long"))
+    out = out.withColumns({"level": (F.size("fw_names") - 1).cast("long"), "above": F.expr("regexp_extract(path, '^(.*)/[^/]*$', 1)")})
+    each = out.select("root", "path", "n", "level", F.explode(F.array(F.struct(F.col("above").alias("of"), F.lit(False).alias("own")), F.struct(F.col("path").alias("of"), F.lit(True).alias("own")))).alias("x")).select("root", "path", "n", "level", "x.*")
+    parent = F.when(F.col("root").isNotNull() & F.col("of").isNotNull(), F.max(F.when(F.col("own"), F.col("n"))).over(Window.partitionBy("root", "of")))
+    return each.withColumn("parent", parent).where("not own").select("root", "path", "n", "level", "parent")
 
 
 def rank_callers(candidates: DataFrame) -> DataFrame:

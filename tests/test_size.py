@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowlens.functions import text as T
-from flowlens.operators import edges, loops
+from flowlens.operators import edges, loops, resolve, trees
 from flowlens.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -100,3 +100,37 @@ def test_pairs_of_equal_keys_come_once(spark):
 def test_constraints_write_nothing_but_the_global_slots(spark, name):
     out, kept = rows_written(spark, lambda: catalog.QUERIES[name](spark, SF))
     assert out and kept == 1  # v7 and its root are one slot
+
+
+def test_assignments_are_written_once_before_their_rules(spark):
+    out, kept = rows_written(spark, lambda: catalog.QUERIES["assignment_constraints"](spark, SF))
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert out and kept <= lines + 1
+
+
+def test_trees_are_dealt_out_by_root_once(spark):
+    tree = frame(spark, "root string, path string", ("a", "a"), ("a", "a/b"), ("a", "a/b/c"), ("a", "a b"), ("a", "x/y"), ("b", "a/b"), (None, "a/b"), (None, "a"))
+    found = trees.preorder(tree)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in found.collect()} == {("a", "a", 0, 0, None), ("a", "a/b", 1, 1, 0), ("a", "a/b/c", 2, 2, 1), ("a", "a b", 3, 0, None), ("a", "x/y", 4, 1, None), ("b", "a/b", 0, 1, None), (None, "a", 0, 0, None), (None, "a/b", 1, 1, None)}
+    assert plan.count("Exchange ") == 1
+
+
+def test_slots_are_taken_apart_once(spark):
+    chain = [("f", f"v{i}", f"v{i + 1}") for i in range(5)]
+    slots = [("f", f"v{i}.m") for i in range(6)]
+    make = lambda: resolve.transfer_slots(frame(spark, "fn string, target_slot string", ("f", "v0")), frame(spark, "fn string, lhs string, rhs string", *chain), frame(spark, "fn string, slot string", *slots))
+    out, kept = rows_written(spark, make)
+    assert out == sorted(("f", "v0", s) for s in [f"v{i}" for i in range(6)] + [s for _, s in slots])
+    assert kept >= len(chain) + len(slots)  # the links are among what is written
+
+
+def test_a_small_frontier_is_broadcast_to_the_edges(spark):
+    hints = []
+
+    def step(new):
+        hints.append("ResolvedHint" in new._jdf.queryExecution().analyzed().toString())
+        return new.where("n < 3").select((F.col("n") + 1).alias("n"))
+
+    assert got(loops.grow(frame(spark, "n long", (0,)), step)) == [(0,), (1,), (2,), (3,)]
+    assert hints and all(hints)
