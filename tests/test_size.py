@@ -134,3 +134,12 @@ def test_a_small_frontier_is_broadcast_to_the_edges(spark):
 
     assert got(loops.grow(frame(spark, "n long", (0,)), step)) == [(0,), (1,), (2,), (3,)]
     assert hints and all(hints)
+
+
+def test_pairs_of_a_cascade_are_not_kept(spark):
+    sites = frame(spark, "site long, fn string, direct string, expr string", *((i, "f", None, "t[*].m") for i in range(60)), (99, "f", None, "q.z"))
+    entries = frame(spark, "path string, target string", *(("p.m", f"k{i}") for i in range(70)), ("q.z", "k1"))
+    none = lambda schema: frame(spark, schema)
+    make = lambda: resolve.cascade(sites, none("site long, target string"), entries, none("fn string, lhs string, rhs string"), none("fn string, base string, source string"), none("slot string"), none("fn string, slot string, target string"))
+    out, kept = rows_written(spark, make)
+    assert out == sorted([(i, 7, f"k{j}", "indirect") for i in range(60) for j in range(70)] + [(99, 2, "k1", "indirect")]) and kept < 60 * 70
